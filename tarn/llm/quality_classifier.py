@@ -27,6 +27,8 @@ FEATURES = 1 << 16
 FIT_ROWS = 3000
 #: Scores under this are rejected.
 KEEP = 0.5
+#: Accuracies to start from: a labeller seldom accuses a good text, and each knows few of the ways to be bad.
+START = (0.998, 0.2)
 #: Edges of the bins of each ratio.
 BINS = np.array([0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.8, 2.0, 4.0, 6.0, 9.0])
 
@@ -39,13 +41,13 @@ def votes(stats: np.ndarray) -> np.ndarray:
     three = lambda bad, good: np.where(bad, -1, np.where(good, 1, 0))
     return np.stack([
         three(sym >= 0.3, sym < 0.1), three(upper >= 0.4, upper < 0.15), three(bang >= 0.3, bang < 0.05), three(rep > 0.3, rep <= 0.05),
-        three((dup >= 0.3) & (lines >= 4), dup == 0), three(n < 20, n >= 50), three((length < 2.5) | (length > 11), (length >= 3) & (length <= 9)),
+        three((dup >= 0.3) & (lines >= 4), dup == 0), three(n < 3, n >= 50), three((length < 2.5) | (length > 11), (length >= 3) & (length <= 9)),
     ], axis=1)
 
 
 def estimate(counts: dict[tuple[int, ...], int], rounds: int = 30) -> tuple[dict, list]:
     """Posterior of good for each vote pattern, and each labeller's accuracy on good and on bad texts."""
-    right, share, post = [[0.9, 0.6] for _ in LABELLERS], 0.8, {}
+    right, share, post = [list(START) for _ in LABELLERS], 0.85, {}
     for _ in range(rounds):
         for p in counts:
             odds = math.log(share / (1 - share))
@@ -55,7 +57,8 @@ def estimate(counts: dict[tuple[int, ...], int], rounds: int = 30) -> tuple[dict
         for i in range(len(LABELLERS)):
             for y, sign in ((0, 1), (1, -1)):
                 mass = {p: n * (post[p] if y == 0 else 1 - post[p]) for p, n in counts.items() if p[i]}
-                right[i][y] = min(0.999, max(0.05, (sum(m for p, m in mass.items() if p[i] == sign) + 2 * (0.9, 0.6)[y]) / (sum(mass.values()) + 2)))
+                prior = (20, 1)[y] * sum(counts.values())  # what is known of the labellers beforehand, weighed in multiples of all texts
+                right[i][y] = min(0.9995, max(0.02, (sum(m for p, m in mass.items() if p[i] == sign) + prior * START[y]) / (sum(mass.values()) + prior)))
         n = sum(counts.values())
         share = min(0.98, max(0.5, sum(c * post[p] for p, c in counts.items()) / max(n, 1)))
     return post, right

@@ -23,6 +23,8 @@ STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repe
 WINDOW = 8
 #: Bounds of the fit: labelled rows read, trees, rows of a tree.
 FIT_ROWS, TREES, TREE_ROWS = 6000, 100, 256
+#: How much a rejected good row weighs against a kept bad one.
+STRICT = 12
 
 
 def repeated_words(words: list) -> int:
@@ -111,8 +113,8 @@ def anomaly(forest: list, rows: np.ndarray, size: int) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, seed: int = 7) -> dict:
     """Forest and threshold from at most `rows` labelled rows.
 
-    The threshold is the smallest score that rejects at most 1 in 1000 of the labelled good rows, raised by a
-    margin to the middle of the gap to the next bad row, so that documents like the good ones stay.
+    Rows that the base rule fails are left out. The threshold is the one with the least sum of the share of good
+    rows it rejects, counted STRICT times, and the share of bad rows it keeps, in the middle of the gap it falls in.
     """
 
     @F.pandas_udf("array<double>")
@@ -120,18 +122,28 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, seed: int = 7)
         return pd.Series([[float(x) for x in statistics(t)] for t in texts])
 
     got = labelled_sample(docs, labels, "quality", rows).select("doc_id", "_label", measured("text").alias("s")).collect()
-    got = sorted((r["doc_id"], r["_label"], list(r["s"])) for r in got)
+    got = sorted((r["doc_id"], r["_label"], list(r["s"])) for r in got if not base_fails(r["s"][0], r["s"][4]))
     good = ratios(np.array([s for _, y, s in got if y == 1])) if any(y == 1 for _, y, _ in got) else np.zeros((0, 6))
     bad = ratios(np.array([s for _, y, s in got if y != 1])) if any(y != 1 for _, y, _ in got) else np.zeros((0, 6))
     if len(good) < 8:
         return {"forest": [], "threshold": 2.0, "size": 1}
     rng, size = np.random.default_rng(seed), min(TREE_ROWS, len(good))
     forest = [grow(good[rng.choice(len(good), size, replace=False)], rng, int(np.ceil(np.log2(size)))) for _ in range(TREES)]
-    high = float(np.quantile(anomaly(forest, good, size), 0.999))
-    over = anomaly(forest, bad, size)
-    over = np.sort(over[over > high])
-    threshold = (high + float(over[0])) / 2 if len(over) else 2.0
-    return {"forest": forest, "threshold": threshold, "size": size}
+    return {"forest": forest, "threshold": cut_between(anomaly(forest, good, size), anomaly(forest, bad, size)), "size": size}
+
+
+def cut_between(good: np.ndarray, bad: np.ndarray) -> float:
+    """The calibrated threshold on scores of good and bad rows; without bad rows nothing is rejected."""
+    if not len(bad):
+        return 2.0
+    at = np.unique(np.r_[good, bad, 2.0])
+    cost = STRICT * (1 - np.searchsorted(np.sort(good), at, side="right") / len(good)) + np.searchsorted(np.sort(bad), at, side="right") / len(bad)
+    k = len(cost) - 1 - int(np.argmin(cost[::-1]))
+    return float((at[k] + at[min(k + 1, len(at) - 1)]) / 2)
+
+
+def base_fails(n_words, n_repeat_words):
+    return (n_words < 20) | (100 * n_repeat_words > 30 * n_words)
 
 
 def quality_udf(model: dict):
@@ -140,7 +152,7 @@ def quality_udf(model: dict):
         s = np.array([statistics(t) for t in texts], dtype=np.int64).reshape(-1, 8)
         out = pd.DataFrame(s[:, :5], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
         out["anomaly"] = anomaly(model["forest"], ratios(s), model["size"]) if model["forest"] else 0.0
-        out["base_failed"] = (s[:, 0] < 20) | (100 * s[:, 4] > 30 * s[:, 0])
+        out["base_failed"] = base_fails(s[:, 0], s[:, 4])
         out["kept"] = ~out["base_failed"] & (out["anomaly"] <= model["threshold"])
         return out
 

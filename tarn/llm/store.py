@@ -64,14 +64,14 @@ def cuts(ids: np.ndarray) -> list[int]:
 
 def encode_objects(docs: DataFrame, tokenizer: str, end_id: int, wide: bool) -> DataFrame:
     """kind 0: a chunk (key, value); kind 1: a recipe (key unique to its row, doc_id, n ids, value the chunk keys)."""
-    kind = "<u4" if wide else "<u2"
+    kind, end = "<u4" if wide else "<u2", struct.pack("<I", end_id)
 
     def encode(batches):
         enc, part, row, seen = encoder(tokenizer), TaskContext.get().partitionId(), 0, set()
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
-                ids = np.array([*enc.ids(text or ""), end_id], dtype=kind)
+                ids = np.frombuffer(enc.packed(text or "") + end, "<u4").astype(kind)
                 raw, width, last, keys = ids.tobytes(), ids.itemsize, 0, []
                 for b in cuts(ids):
                     piece = raw[last * width : b * width]

@@ -68,7 +68,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, over: int = 512, chunk_chars:
     def n_tokens(texts: pd.Series) -> pd.Series:
         enc = encoder(tokenizer)
         return pd.Series(
-            [count_by_chunks(enc.tokenizer, t, chunk_chars, overlap) if len(t) > chunk_chars else enc.count(t) for t in texts], dtype="int64"
+            [count_by_chunks(enc.tokenizer, t, chunk_chars, overlap) if len(t) > chunk_chars else len(enc.packed(t)) // 4 for t in texts], dtype="int64"
         )
 
     text = F.coalesce(F.col("text"), F.lit(""))

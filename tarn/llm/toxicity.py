@@ -1,7 +1,8 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams (hashed), so misspellings never seen share vectors with their
-originals. A window of words is the average of its words, a document what its most toxic window says; the windows
+originals. A window is the average of its words, each
+counted once, a document what its most toxic window says; the windows
 that make a toxic document toxic are found by training in rounds. Both layers get their gradients together.
 
 Null and empty texts have one empty window and get its score; rows that repeat each give a row; without usable
@@ -28,7 +29,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 def grams(word: str) -> list[int]:
     w = f"<{word}>"
-    return [zlib.crc32(w[i : i + n].encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for n in GRAMS for i in range(len(w) - n + 1)] or [zlib.crc32(w.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)]
+    return [zlib.crc32(w[i : i + n].encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for n in GRAMS for i in range(len(w) - n + 1)] + [zlib.crc32(b"=" + w.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -43,7 +44,7 @@ class Bags:
         windows, self.owner = [], []
         for d, t in enumerate(texts):
             ids = [self.number.setdefault(w, len(self.number)) for w in words_of(t)] or [self.number.setdefault("", len(self.number))]
-            cut = [ids[i : i + WINDOW] for i in range(0, len(ids), WINDOW)]
+            cut = [list(dict.fromkeys(ids[i : i + WINDOW])) for i in range(0, len(ids), WINDOW)]
             step = max(1, -(-len(cut) // FIT_WINDOWS))
             for k in range(0, len(cut), step):
                 windows.append(cut[k])
@@ -68,11 +69,11 @@ def _forward(b: Bags, e: np.ndarray, rows: np.ndarray):
     uniq, inv = np.unique(words, return_inverse=True)
     gram = b.g[_spans(b.g_at[uniq], b.g_size[uniq])]
     vec = np.add.reduceat(e[gram], np.r_[0, np.cumsum(b.g_size[uniq])[:-1]], axis=0) / b.g_size[uniq][:, None]
-    avg = np.add.reduceat(vec[inv], np.r_[0, np.cumsum(b.size[rows])[:-1]], axis=0) / b.size[rows][:, None]
+    avg = np.add.reduceat(vec[inv], np.r_[0, np.cumsum(b.size[rows])[:-1]], axis=0) / WINDOW
     return avg, uniq, inv, gram
 
 
-def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 3, epochs: int = 3, batch: int = 2000, rate: float = 0.5, seed: int = 3) -> dict | None:
+def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 4, epochs: int = 3, batch: int = 2000, rate: float = 0.5, seed: int = 3) -> dict | None:
     """Embeddings folded with the softmax into a score for each n-gram bucket, and a calibration; None without both labels."""
     toxic = np.asarray(toxic)
     if not len(toxic) or toxic.min() == toxic.max():
@@ -83,7 +84,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 3, epochs: int
     y, weight = toxic[b.owner].astype(int), np.ones(len(b.owner))
     for turn in range(rounds):
         pos = weight[y == 1].sum()
-        balance = np.where(y == 1, weight * 0.5 * len(y) / max(pos, 1), 0.5 * len(y) / max((y == 0).sum(), 1))
+        balance = weight * np.where(y == 1, 0.5 * len(y) / max(pos, 1), 0.5 * len(y) / max(weight[y == 0].sum(), 1))
         for _ in range(epochs):
             order = rng.permutation(np.flatnonzero(balance > 0))
             for k in range(0, len(order), batch):
@@ -94,7 +95,7 @@ def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 3, epochs: int
                 p /= p.sum(axis=1, keepdims=True)
                 p[np.arange(len(rows)), y[rows]] -= 1
                 d = p * (balance[rows] / balance[rows].sum())[:, None] * 50
-                d_avg = (d @ w.T) / b.size[rows][:, None]
+                d_avg = (d @ w.T) / WINDOW
                 d_word = np.zeros((len(uniq), DIM))
                 per = np.repeat(d_avg, b.size[rows], axis=0)
                 for j in range(DIM):
@@ -114,13 +115,17 @@ def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 3, epochs: int
         np.maximum.at(best, b.owner, s)
         # from here on only windows near the best of their toxic document stand for it
         weight = np.where((y == 0) | (s >= best[b.owner] - 0.25 * np.abs(best[b.owner])), 1.0, 0.0)
+        # labels that the rest contradicts are left out: toxic documents like clean ones, clean documents like toxic ones
+        clean, foul = best[toxic == 0], best[toxic == 1]
+        odd = np.where(toxic == 1, best < np.quantile(clean, 0.9), best > np.quantile(foul, 0.4))
+        weight[odd[b.owner]] = 0.0
     a, m = calibrate(best, toxic)
     return {"grams": gram_score.astype(np.float32), "shift": float(c[1] - c[0]), "slope": a, "middle": m}
 
 
 def window_scores(b: Bags, gram_score: np.ndarray) -> np.ndarray:
     word = np.add.reduceat(gram_score[b.g], b.g_at) / b.g_size
-    return np.add.reduceat(word[b.words], b.at) / b.size
+    return np.add.reduceat(word[b.words], b.at) / WINDOW
 
 
 def calibrate(best: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
@@ -141,17 +146,15 @@ class Scorer:
 
     def score(self, text: str | None) -> float:
         m, memo = self.model, self.memo
-        out = []
-        for w in words_of(text) or [""]:
-            s = memo.get(w)
-            if s is None:
-                if len(memo) >= self.most:
-                    memo.clear()
-                s = memo[w] = float(m["grams"][grams(w)].mean())
-            out.append(s)
-        s = np.array(out)
-        at = np.arange(0, len(s), WINDOW)
-        best = float((np.add.reduceat(s, at) / np.diff(np.r_[at, len(s)])).max()) + m["shift"]
+        words, best = words_of(text) or [""], -np.inf
+        if len(memo) >= self.most:
+            memo.clear()
+        for w in words:
+            if w not in memo:
+                memo[w] = float(m["grams"][grams(w)].mean())
+        for i in range(0, len(words), WINDOW):
+            best = max(best, sum([memo[w] for w in set(words[i : i + WINDOW])]))
+        best = best / WINDOW + m["shift"]
         return float(1 / (1 + np.exp(-np.clip(m["slope"] * (best - m["middle"]), -30, 30))))
 
 
