@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import py_words, written
 
-SHINGLE, BANDS, PICK, SIGNATURE = 5, 12, 2, 64
-#: Signature places that must agree for a pair to be verified: at a similarity of 0.8, under 1 in 100,000 pairs has fewer.
-AGREE = 37
+SHINGLE, BANDS, PICK, SIGNATURE = 5, 12, 2, 256
+#: Signature places that must agree for a pair to be verified, of the first EARLY and of all: at a similarity of 0.8,
+#: about 1 in 100,000 pairs has fewer.
+EARLY, AGREE_EARLY, AGREE = 64, 37, 178
 #: Members of a block of a bucket, and hubs that all of its blocks see.
 BLOCK, HUBS = 256, 24
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -43,6 +44,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _SEEDS = mix(np.arange(1, 1 + BANDS + SIGNATURE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_ODD = mix(_SEEDS) | np.uint64(1)
 _WORDS: dict[str, int] = {}
 
 
@@ -80,14 +82,19 @@ def sketch(sh: np.ndarray) -> tuple[list[int], bytes, int]:
     labelled = np.empty_like(sh)
     with np.errstate(over="ignore"):
         labelled[order] = mix(s + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    keys, sig, distinct = [], np.empty(SIGNATURE, np.uint8), s[first]
+    keys, least, distinct = [], [], s[first]
     pick = min(PICK, len(sh))
-    for b in range(BANDS):
-        x = mix(labelled ^ _SEEDS[b])
-        at = np.sort(np.argpartition(x, pick - 1)[:pick])
-        keys.append(xxhash.xxh64_intdigest(labelled[at].tobytes(), seed=b) - (1 << 63))
-    for j in range(SIGNATURE):
-        sig[j] = int(mix(distinct ^ _SEEDS[BANDS + j]).min()) & 255
+    with np.errstate(over="ignore"):
+        for b in range(BANDS):
+            x = (labelled ^ _SEEDS[b]) * _ODD[b]
+            at = np.sort(np.argpartition(x, pick - 1)[:pick])
+            keys.append(xxhash.xxh64_intdigest(labelled[at].tobytes(), seed=b) - (1 << 63))
+        # a few hash functions at once, so that a block of values stays in the cache
+        step = max(1, 16_384 // len(distinct))
+        for j in range(BANDS, BANDS + SIGNATURE, step):
+            end = min(j + step, BANDS + SIGNATURE)
+            least.append(((distinct[None, :] ^ _SEEDS[j:end, None]) * _ODD[j:end, None]).min(axis=1))
+    sig = (mix(np.concatenate(least)) & np.uint64(255)).astype(np.uint8)
     return keys, sig.tobytes(), len(first)
 
 
@@ -167,10 +174,11 @@ def _alike(sig: np.ndarray, n: np.ndarray, rows: np.ndarray, cols: np.ndarray, l
     """Row, column and agreement of the likely pairs of rows x cols."""
     for k in range(0, len(rows), 64):
         r = rows[k : k + 64]
-        agree = (sig[r][:, None, :] == sig[cols][None, :, :]).sum(axis=2)
         near = np.minimum(n[r][:, None], n[cols][None, :]) >= least * np.maximum(n[r][:, None], n[cols][None, :])
-        i, j = np.nonzero((agree >= AGREE) & near)
-        yield r[i], cols[j], agree[i, j]
+        i, j = np.nonzero(((sig[r][:, None, :EARLY] == sig[cols][None, :, :EARLY]).sum(axis=2) >= AGREE_EARLY) & near)
+        agree = (sig[r[i]] == sig[cols[j]]).sum(axis=1)
+        ok = agree >= AGREE
+        yield r[i[ok]], cols[j[ok]], agree[ok]
 
 
 def _forest(least: float):
@@ -262,9 +270,10 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
         marked.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "th")).alias("_r"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
         .select("key", F.col("_r.doc_id").alias("exact_id"), "_r.th", "n", "bands", "sig")
     )
-    bands = reps.where("n > 0").select("key", "n", "sig", F.explode("bands").alias("band"))
+    bands = reps.where("n > 0").select("key", F.explode("bands").alias("band"))
     counts = bands.groupBy("band").count().where("count > 1")
-    members = written(bands.join(counts, "band"))
+    # signatures join those rows alone that share a bucket
+    members = written(bands.join(counts, "band").join(reps.select("key", "n", "sig"), "key"))
 
     blocks = F.greatest(F.lit(1), F.ceil(F.col("count") / BLOCK)).cast("int")
     h = F.xxhash64("key", "band")
