@@ -97,7 +97,7 @@ def repeat_documents(docs: DataFrame, seed: str = "mix-1") -> DataFrame:
     order = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.md5(text)))
     left = F.col("_tarn_t") - F.col("_tarn_k") * F.col("_tarn_n")
     # the first `left` words, a space between them
-    cut = F.when(left >= F.col("_tarn_n"), F.col("text")).otherwise(F.substring_index(F.ltrim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")), " ", left.cast("int")))
+    cut = F.when(left >= F.col("_tarn_n"), F.col("text")).otherwise(F.call_function("substring_index", F.ltrim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")), F.lit(" "), left.cast("int")))
     return (
         docs.withColumn("_tarn_o", order)
         .join(plan.where("_tarn_t > 0"), "_tarn_o")

@@ -57,7 +57,7 @@ def estimate(counts: dict[tuple[int, ...], int], rounds: int = 30) -> tuple[dict
         for i in range(len(LABELLERS)):
             for y, sign in ((0, 1), (1, -1)):
                 mass = {p: n * (post[p] if y == 0 else 1 - post[p]) for p, n in counts.items() if p[i]}
-                prior = (20, 1)[y] * sum(counts.values())  # what is known of the labellers beforehand, weighed in multiples of all texts
+                prior = (20, 1)[y] * max(1, sum(counts.values()))  # what is known of the labellers beforehand, weighed in multiples of all texts
                 right[i][y] = min(0.9995, max(0.02, (sum(m for p, m in mass.items() if p[i] == sign) + prior * START[y]) / (sum(mass.values()) + prior)))
         n = sum(counts.values())
         share = min(0.98, max(0.5, sum(c * post[p] for p, c in counts.items()) / max(n, 1)))
