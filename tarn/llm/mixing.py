@@ -18,6 +18,8 @@ from .common import SPACED, written
 
 #: Hash buckets of a source: only the bucket in which the words run out is sorted.
 BUCKET_HEX = 3
+#: Sources up to this number are broadcast.
+BROADCAST_SOURCES = 20_000
 
 
 def sizes(docs: DataFrame, seed: str) -> DataFrame:
@@ -64,6 +66,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
         F.col("source").alias("_s"), "source_size", "target",
         F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(0).cast("long").alias("_whole"),
     ).withColumn("_part", F.round(F.col("target") - F.col("_whole") * F.col("source_size")).cast("long"))
+    few = goal.count() <= BROADCAST_SOURCES
     # words of each hash bucket, and of those before it: tells which bucket the fractional repetition ends in
     bucket = F.substring("_order", 1, BUCKET_HEX)
     sums = sized.groupBy("source", bucket.alias("_b")).agg(F.sum("size").alias("_n"))
@@ -74,7 +77,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
         .select(F.col("source").alias("_s"), F.col("_b").alias("_end"), (F.col("_part") - F.col("_before")).alias("_rest"))
     )
     plan = goal.join(ends.withColumnRenamed("_s", "_s2"), F.col("_s").eqNullSafe(F.col("_s2")), "left").drop("_s2")
-    rows = sized.withColumn("_b", bucket).join(plan, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    # a source may hold a third of the rows: a small plan goes to all tasks, a large one is joined and its hot keys split
+    rows = sized.withColumn("_b", bucket).join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     whole = F.col("_whole") * F.col("size")
     inner = rows.where(~F.coalesce(F.col("_b") == F.col("_end"), F.lit(False))).withColumn(
         "taken", whole + F.when(F.col("_b") < F.col("_end"), F.col("size")).otherwise(0)
