@@ -71,3 +71,14 @@ def monotonic(df: DataFrame, curve: list[str], rung: str, rate: str, quality: st
     w = Window.partitionBy(*curve).orderBy(rung)
     bad = (F.col(rate) >= F.lag(rate).over(w)) | (F.col(quality) <= F.lag(quality).over(w))
     return df.withColumn("_bad", F.coalesce(bad, F.lit(False))).groupBy(*curve).agg(F.count("*").alias("rungs"), F.count_if("_bad").alias("bad"))
+
+
+def bd_quality(df: DataFrame, curve: list[str], arm: str, a: str, b: str, rate: str, quality: str) -> DataFrame:
+    """bd_quality: mean difference of b over a at equal rate, from cubic fits of quality over log rate; null as in bd_rate."""
+    pts = df.where(F.col(arm).isin(a, b)).withColumn("_lr", F.when(F.col(rate) > 0, F.log(rate)))
+    f = cubic(pts, [*curve, arm], "_lr", quality)
+    side = lambda which, name: f.where(F.col(arm) == which).select(*curve, *[F.col(k).alias(f"{name}_{k}") for k in ("mid", "scale", "lo", "hi", "n", "c0", "c1", "c2", "c3")])
+    both = side(a, "a").join(side(b, "b"), curve)
+    lo, hi = F.greatest("a_lo", "b_lo"), F.least("a_hi", "b_hi")
+    mean = ((_integral("b", hi) - _integral("b", lo)) - (_integral("a", hi) - _integral("a", lo))) / (hi - lo)
+    return both.select(*curve, F.when((F.col("a_n") >= 4) & (F.col("b_n") >= 4) & (hi > lo), mean).alias("bd_quality"))

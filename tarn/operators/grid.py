@@ -62,3 +62,83 @@ def hold_last(df: DataFrame, place: list[str], frame: str, value: str, selected:
     kept = F.when(~F.col(selected) | (F.row_number().over(w) == 1), F.col(value))
     marked = df.withColumn("_k", kept)
     return marked.withColumn("held", F.last("_k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_k")
+
+
+def smooth(df: DataFrame, frame: list[str], value: str, height: int, width: int) -> DataFrame:
+    """smooth: 5 x 5 binomial taps (1 4 6 4 1 over 16 on each axis), the border mirrored without repeating the edge.
+
+    Each block gives its weighted value to the places that see it, mirrored places included: one aggregation, no join.
+    """
+    taps = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(w / 16).alias("w")) for d, w in zip(range(-2, 3), (1, 4, 6, 4, 1))])
+
+    def seen_from(c: str, n: int):
+        # places p whose tap p + d, mirrored at 0 and n - 1, is c
+        spots = F.flatten(F.transform(taps, lambda t: F.transform(F.array(F.col(c), -F.col(c), 2 * (n - 1) - F.col(c)), lambda at: F.struct((at - t["d"]).alias("p"), at.alias("at"), t["w"].alias("w")))))
+        return F.array_distinct(F.filter(spots, lambda s: (s["p"] >= 0) & (s["p"] < n)))
+
+    y = df.select(*frame, value, "bx", F.explode(seen_from("by", height)).alias("_y"))
+    both = y.select(*frame, value, "_y", F.explode(seen_from("bx", width)).alias("_x"))
+    return both.groupBy(*frame, F.col("_y.p").alias("by"), F.col("_x.p").alias("bx")).agg(F.sum(F.col("_y.w") * F.col("_x.w") * F.col(value)).alias("smooth"))
+
+
+def gradient(df: DataFrame, frame: list[str]) -> DataFrame:
+    """size of the 3 x 3 Sobel gradient of v for the blocks that have all neighbours: each block gives its v to the nine around it."""
+    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(float(dx * (2 - abs(dy)))).alias("wx"), F.lit(float(dy * (2 - abs(dx)))).alias("wy")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+    given = df.select(*frame, "by", "bx", "v", F.explode(steps).alias("_o")).select(*frame, (F.col("by") - F.col("_o.dy")).alias("by"), (F.col("bx") - F.col("_o.dx")).alias("bx"), "v", "_o.wx", "_o.wy")
+    by = given.groupBy(*frame, "by", "bx").agg(F.count("v").alias("_n"), F.sum(F.col("wx") * F.col("v")).alias("_gx"), F.sum(F.col("wy") * F.col("v")).alias("_gy"))
+    return by.where("_n = 9").select(*frame, "by", "bx", F.hypot("_gx", "_gy").alias("gradient"))
+
+
+def components(df: DataFrame, frame: list[str], flag: str, write) -> DataFrame:
+    """component (its smallest place) of each flagged block, neighbours in eight directions joined.
+
+    Labels fall to the smallest around them, then to their label's label, until none moves; write(df) stores each
+    round in shared storage and gives it back.
+    """
+    here = F.struct("by", "bx")
+    labels = write(df.where(flag).select(*frame, "by", "bx", here.alias("component")))
+    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+    while True:
+        given = labels.select(*frame, F.explode(steps).alias("_o"), "by", "bx", "component").select(*frame, (F.col("by") + F.col("_o.dy")).alias("by"), (F.col("bx") + F.col("_o.dx")).alias("bx"), "component")
+        least = labels.select(*frame, "by", "bx", F.col("component").alias("_old")).join(given.groupBy(*frame, "by", "bx").agg(F.min("component").alias("_new")), [*frame, "by", "bx"])
+        tops = labels.select(*frame, here.alias("_new"), F.col("component").alias("_top"))
+        after = write(least.join(tops, [*frame, "_new"]).select(*frame, "by", "bx", "_old", F.least("_new", "_top").alias("component")))
+        moved = after.where("component <> _old").limit(1).count()
+        labels = after.drop("_old")
+        if not moved:
+            return labels
+
+
+def exact_mask(df: DataFrame, frame: list[str], block: int, height: int, width: int) -> DataFrame:
+    """A row for each place inside the frame that a marked block covers."""
+    y = df.select(*frame, "bx", F.explode(F.sequence(F.col("by") * block, F.col("by") * block + block - 1)).alias("y"))
+    return y.select(*frame, "y", F.explode(F.sequence(F.col("bx") * block, F.col("bx") * block + block - 1)).alias("x")).where((F.col("y") < height) & (F.col("x") < width))
+
+
+def fill_frames(df: DataFrame, place: list[str], frame: str, value: str, frames: int, default: int) -> DataFrame:
+    """A row for each place and frame 0 to frames - 1: a missing value repeats the last one, or the default before any."""
+    every = df.select(*place).distinct().select(*place, F.explode(F.sequence(F.lit(0), F.lit(frames - 1))).alias(frame))
+    w = Window.partitionBy(*place).orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)
+    return every.join(df.select(*place, frame, value), [*place, frame], "left").withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(w), F.lit(default)))
+
+
+def random_top(df: DataFrame, frame: list[str], place: list[str], share: float, seed: str) -> DataFrame:
+    """As many blocks as select_top takes, in an order drawn from the seed, the frame and the place."""
+    drawn = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in [*frame, *place]]).cast("binary"))
+    w = Window.partitionBy(*frame)
+    return df.withColumn("selected", F.row_number().over(w.orderBy(drawn)) <= F.floor(share * F.count("*").over(w)))
+
+
+def reassign_levels(df: DataFrame, frame: list[str], level: str, cost: str, place: list[str]) -> DataFrame:
+    """new_level: each frame keeps its count of every level, the highest levels going to the cheapest blocks, unknown costs last."""
+    w = Window.partitionBy(*frame)
+    cheap = df.withColumn("_k", F.row_number().over(w.orderBy(F.col(cost).asc_nulls_last(), *place)))
+    given = df.select(*frame, F.col(level).alias("new_level"), F.row_number().over(w.orderBy(F.desc(level), *place)).alias("_k"))
+    return cheap.join(given, [*frame, "_k"]).drop("_k")
+
+
+def qp_offsets(df: DataFrame, clip: list[str], frame: list[str], score: str, most: float) -> DataFrame:
+    """offset: the score centred in each frame, scaled by the clip's largest deviation, so that offsets cancel out."""
+    c = df.withColumn("_c", F.col(score) - F.avg(score).over(Window.partitionBy(*clip, *frame)))
+    top = F.max(F.abs("_c")).over(Window.partitionBy(*clip))
+    return c.withColumn("offset", F.when(top < 1e-6, 0.0).otherwise(F.greatest(F.lit(-most), F.least(F.lit(most), F.col("_c") / top * most)))).drop("_c")

@@ -86,7 +86,7 @@ def bootstrap(df: DataFrame, group: list[str], key: str, value: str, resamples:
     drawn = picks.select(*group, "_rep", F.col("_pick").alias("_i")).join(numbered.select(*group, "_i", "_v"), [*group, "_i"])
     means = drawn.groupBy(*group, "_rep").agg(F.avg("_v").alias("_m"))
     a = (1 - confidence) / 2
-    lo, hi = int(a * resamples), min(resamples - 1, int((1 - a) * resamples))
+    lo, hi = int(a * resamples + 1e-9), min(resamples - 1, int((1 - a) * resamples + 1e-9))
     sort = F.array_sort(F.collect_list("_m"))
     return means.groupBy(*group).agg(sort[lo].alias("lo"), sort[hi].alias("hi"))
 
@@ -101,3 +101,22 @@ def permutation(df: DataFrame, group: list[str], key: str, x: str, y: str, permu
     moved = reps.select(*group, "_rep", F.row_number().over(order).alias("_i"), "_x").join(both.select(*group, "_i", "_y"), [*group, "_i"])
     rhos = moved.groupBy(*group, "_rep").agg(correlation("_x", "_y").alias("_r"))
     return rhos.join(seen, group).groupBy(*group, "rho").agg(((F.count_if(F.abs("_r") >= F.abs("rho") - 1e-12) + 1) / (permutations + 1)).alias("p"))
+
+
+def equivalence(df: DataFrame, group: list[str], key: str, bound: float, delta: str = "delta", resamples: int = 200, least: int = 4) -> DataFrame:
+    """Two one-sided tests by a 90% bootstrap interval: it and every delta lie within the bound; thin marks equivalence on few pairs."""
+    n = df.where(F.col(delta).isNotNull()).groupBy(*group).agg(F.count("*").alias("n"), F.avg(delta).alias("mean"), F.max(F.abs(delta)).alias("max_abs"))
+    both = n.join(bootstrap(df, group, key, delta, resamples, 0.90), group)
+    inside = (F.col("lo") > -bound) & (F.col("hi") < bound) & (F.col("max_abs") < bound)
+    verdict = F.when(F.col("n") < 2, "insufficient_pairs").when(inside, "equivalent").otherwise("not_shown_equivalent")
+    return both.withColumn("verdict", verdict).withColumn("thin", (F.col("verdict") == "equivalent") & (F.col("n") < least))
+
+
+def bonferroni(p: Column, family: int) -> Column:
+    return F.least(F.lit(1.0), p * family)
+
+
+def residuals(df: DataFrame, group: list[str], x: str, y: str, unit: float) -> DataFrame:
+    """residual of each row from its group's least-squares line, in units; groups whose line does not fall are left out."""
+    fit = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*group).agg(F.count("*").alias("_n"), F.regr_slope(y, x).alias("_b"), F.regr_intercept(y, x).alias("_a"))
+    return df.join(fit.where("_n >= 3 AND _b < 0"), group).withColumn("residual", (F.col("_b") * F.col(x) + F.col("_a") - F.col(y)) / unit).drop("_n", "_a", "_b")

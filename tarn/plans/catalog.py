@@ -318,3 +318,6 @@ def p20_z_score(spark, sf_dir):
     m = c.groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("m")).join(n, F.col("c_nationkey") == n.n_nationkey)
     s = m.agg(F.avg("m").alias("_a"), F.stddev_pop("m").alias("_s"))
     return m.join(F.broadcast(s)).select("n_nationkey", "n_name", F.round("m", 6).alias("mean"), F.round((F.col("m") - F.col("_a")) / F.nullif(F.col("_s"), F.lit(0.0)), 6).alias("z"))  # s is one row
+
+
+from tarn.plans import reports, stencils  # noqa: E402, F401 - they register their queries here

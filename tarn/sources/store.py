@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ VIEW_BANNED = ["lpips_mean", "dists_mean", "fid_fg_bbox", "fvmd"]
 
 def scan_tree(spark: SparkSession, folder: str, name: str = "result.json") -> DataFrame:
     """key (the folder's name), doc_raw and modified of each document below folder; names that start with _ or . are skipped."""
-    found = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(folder)
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(folder, wholetext=True)
     path = F.col("_metadata.file_path")
     return found.select(F.element_at(F.split(path, "/"), -2).alias("key"), F.col("value").alias("doc_raw"), F.col("_metadata.file_modification_time").alias("modified")).where(~F.col("key").rlike("^[_.]"))
 
@@ -59,3 +61,60 @@ def by_prefix(df: DataFrame, key: str, prefix: str) -> DataFrame:
     """The one row whose key starts with prefix; none or several raise an error when the query runs."""
     n = F.count("*").over(Window.partitionBy(F.lit(1)))
     return df.where(F.col(key).startswith(prefix)).limit(2).withColumn("_n", n).withColumn(key, F.when(F.col("_n") == 1, F.col(key)).otherwise(F.raise_error(F.lit(f"prefix {prefix} is ambiguous")))).drop("_n")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the session's shared checkpoint folder: cuts the lineage, and a lost executor costs only its own task."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    path = f"{base.rstrip('/')}/tarn-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def export_tree(docs: DataFrame, folder: str, key: str = "key", raw: str = "doc_raw") -> None:
+    """Writes each document's text and a line feed into a folder of its key."""
+    docs.select(F.col(key).alias("key"), F.col(raw).alias("value")).write.partitionBy("key").text(folder)
+
+
+def exported(spark: SparkSession, folder: str) -> DataFrame:
+    """key and doc_raw of a written tree, byte for byte what was exported."""
+    found = spark.read.schema("value string, key string").text(folder, wholetext=True)
+    return found.select("key", F.regexp_replace("value", "\n\\z", "").alias("doc_raw"))
+
+
+def fresh(found: DataFrame, known: DataFrame, key: str = "key", modified: str = "modified") -> DataFrame:
+    """Documents that the store does not have, or has an older version of."""
+    old = known.groupBy(key).agg(F.max(modified).alias("_old"))
+    return found.join(old, key, "left").where(F.col("_old").isNull() | (F.col(modified) > F.col("_old"))).drop("_old")
+
+
+def block_matrix(spark: SparkSession, path: str, blocks_wide: int) -> DataFrame:
+    """frame, by, bx, value of a matrix file: after a header a line for each block, a column for each frame."""
+    line = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\r?\n")).alias("_b", "_line")).where("_b > 0")
+    cell = line.select((F.col("_b") - 1).alias("_b"), F.posexplode(F.split("_line", ",")).alias("frame", "_v"))
+    return cell.select("frame", F.floor(F.col("_b") / blocks_wide).cast("int").alias("by"), (F.col("_b") % blocks_wide).alias("bx"), F.trim("_v").try_cast("double").alias("value"))
+
+
+def attributes(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
+    """Rows of status ok of an attribute file with a header; a missing column is an error."""
+    df = spark.read.option("header", True).csv(path)
+    missing = sorted({*required, "status"} - set(df.columns))
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df.where("status = 'ok'")
+
+
+def sets_of(spark: SparkSession, path: str) -> DataFrame:
+    """set, hash of a definition file: an object of named lists."""
+    raw = spark.read.text(path, wholetext=True)
+    return raw.select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("set", "_h")).select("set", F.explode("_h").alias("hash"))
+
+
+def specs(docs: DataFrame, filters: dict[str, str], doc: str = "doc") -> tuple[DataFrame, DataFrame]:
+    """Planned rows whose keys equal the filters as text and that are not retired, and the retired ones counted by reason."""
+    kept = docs
+    for k, v in filters.items():
+        kept = kept.where(F.try_variant_get(doc, f"$.{k}", "string") == v)
+    retired = F.try_variant_get(doc, "$.retired", "string")
+    return kept.where(retired.isNull()), kept.where(retired.isNotNull()).groupBy(retired.alias("reason")).agg(F.count("*").alias("n"))

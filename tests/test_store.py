@@ -19,8 +19,8 @@ def test_parse_flatten_and_views(spark):
 def test_tree_scan_skips_bookkeeping(spark, tmp_path):
     for k in ("h1", "_tmp"):
         (tmp_path / k).mkdir()
-        (tmp_path / k / "result.json").write_text('{"a": 1}\n')
-    assert [r.key for r in store.scan_tree(spark, str(tmp_path)).collect()] == ["h1"]
+        (tmp_path / k / "result.json").write_text('{\n "a": 1\n}\n')
+    assert [(r.key, r.doc_raw) for r in store.scan_tree(spark, str(tmp_path)).collect()] == [("h1", '{\n "a": 1\n}\n')]
 
 
 def test_stream_equals_batch(spark, tmp_path):
