@@ -63,3 +63,61 @@ def slug(text: Column, most: int = 24) -> Column:
     """Lower-case token; a long one is cut and gets a hash of the whole."""
     s = F.regexp_replace(F.lower(text), "[^a-z0-9_.-]+", "-")
     return F.when(F.length(s) <= most, s).otherwise(F.concat(F.substring(s, 1, most), F.lit("-"), F.substring(F.sha1(s.cast("binary")), 1, 8)))
+
+
+def identity(config: Column, fill: list[str]) -> Column:
+    """Canonical text of a map without its fill keys: what two runs share that differ in the fill alone."""
+    kept = F.array_sort(F.filter(F.map_entries(config), lambda e: ~e["key"].isin(fill)))
+    return F.concat_ws(",", F.transform(kept, lambda e: F.concat_ws("=", e["key"], e["value"])))
+
+
+def rate_control(codec: Column, has_qp: Column, mode: Column, roi: Column, fixed: dict[str, str], degrading: list[str], two_pass: list[str], by_qp: dict[str, str]) -> Column:
+    """How an encode was steered. roi comes first: fixed names its modes, degrading ones depend on the codec; then a
+    codec of by_qp runs at that mode with a base quantiser; two_pass codecs otherwise take two passes, the rest one."""
+    codec, roi = F.lower(F.coalesce(codec, F.lit(""))), F.lower(roi)
+    passes = F.when(codec.isin(two_pass), "vbr_2pass").when(codec.isin(list(by_qp)), "vbr_1pass")
+    out = F.when(roi.isNull(), None)
+    for name, m in fixed.items():
+        out = out.when(roi == name, m)
+    out = out.when(roi.isin(degrading), F.when(codec == "kvazaar", "vbr_1pass").otherwise("vbr_2pass")).when(roi.isNotNull(), "n/a")
+    plain = F.when((codec == "kvazaar") & (has_qp | F.coalesce(mode == "cqp", F.lit(False))), "cqp")
+    for name, m in by_qp.items():
+        plain = plain.when((codec == name) & has_qp, m)
+    return F.coalesce(out, plain, passes, F.lit("n/a"))
+
+
+def matches(arm: dict[str, list], defaults: dict) -> Column:
+    """Every pinned key holds one of its values; a key that is missing has its default."""
+    ok = F.lit(True)
+    for k, allowed in arm.items():
+        c = F.coalesce(F.col(k), F.lit(defaults[k])) if k in defaults else F.col(k)
+        ok &= F.coalesce(c.isin(allowed), F.lit(False))
+    return ok
+
+
+def number_of(text: Column) -> Column:
+    """true and false as 1 and 0, a list's first number, else the number or null."""
+    t = F.lower(F.trim(text))
+    first = F.nullif(F.regexp_extract(t, r"^\[[^\]0-9.-]*(-?[0-9.]+)", 1), F.lit(""))
+    return F.when(t == "true", 1.0).when(t == "false", 0.0).when(t.startswith("["), first.try_cast("double")).otherwise(t.try_cast("double"))
+
+
+def classified(text: Column, rules: list[tuple[str, str]], other: str) -> Column:
+    """Name of the first rule whose pattern is found."""
+    out = F.when(F.lit(False), other)
+    for pattern, name in rules:
+        out = out.when(F.lower(text).rlike(pattern), name)
+    return out.otherwise(other)
+
+
+def level_of(score: Column, levels: int, selected: Column) -> Column:
+    """score in steps, half to even; a selected block has 1 at least, another one 0."""
+    return F.when(selected, F.greatest(F.lit(1), F.least(F.lit(levels), F.bround(score * levels).cast("int")))).otherwise(F.lit(0))
+
+
+def frame_count(length: Column, rate: Column) -> Column:
+    return F.when((length > 0) & (rate > 0), length * rate)
+
+
+def bitrate(sent_bytes: Column, frames: Column, fps: Column) -> Column:
+    return F.try_divide(sent_bytes * 8.0, F.try_divide(frames.cast("double"), F.nullif(fps, F.lit(0.0))))

@@ -40,3 +40,12 @@ def frechet(df: DataFrame, group: str, vector: str, a, b) -> tuple[float, float]
     root = (q * np.sqrt(np.maximum(w, 0))) @ q.T
     cross = np.sqrt(np.maximum(np.linalg.eigvalsh(root @ s2 @ root), 0)).sum()
     return float(((m1 - m2) ** 2).sum()), float(np.trace(s1) + np.trace(s2) - 2 * cross)
+
+
+def leave_one_out(df: DataFrame, source: str, vector: str) -> DataFrame:
+    """shift: squared distance of the mean of all rows from that of all but one source, from sums: total minus source."""
+    d = df.where(F.col(vector).isNotNull() & F.col(source).isNotNull())
+    sums = d.select(source, F.posexplode(vector).alias("i", "x")).groupBy(source, "i").agg(F.sum(F.col("x").cast("double")).alias("_s"), F.count("*").alias("_n"))
+    all_ = sums.groupBy("i").agg(F.sum("_s").alias("_total"), F.sum("_n").alias("_rows"))
+    rest = F.try_divide(F.col("_total") - F.col("_s"), F.col("_rows") - F.col("_n"))
+    return sums.join(F.broadcast(all_), "i").groupBy(source).agg(F.sum((F.col("_total") / F.col("_rows") - rest) ** 2).alias("shift"))  # all_ is a row for each place of a vector
