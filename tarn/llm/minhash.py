@@ -45,6 +45,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _SEEDS = mix(np.arange(1, 1 + BANDS + SIGNATURE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = mix(_SEEDS) | np.uint64(1)
+_SEEDS32, _ODD32 = (_SEEDS >> np.uint64(32)).astype(np.uint32), (_ODD & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 _WORDS: dict[str, int] = {}
 
 
@@ -90,11 +91,12 @@ def sketch(sh: np.ndarray) -> tuple[list[int], bytes, int]:
             at = np.sort(np.argpartition(x, pick - 1)[:pick])
             keys.append(xxhash.xxh64_intdigest(labelled[at].tobytes(), seed=b) - (1 << 63))
         # a few hash functions at once, so that a block of values stays in the cache
-        step = max(1, 16_384 // len(distinct))
+        # and in 32 bits, which processors multiply several at a time
+        step, short = max(1, 16_384 // len(distinct)), (distinct >> np.uint64(32)).astype(np.uint32)
         for j in range(BANDS, BANDS + SIGNATURE, step):
             end = min(j + step, BANDS + SIGNATURE)
-            least.append(((distinct[None, :] ^ _SEEDS[j:end, None]) * _ODD[j:end, None]).min(axis=1))
-    sig = (mix(np.concatenate(least)) & np.uint64(255)).astype(np.uint8)
+            least.append(((short[None, :] ^ _SEEDS32[j:end, None]) * _ODD32[j:end, None]).min(axis=1))
+    sig = (mix(np.concatenate(least).astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
     return keys, sig.tobytes(), len(first)
 
 
