@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import py_words, written
 
-SHINGLE, BANDS, PICK, SIGNATURE = 5, 12, 2, 256
+SHINGLE, BANDS, PICK, SIGNATURE = 5, 12, 2, 512
 #: Signature places that must agree for a pair to be verified, of the first EARLY and of all: at a similarity of 0.8,
 #: about 1 in 100,000 pairs has fewer.
-EARLY, AGREE_EARLY, AGREE = 64, 37, 178
+EARLY, AGREE_EARLY, AGREE = 64, 37, 371
+#: Places that agree in pairs likely enough to be linked for any of them to serve in a spanning forest.
+SURE = 436
 #: Members of a block of a bucket, and hubs that all of its blocks see.
 BLOCK, HUBS = 256, 24
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -184,7 +186,10 @@ def _alike(sig: np.ndarray, n: np.ndarray, rows: np.ndarray, cols: np.ndarray, l
 
 
 def _forest(least: float):
-    """Of each block, a spanning forest of its likely pairs, the likeliest first."""
+    """Of each block, a spanning forest of its likely pairs: sure ones first, from the smallest keys on, then the likeliest.
+
+    The smallest keys are the same in all of a group's buckets, so the forests of its bands share most of their pairs.
+    """
 
     def pairs(batches):
         for pdf in _groups(batches, ["band", "block"]):
@@ -193,18 +198,19 @@ def _forest(least: float):
             for lo, hi in _bounds(pdf, ["band", "block"]):
                 if hi - lo < 2:
                     continue
-                at = np.arange(lo, hi)
+                at = np.array(sorted(range(lo, hi), key=keys.__getitem__))
                 got = [x for k in range(0, hi - lo, 64) for x in _alike(sig, n, at[k : k + 64], at[k:], least)]
                 i, j, agree = (np.concatenate(x) for x in zip(*got))
-                top = {}
+                top, rank = {}, np.zeros(len(pdf), np.int64)
+                rank[at] = np.arange(len(at))
 
                 def find(x):
                     while top.get(x, x) != x:
                         top[x] = x = top.get(top[x], top[x])
                     return x
 
-                ok = np.flatnonzero(i < j)
-                ok = ok[np.argsort(-agree[ok], kind="stable")]
+                ok = np.flatnonzero(rank[i] < rank[j])
+                ok = ok[np.lexsort((-agree[ok], np.where(agree[ok] >= SURE, rank[i[ok]], SIGNATURE - agree[ok]), agree[ok] < SURE))]
                 for x, y in zip(i[ok].tolist(), j[ok].tolist()):
                     u, v = find(x), find(y)
                     if u != v:
@@ -278,8 +284,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     members = written(bands.join(counts, "band").join(reps.select("key", "n", "sig"), "key"))
 
     blocks = F.greatest(F.lit(1), F.ceil(F.col("count") / BLOCK)).cast("int")
-    h = F.xxhash64("key", "band")
-    hub = (blocks > 1) & (F.pmod(h, F.col("count")) < HUBS)
+    # the hubs of a bucket are its smallest keys, about: keys are hashes
+    hub = (blocks > 1) & (F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("double") * F.col("count") < float(HUBS << 32))
     block = F.pmod(F.xxhash64(F.lit(3), "key"), blocks).cast("int")
     dealt = members.select("band", "key", "n", "sig", F.explode(F.when(hub, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(block))).alias("block"))
     first = written(
