@@ -222,16 +222,21 @@ def _forest(least: float):
 
 
 def _between(least: float):
-    """All likely pairs of different classes between a block's members and its stragglers."""
+    """All likely pairs of different classes between a block's members and its stragglers.
+
+    Each bucket that two texts share compares them, so that the one of their first common band alone gives the pair.
+    """
 
     def pairs(batches):
         for pdf in _groups(batches, ["band", "block", "odd"]):
             sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(-1, SIGNATURE)
             n, keys, cls, role, out = pdf["n"].to_numpy(), pdf["key"].tolist(), pdf["cls"].tolist(), pdf["role"].to_numpy(), set()
+            band, bands = pdf["band"].to_numpy(), np.stack(pdf["bands"].to_numpy())
             for lo, hi in _bounds(pdf, ["band", "block", "odd"]):
                 at = np.arange(lo, hi)
                 for i, j, _ in _alike(sig, n, at[role[lo:hi] == 1], at[role[lo:hi] == 0], least):
-                    out.update((min(keys[x], keys[y]), max(keys[x], keys[y])) for x, y in zip(i.tolist(), j.tolist()) if cls[x] != cls[y])
+                    here = band[lo] == bands[i, np.argmax(bands[i] == bands[j], axis=1)]
+                    out.update((min(keys[x], keys[y]), max(keys[x], keys[y])) for x, y in zip(i[here].tolist(), j[here].tolist()) if cls[x] != cls[y])
             yield pd.DataFrame(sorted(out), columns=["a", "b"])
 
     return pairs
@@ -281,7 +286,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     bands = reps.where("n > 0").select("key", F.explode("bands").alias("band"))
     counts = bands.groupBy("band").count().where("count > 1")
     # signatures join those rows alone that share a bucket
-    members = written(bands.join(counts, "band").join(reps.select("key", "n", "sig"), "key"))
+    members = written(bands.join(counts, "band").join(reps.select("key", "n", "sig", "bands"), "key"))
 
     blocks = F.greatest(F.lit(1), F.ceil(F.col("count") / BLOCK)).cast("int")
     # the hubs of a bucket are its smallest keys, about: keys are hashes
@@ -300,7 +305,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     odd = F.col("cls") != F.col("_main.cls")
     odds = F.greatest(F.lit(1), F.ceil((F.col("_all") - F.col("_main._c")) / BLOCK)).cast("int")
     own = F.pmod(F.xxhash64(F.lit(5), "key"), odds).cast("int")
-    rows = ["band", "key", "n", "sig", "cls"]
+    rows = ["band", "key", "n", "sig", "bands", "cls"]
     every = split.select(*rows, F.lit(0).alias("role"), block.alias("block"), F.explode(F.sequence(F.lit(0), odds - 1)).alias("odd"))
     stray = split.where(odd).select(*rows, F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), own.alias("odd"))
     more = (
