@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -276,3 +277,19 @@ def test_one_of_each_keeps_columns(docs):
     out = minhash.one_of_each(docs)
     assert out.columns == docs.columns
     assert {r.doc_id for r in out.collect()} == {1, 3, 4, None, 8, 9, 10, 11}
+
+
+def test_second_round_gives_each_pair_of_classes_once_and_loses_none():
+    rng = np.random.default_rng(5)
+    sig = rng.integers(0, 256, (5, minhash.SIGNATURE), dtype=np.uint8)
+    n = 30
+    own = [sig[k % 5].tobytes() for k in range(n)]
+    bands = [[int(x) for x in rng.integers(0, 3, minhash.BANDS) + 10 * np.arange(minhash.BANDS)] for _ in range(n)]
+    cls = [bytes([k // 4]) for k in range(n)]
+    rows = [(b, bytes([k]), 9, own[k], bands[k], cls[k], role, 0, 0) for k in range(n) for b in bands[k] for role in (0, 1)]
+    pdf = pd.DataFrame(rows, columns=["band", "key", "n", "sig", "bands", "cls", "role", "block", "odd"]).sort_values(["band", "block", "odd"], ignore_index=True)
+    pdf["bands"] = pdf["bands"].map(lambda x: np.array(x, np.int64))
+    groups = [g.reset_index(drop=True) for _, g in pdf.groupby("band")]
+    got = [tuple(x) for g in groups for out in minhash._between(0.8)(iter([g])) for x in out.itertuples(index=False)]
+    want = {(bytes([a]), bytes([b])) for a in range(n) for b in range(a + 1, n) if own[a] == own[b] and cls[a] != cls[b] and set(bands[a]) & set(bands[b])}
+    assert len(got) == len(set(got)) and set(got) == want and want
