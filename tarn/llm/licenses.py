@@ -108,15 +108,15 @@ def needed(rule) -> list[tuple[str, ...]]:
     return out
 
 
-def _rules() -> list[tuple[int, str, float, list[tuple[str, ...]], re.Pattern]]:
-    """(priority, label, confidence, needed pieces, regex): families in their order, and in a family from the longest form on."""
+def _rules() -> list[tuple[tuple[int, int], str, float, list[tuple[str, ...]], re.Pattern]]:
+    """(priority, label, confidence, needed pieces, regex): priority is the family's place, then the form's."""
     out = []
-    for label, names, tag, addresses in FAMILIES:
+    for place, (label, names, tag, addresses) in enumerate(FAMILIES):
         forms = [("grant", _LEAD + n + rf"(?:\s+licen[cs]e)?(?:{_VERSION})?") for n in names] + [("grant", g) for g in GRANTS.get(label, [])]
         forms += [("tag", rf"(?:spdx-license-identifier|license)\s*[:=]\s*[\"']?{tag}\b")]
         forms += [("address", rf"https?://(?:www\.)?{a}[^\s\"')]*") for a in addresses]
         forms += [("version", rf"\b{n}{_VERSION}") for n in names] + [("name", rf"\b{n}\b") for n in names]
-        out += [(len(out) + i, label, FORMS[f], needed(parser.parse(r)), re.compile(r, re.I | re.A)) for i, (f, r) in enumerate(forms)]
+        out += [((place, i), label, FORMS[f], needed(parser.parse(r)), re.compile(r, re.I | re.A)) for i, (f, r) in enumerate(forms)]
     return out
 
 
@@ -137,8 +137,8 @@ def detections(text: str, low: str) -> list[tuple[int, int, str, float]]:
     """Spans (start, end, label, confidence) that stay after suppression by containment."""
     found = [(p, m.start(), m.end(), label, conf) for p, label, conf, _, rx in candidates(low) for m in rx.finditer(text)]
     kept: list[tuple[int, int, str, float]] = []
-    # longer spans of one family come first by rule order; another family's span goes where one of higher priority contains it
-    for _, a, b, label, conf in sorted(found, key=lambda x: (x[1] - x[2], x[0])):
+    # families in their order, in a family the longest span first: a span goes only where one of equal or higher priority contains it
+    for _, a, b, label, conf in sorted(found, key=lambda x: (x[0][0], x[1] - x[2], x[0][1])):
         if not any(s <= a and b <= e for s, e, _, _ in kept):
             kept.append((a, b, label, conf))
     return sorted(kept)

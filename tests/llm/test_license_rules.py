@@ -37,8 +37,8 @@ def test_gated_and_ungated_scans_agree_on_matches_of_every_rule():
     rng = random.Random(1)
     for rule in licenses.RULES:
         # word boundaries are not drawn, so a few texts do not match
-        texts = [t for _ in range(40) if rule[4].search(t := some_match(parser.parse(rule[4].pattern), rng))]
-        assert len(texts) >= 5, rule
+        texts = [t for _ in range(15) if rule[4].search(t := some_match(parser.parse(rule[4].pattern), rng))]
+        assert texts, rule
         for text in texts:
             may = {r[0] for r in licenses.candidates(text.lower())}
             assert {r[0] for r in licenses.RULES if r[4].search(text)} <= may, (rule[1], text)
@@ -52,3 +52,15 @@ def test_tags_addresses_and_line_breaks_need_no_prose_name():
         'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software': "mit",
     }.items():
         assert licenses.scan_text(text)[5] == label
+
+
+def test_a_catch_all_leaves_the_license_named_inside_it():
+    """A span goes only where one of equal or higher priority contains it."""
+    for text, label in {
+        "Copyright (c) 2015 Foo. Released under the BSD license. All rights reserved.": "bsd,proprietary",
+        "Copyright (c) 2015 Foo. Licensed under the Apache License, Version 2.0. All rights reserved.": "apache,apache-2.0,proprietary",
+        "Copyright 2015 Foo. All rights reserved.": "proprietary",
+        "Apache License, Version 2.0 or later": "apache,apache-2.0", "SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause", "GNU Affero GPL": "agpl", "Creative Commons Attribution-NonCommercial-NoDerivs": "cc-by-nc-nd",
+    }.items():
+        # 'apache' is a base label, or the longer span of the family of lower priority
+        assert licenses.scan_text(text)[5] == label
