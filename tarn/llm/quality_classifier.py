@@ -29,6 +29,10 @@ FIT_ROWS = 3000
 KEEP = 0.5
 #: Accuracies to start from: a labeller seldom accuses a good text, and each knows few of the ways to be bad.
 START = (0.998, 0.2)
+#: What is known beforehand counts as so many votes, however many texts there are.
+PRIOR_VOTES = 30
+#: Constraint that holds the two classes apart: no labeller accuses more than this share of the good texts.
+MOST_ACCUSED = 0.002
 #: Edges of the bins of each ratio.
 BINS = np.array([0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.8, 2.0, 4.0, 6.0, 9.0])
 
@@ -45,7 +49,7 @@ def votes(stats: np.ndarray) -> np.ndarray:
     ], axis=1)
 
 
-def estimate(counts: dict[tuple[int, ...], int], rounds: int = 30) -> tuple[dict, list]:
+def estimate(counts: dict[tuple[int, ...], int], rounds: int = 100) -> tuple[dict, list]:
     """Posterior of good for each vote pattern, and each labeller's accuracy on good and on bad texts."""
     right, share, post = [list(START) for _ in LABELLERS], 0.85, {}
     for _ in range(rounds):
@@ -57,8 +61,8 @@ def estimate(counts: dict[tuple[int, ...], int], rounds: int = 30) -> tuple[dict
         for i in range(len(LABELLERS)):
             for y, sign in ((0, 1), (1, -1)):
                 mass = {p: n * (post[p] if y == 0 else 1 - post[p]) for p, n in counts.items() if p[i]}
-                prior = (20, 1)[y] * max(1, sum(counts.values()))  # what is known of the labellers beforehand, weighed in multiples of all texts
-                right[i][y] = min(0.9995, max(0.02, (sum(m for p, m in mass.items() if p[i] == sign) + prior * START[y]) / (sum(mass.values()) + prior)))
+                found = (sum(m for p, m in mass.items() if p[i] == sign) + PRIOR_VOTES * START[y]) / (sum(mass.values()) + PRIOR_VOTES)
+                right[i][y] = min(0.9999, max((1 - MOST_ACCUSED, 0.001)[y], found))
         n = sum(counts.values())
         share = min(0.98, max(0.5, sum(c * post[p] for p, c in counts.items()) / max(n, 1)))
     return post, right
