@@ -2,7 +2,8 @@
 
 A word is the bag of its character n-grams (hashed), so misspellings never seen share vectors with their
 originals. A window is the average of its words, each
-counted once, a document what its most toxic window says; the windows
+counted once; windows overlap by half. A document is what its most toxic window says, of all its windows in fit,
+calibration and scoring alike; the windows
 that make a toxic document toxic are found by training in rounds. Both layers get their gradients together.
 
 Null and empty texts have one empty window and get its score; rows that repeat each give a row; without usable
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import labelled_sample
 
-BUCKETS, DIM, WINDOW, GRAMS = 1 << 16, 8, 8, (3, 4, 5, 6)
-#: Bounds of the fit: labelled rows of each class, and windows of a row (an even spread over its whole text).
-FIT_ROWS, FIT_WINDOWS = 1200, 160
+BUCKETS, DIM, WINDOW, STEP, GRAMS = 1 << 16, 8, 8, 4, (3, 4, 5, 6)
+#: Bounds of the fit: labelled rows of each class, and words of them all; a row is taken whole or not at all.
+FIT_ROWS, FIT_WORDS = 1200, 1_500_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -36,22 +37,34 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words of each window, and which of them are the first of their word in the window."""
+    n = len(ids)
+    starts = np.arange(0, max(1, n - WINDOW + STEP), STEP)[:, None]
+    order = np.argsort(ids, kind="stable")
+    same = ids[order[1:]] == ids[order[:-1]]
+    before = np.full(n, -1)
+    before[order[1:][same]] = order[:-1][same]
+    place = starts + np.arange(WINDOW)
+    inside = place < n
+    place = np.minimum(place, n - 1)
+    return place, inside & (before[place] < starts)
+
+
 class Bags:
     """Windows as word numbers, and words as n-gram lists."""
 
     def __init__(self, texts: list[str | None]):
         self.number: dict[str, int] = {}
-        windows, self.owner = [], []
+        words, sizes, owners = [], [], []
         for d, t in enumerate(texts):
             ids = [self.number.setdefault(w, len(self.number)) for w in words_of(t)] or [self.number.setdefault("", len(self.number))]
-            cut = [list(dict.fromkeys(ids[i : i + WINDOW])) for i in range(0, len(ids), WINDOW)]
-            step = max(1, -(-len(cut) // FIT_WINDOWS))
-            for k in range(0, len(cut), step):
-                windows.append(cut[k])
-                self.owner.append(d)
-        self.owner = np.array(self.owner)
-        self.size = np.array([len(w) for w in windows])
-        self.words = np.concatenate([np.array(w) for w in windows])
+            ids = np.array(ids)
+            place, first = windows(ids)
+            words.append(ids[place[first]])
+            sizes.append(first.sum(axis=1))
+            owners.append(np.full(len(place), d))
+        self.owner, self.size, self.words = map(np.concatenate, (owners, sizes, words))
         lists = [grams(w) for w in self.number]
         self.g_size = np.array([len(g) for g in lists])
         self.g_at = np.r_[0, np.cumsum(self.g_size)[:-1]]
@@ -146,15 +159,16 @@ class Scorer:
 
     def score(self, text: str | None) -> float:
         m, memo = self.model, self.memo
-        words, best = words_of(text) or [""], -np.inf
+        number: dict[str, int] = {}
+        ids = np.array([number.setdefault(w, len(number)) for w in words_of(text) or [""]])
         if len(memo) >= self.most:
             memo.clear()
-        for w in words:
+        for w in number:
             if w not in memo:
                 memo[w] = float(m["grams"][grams(w)].mean())
-        for i in range(0, len(words), WINDOW):
-            best = max(best, sum([memo[w] for w in set(words[i : i + WINDOW])]))
-        best = best / WINDOW + m["shift"]
+        place, first = windows(ids)
+        value = np.array([memo[w] for w in number])[ids]
+        best = float((value[place] * first).sum(axis=1).max()) / WINDOW + m["shift"]
         return float(1 / (1 + np.exp(-np.clip(m["slope"] * (best - m["middle"]), -30, 30))))
 
 
@@ -162,12 +176,19 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
 
+def within(rows: list, most: int) -> list:
+    """The first rows of at most so many words together, the first one in any case."""
+    words = np.cumsum([len(words_of(r["text"])) for r in rows])
+    return rows[: max(1, int(np.searchsorted(words, most, side="right")))]
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict | None:
     """A model from at most `rows` labelled rows of each class that are not held out; their texts alone reach the driver."""
     usable = ~held_out() & F.col("toxic").isin(0, 1)
     got = []
     for y in (0, 1):
-        got += labelled_sample(docs, labels.where(F.col("toxic") == y), "toxic", rows, usable).select("doc_id", "text", "_label").collect()
+        of_class = labelled_sample(docs, labels.where(F.col("toxic") == y), "toxic", rows, usable).select("doc_id", "text", "_label").collect()
+        got += within(sorted(of_class, key=lambda r: (zlib.crc32(f"fit {r['doc_id']}".encode()), r["doc_id"], r["text"] or "")), FIT_WORDS // 2)
     got.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     return fit([r["text"] for r in got], np.array([r["_label"] for r in got], dtype=int))
 
