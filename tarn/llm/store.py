@@ -6,7 +6,7 @@ recipe lists its chunks; recipes stand in files in ascending doc_id order, and a
 document roots, file roots, the store's root) lets a reader verify everything it gets back.
 
 Layout: objects/kind=0 chunks (key, value), objects/kind=1 recipes as encoded, recipes (ordered, with start and
-root), manifest (a root for each recipe file).
+root), manifest (a root for each recipe file), top (the store's root over the file roots, with counts and sum of ids).
 
 Null and empty texts hold the end id alone; null doc_ids come first; rows that repeat each have a recipe, and
 share its chunks; an empty table makes an empty store.
@@ -113,6 +113,15 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, w
     recipes.sortWithinPartitions("file", "place").write.option("compression", "zstd").parquet(f"{folder}/recipes")
     roots = spark.read.parquet(f"{folder}/recipes").groupBy("file").agg(file_root().alias("root"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     roots.write.parquet(f"{folder}/manifest")
+    spark.read.schema(roots.schema).parquet(f"{folder}/manifest").agg(*store_root()).write.parquet(f"{folder}/top")
+
+
+def store_root() -> list:
+    """Root over the manifest's file roots in order, files, documents and ids of the whole store: a row of the manifest stands for a recipe file."""
+    in_order = F.array_sort(F.collect_list(F.struct("file", "root", "n_docs", "n_tokens")))
+    lines = F.transform(in_order, lambda x: F.concat_ws(":", x["file"].cast("string"), x["root"], x["n_docs"].cast("string"), x["n_tokens"].cast("string")))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_docs", "n_tokens")]
+    return [F.sha2(F.concat_ws(",", lines).cast("binary"), 256).alias("root"), F.count("*").alias("n_files"), *sums]
 
 
 def file_root():
@@ -159,8 +168,9 @@ def crc_joined(parts) -> int:
 def read_store(spark: SparkSession, folder: str, wide: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, n_chunks, root of each document, rebuilt from the files and verified.
 
-    A chunk whose bytes do not give its key, a recipe whose chunks are missing or of another length, or a recipe file
-    that does not give its root in the manifest raises an error.
+    A chunk whose bytes do not give its key, a recipe whose chunk list does not give its root or whose chunks are missing
+    or of another length, a recipe file that does not give its root, documents and ids in the manifest, or a manifest
+    that does not give the store's root raises an error.
     """
     kind = "<u4" if wide else "<u2"
 
@@ -180,10 +190,15 @@ def read_store(spark: SparkSession, folder: str, wide: bool = False) -> DataFram
     chunks = objects.where("kind = 0").select("key", digest("key", "value").alias("_d")).select("key", F.when(F.col("_d.ok"), F.col("_d.n")).otherwise(F.raise_error(F.lit("a chunk is damaged"))).alias("n"), "_d.crc")
     recipes = spark.read.parquet(f"{folder}/recipes")
     roots = spark.read.parquet(f"{folder}/manifest")
-    wrong = recipes.groupBy("file").agg(file_root().alias("now")).join(roots, "file", "full").where(~F.col("now").eqNullSafe(F.col("root"))).count()
+    if [tuple(r) for r in roots.agg(*store_root()).collect()] != [tuple(r) for r in spark.read.parquet(f"{folder}/top").collect()]:
+        raise ValueError("the manifest does not match the store's root")
+    now = recipes.groupBy("file").agg(file_root().alias("now"), F.count("*").alias("docs_now"), F.sum("n_tokens").alias("ids_now"))
+    same = F.col("now").eqNullSafe(F.col("root")) & F.col("docs_now").eqNullSafe(F.col("n_docs")) & F.col("ids_now").eqNullSafe(F.col("n_tokens"))
+    wrong = now.join(roots, "file", "full").where(~same).count()
     if wrong:
         raise ValueError(f"{wrong} recipe files do not match the manifest")
-    refs = recipes.select("file", "place", "doc_id", "start", "n_tokens", "root", F.expr(f"posexplode(transform(sequence(0, length(chunks) div {KEY_BYTES} - 1), i -> substring(chunks, i * {KEY_BYTES} + 1, {KEY_BYTES})))").alias("pos", "key"))
+    proved = F.when(F.sha2("chunks", 256) == F.col("root"), F.col("root")).otherwise(F.raise_error(F.lit("a recipe's chunk list does not give its root")))
+    refs = recipes.withColumn("root", proved).select("file", "place", "doc_id", "start", "n_tokens", "root", F.expr(f"posexplode(transform(sequence(0, length(chunks) div {KEY_BYTES} - 1), i -> substring(chunks, i * {KEY_BYTES} + 1, {KEY_BYTES})))").alias("pos", "key"))
     got = refs.join(chunks, "key", "left").groupBy("file", "place", "doc_id", "start", "n_tokens", "root").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "crc"))).alias("parts"))
     total = F.aggregate("parts", F.lit(0).cast("long"), lambda s, x: s + x["n"])
     return got.select(
