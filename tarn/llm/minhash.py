@@ -2,9 +2,10 @@
 
 Texts of the same words are one class from the start. For the others, each of BANDS hash functions samples the
 PICK smallest occurrence-labelled five-word shingles of a text and keeps their text order; texts that agree in a
-band's sample are candidates. A compact MinHash signature rules out pairs far below the threshold, and a pair is
-linked if its shingle sets have a Jaccard similarity of at least `least` and a banded alignment of its words an
-edit similarity of at least `least`. Classes are the connected components of the links.
+band's sample are candidates. A pair is linked if a banded alignment of its words finds an edit similarity
+(1 - edits / words of the longer text) of at least `least`. Classes are the connected components of the links.
+Before the alignment a MinHash signature of occurrence-labelled words, which any linked pair shares to two thirds
+at 0.8, rules out pairs that no alignment can link.
 
 Candidates are found twice. First, each bucket is dealt into blocks of bounded size with a few common hubs, and
 of a block only a spanning forest of the likeliest pairs is verified: linear in the bucket, and enough for most.
@@ -18,6 +19,7 @@ doc_ids never name a class unless all its rows have none (then class_id is null)
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -27,12 +29,12 @@ from pyspark.sql import functions as F
 
 from .common import py_words, written
 
-SHINGLE, BANDS, PICK, SIGNATURE = 5, 12, 2, 512
-#: Signature places that must agree for a pair to be verified, of the first EARLY and of all: at a similarity of 0.8,
-#: about 1 in 100,000 pairs has fewer.
-EARLY, AGREE_EARLY, AGREE = 64, 37, 371
+SHINGLE, BANDS, PICK, SIGNATURE = 5, 16, 2, 128
+#: Signature places that must agree for a pair to be aligned, of the first EARLY and of all. An edit similarity of 0.8
+#: leaves at least 0.8 n of n words in common, out of at most 1.2 n: of 10,000 pairs at the threshold, about 1 has fewer.
+EARLY, AGREE_EARLY, AGREE = 32, 10, 64
 #: Places that agree in pairs likely enough to be linked for any of them to serve in a spanning forest.
-SURE = 436
+SURE = 104
 #: Members of a block of a bucket, and hubs that all of its blocks see.
 BLOCK, HUBS = 256, 24
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -63,9 +65,8 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
-def shingles(words: list[str]) -> np.ndarray:
-    """Hashes of the shingles in text order."""
-    h = word_hashes(words)
+def shingles(h: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles of hashed words in text order."""
     k = min(SHINGLE, len(h))
     n = len(h) - k + 1 if k else 0
     out = np.full(n, k, np.uint64)
@@ -75,31 +76,35 @@ def shingles(words: list[str]) -> np.ndarray:
     return out
 
 
-def sketch(sh: np.ndarray) -> tuple[list[int], bytes, int]:
-    """Band keys, signature, and the number of distinct shingles."""
-    order = np.argsort(sh, kind="stable")
-    s = sh[order]
-    new = np.r_[True, s[1:] != s[:-1]]
-    first = np.flatnonzero(new)
+def labelled(h: np.ndarray) -> np.ndarray:
+    """Hashes of the values with their occurrence: the first, the second ... of each."""
+    order = np.argsort(h, kind="stable")
+    s = h[order]
+    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
     nth = np.arange(len(s)) - np.repeat(first, np.diff(np.r_[first, len(s)]))
-    labelled = np.empty_like(sh)
+    out = np.empty_like(h)
     with np.errstate(over="ignore"):
-        labelled[order] = mix(s + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    keys, least, distinct = [], [], s[first]
+        out[order] = mix(s + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return out
+
+
+def sketch(words: np.ndarray, sh: np.ndarray) -> tuple[list[int], bytes]:
+    """Band keys of the shingles and the signature of the words."""
+    keys, least, marked = [], [], labelled(sh)
     pick = min(PICK, len(sh))
+    # in 32 bits, which processors multiply several at a time
+    short = (labelled(words) >> np.uint64(32)).astype(np.uint32)
     with np.errstate(over="ignore"):
         for b in range(BANDS):
-            x = (labelled ^ _SEEDS[b]) * _ODD[b]
+            x = (marked ^ _SEEDS[b]) * _ODD[b]
             at = np.sort(np.argpartition(x, pick - 1)[:pick])
-            keys.append(xxhash.xxh64_intdigest(labelled[at].tobytes(), seed=b) - (1 << 63))
+            keys.append(xxhash.xxh64_intdigest(marked[at].tobytes(), seed=b) - (1 << 63))
         # a few hash functions at once, so that a block of values stays in the cache
-        # and in 32 bits, which processors multiply several at a time
-        step, short = max(1, 16_384 // len(distinct)), (distinct >> np.uint64(32)).astype(np.uint32)
+        step = max(1, 16_384 // len(short))
         for j in range(BANDS, BANDS + SIGNATURE, step):
             end = min(j + step, BANDS + SIGNATURE)
             least.append(((short[None, :] ^ _SEEDS32[j:end, None]) * _ODD32[j:end, None]).min(axis=1))
-    sig = (mix(np.concatenate(least).astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
-    return keys, sig.tobytes(), len(first)
+    return keys, (mix(np.concatenate(least).astype(np.uint64)) & np.uint64(255)).astype(np.uint8).tobytes()
 
 
 def _marks(texts: pd.Series) -> pd.DataFrame:
@@ -107,47 +112,72 @@ def _marks(texts: pd.Series) -> pd.DataFrame:
     for t in texts:
         words = py_words(t)
         key = hashlib.blake2b("\x00".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        out.append((key, *((lambda k, s, n: (n, k, s))(*sketch(shingles(words))) if words else (0, [], b""))))
+        hashed = word_hashes(words)
+        out.append((key, len(words), *(sketch(hashed, shingles(hashed)) if words else ([], b""))))
     return pd.DataFrame(out, columns=["key", "n", "bands", "sig"])
 
 
-def edit_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
-    """1 - edits / longer length by a banded alignment, or 0 if that is under least.
-
-    Furthest reach on each diagonal of the band, edit by edit; the band is as wide as the edits allowed.
-    """
-    n, m = len(a), len(b)
-    longest = max(n, m, 1)
-    most = int((1 - least) * longest + 1e-9)
-    if abs(n - m) > most:
-        return 0.0
-    runs: dict[int, np.ndarray] = {}
-
-    def slide(i: int, d: int) -> int:
-        """Row where the run of equal words ends that starts in row i of diagonal d."""
-        if d not in runs:
-            lo, hi = max(0, -d), min(n, m - d)
-            ends = np.full(n + 2, hi, np.int64)
-            if hi > lo:
-                differ = np.where(a[lo:hi] != b[lo + d : hi + d], np.arange(lo, hi), hi)
-                ends[lo:hi] = np.minimum.accumulate(differ[::-1])[::-1]
-            runs[d] = ends
-        return int(runs[d][i]) if i <= n else i
-
-    reach = {0: slide(0, 0)}
-    goal = m - n
-    for edits in range(most + 1):
-        if reach.get(goal, -1) >= n:
-            return 1 - edits / longest
-        after = {}
-        for d in range(-min(edits + 1, n, most), min(edits + 1, m, most) + 1):
-            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1)
-            if i >= 0 and i >= -d:
-                i = min(i, n, m - d)
-                if i >= max(0, -d):
-                    after[d] = max(slide(i, d), i)
-        reach = after
-    return 0.0
+class Aligner:
+    """Banded alignments of one text with others: a column of the band is two bit vectors, moved down a row with each word."""
+
+    #: Words up to which the rows of each word are kept as one bit mask; above, as places alone, so that memory stays linear.
+    MASKED = 4096
+
+    def __init__(self, a: list):
+        self.n, self.counts, self.places = len(a), Counter(a), {}
+        for i, w in enumerate(a):
+            self.places.setdefault(w, []).append(i)
+        self.masks = {w: sum(1 << i for i in at) for w, at in self.places.items()} if self.n <= self.MASKED else None
+        if self.masks is None:
+            self.places = {w: np.array(at) for w, at in self.places.items()}
+
+    def rows(self, word, low: int, width: int) -> int:
+        """Bit t is set where the word stands in place low + t."""
+        if self.masks is not None:
+            x = self.masks.get(word, 0)
+            return (x >> low if low >= 0 else x << -low) & ((1 << width) - 1)
+        at = self.places.get(word)
+        if at is None:
+            return 0
+        i, j = np.searchsorted(at, (low, low + width)).tolist()
+        if j - i <= 4:
+            return sum(1 << p for p in (at[i:j] - low).tolist())
+        bits = np.zeros(width, np.uint8)
+        bits[at[i:j] - low] = 1
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+    def similarity(self, b: list, least: float) -> float:
+        """1 - edits / longer length, or 0 if that is under least. The band is as wide as the edits allowed."""
+        n, m = self.n, len(b)
+        longest = max(n, m, 1)
+        most = int((1 - least) * longest + 1e-9)
+        # each edit takes one word at most from what the two have in common
+        if abs(n - m) > most or sum(min(c, self.counts.get(w, 0)) for w, c in Counter(b).items()) < longest - most:
+            return 0.0
+        # bit t of a column stands for row j - most + t; rows above the text cost as much as its first one
+        width, slack = 2 * most + 1, most + abs(n - m)
+        full, top = (1 << width) - 1, 1 << (width - 1)
+        up, down, diagonal = full ^ ((1 << (most + 1)) - 1), 0, 0
+        for j, w in enumerate(b):
+            up, down = up >> 1 | top, down >> 1
+            same = self.rows(w, j - most, width)
+            free = (((same & up) + up) ^ up | same | down) & full
+            right = ((down | (full ^ (up | free))) << 1 | 1) & full
+            left = ((up & free) << 1) & full
+            up, down = left | (full ^ (free | right)), right & free
+            if not free >> most & 1:
+                diagonal += 1
+                if diagonal > slack:
+                    return 0.0
+        # from the end of the diagonal up or down the last column
+        between = ((1 << abs(n - m)) - 1) << (most + 1 if n > m else most + 1 - (m - n))
+        along = (up & between).bit_count() - (down & between).bit_count()
+        edits = diagonal + (along if n > m else -along)
+        return 1 - edits / longest if edits <= most else 0.0
+
+
+def edit_similarity(a: list, b: list, least: float) -> float:
+    return Aligner(a).similarity(b, least)
 
 
 def _groups(batches, columns: list[str]):
@@ -243,17 +273,19 @@ def _between(least: float):
 
 
 def _verify(least: float):
+    """Links of pairs that come in the order of a, whose text is prepared once."""
+
     def links(batches):
+        last, aligner = None, None
         for pdf in batches:
             out = []
             for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"]):
-                wa, wb = py_words(ta), py_words(tb)
-                sa, sb = np.unique(shingles(wa)), np.unique(shingles(wb))
-                both = len(np.intersect1d(sa, sb, assume_unique=True))
-                jaccard = both / max(1, len(sa) + len(sb) - both)
-                if jaccard >= least and edit_similarity(word_hashes(wa), word_hashes(wb), least) >= least:
-                    out.append((a, b, jaccard))
-            yield pd.DataFrame(out, columns=["a", "b", "jaccard"])
+                if a != last:
+                    last, aligner = a, Aligner(py_words(ta))
+                found = aligner.similarity(py_words(tb), least)
+                if found >= least:
+                    out.append((a, b, found))
+            yield pd.DataFrame(out, columns=["a", "b", "similarity"])
 
     return links
 
@@ -284,7 +316,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
         .select("key", F.col("_r.doc_id").alias("exact_id"), "_r.th", "n", "bands", "sig")
     )
     bands = reps.where("n > 0").select("key", F.explode("bands").alias("band"))
-    counts = bands.groupBy("band").count().where("count > 1")
+    # counts are written, so that Spark can split a hot bucket in the join
+    counts = written(bands.groupBy("band").count().where("count > 1"))
     # signatures join those rows alone that share a bucket
     members = written(bands.join(counts, "band").join(reps.select("key", "n", "sig", "bands"), "key"))
 
@@ -300,8 +333,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     classes = components(links)
 
     known = members.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("cls", F.coalesce("cls", "key"))
+    known = written(known)
     sizes = known.groupBy("band", "cls").agg(F.count("*").alias("_c")).groupBy("band").agg(F.max(F.struct("_c", "cls")).alias("_main"), F.count("*").alias("_classes"), F.sum("_c").alias("_all"))
-    split = known.join(sizes.where("_classes > 1"), "band")
+    split = written(known.join(written(sizes.where("_classes > 1")), "band"))
     odd = F.col("cls") != F.col("_main.cls")
     odds = F.greatest(F.lit(1), F.ceil((F.col("_all") - F.col("_main._c")) / BLOCK)).cast("int")
     own = F.pmod(F.xxhash64(F.lit(5), "key"), odds).cast("int")
@@ -318,20 +352,24 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
         if extra.limit(1).count():
             classes = components(links.unionByName(extra))
     named = reps.select("key", "exact_id").join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("cls", F.coalesce("cls", "key"))
-    least_id = named.groupBy("cls").agg(F.min("exact_id").alias("class_id"))
-    names = named.join(least_id, "cls").select("key", "cls", "exact_id", "class_id")
+    named = written(named)
+    least_id = written(named.groupBy("cls").agg(F.min("exact_id").alias("class_id")))
+    names = written(named.join(least_id, "cls").select("key", "cls", "exact_id", "class_id"))
     return marked.select("doc_id", "key").join(names, "key").select("doc_id", "key", "cls", "exact_id", "class_id")
 
 
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """a, b, jaccard of the pairs of keys that are near duplicates; only their texts are moved."""
+    """a, b, similarity of the pairs of keys that are near duplicates; only their texts are moved.
+
+    The text of b comes first: a is a hub with many pairs, whose text is joined last and never moved with them.
+    """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = reps.join(ends, "key", "left_semi").select("key", F.col("exact_id").alias("_id"), F.col("th").alias("_th"))
+    wanted = reps.join(written(ends), "key", "left_semi").select("key", F.col("exact_id").alias("_id"), F.col("th").alias("_th"))
     th = F.md5(F.coalesce(F.col("text"), F.lit("")))
     texts = docs.select("doc_id", "text", th.alias("th")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
     texts = written(texts.groupBy("key").agg(F.first("text").alias("text")))
     a, b = texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInPandas(_verify(least), "a binary, b binary, jaccard double")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInPandas(_verify(least), "a binary, b binary, similarity double")
 
 
 def one_of_each(docs: DataFrame, least: float = 0.8) -> DataFrame:
