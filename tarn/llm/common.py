@@ -16,7 +16,8 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACED = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PY_WORD = re.compile(WORD)
-PY_LOWER = str.maketrans(UPPER, LOWER)
+#: Bytes of UTF-8 to bytes: A-Z in lower case, a space for what is no part of a word.
+_TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +34,14 @@ def word_array(c: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(c, F.lit(""))), NOT_WORD), "")
 
 
+def byte_words(text: str | None) -> list[bytes]:
+    """The words of word_array() in UTF-8."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_TO_WORDS).split()
+
+
 def py_words(text: str | None) -> list[str]:
-    return PY_WORD.findall((text or "").translate(PY_LOWER))
+    """The words of word_array()."""
+    return list(filter(None, (text or "").encode("utf-8", "surrogatepass").translate(_TO_WORDS).decode("utf-8", "surrogatepass").split(" ")))
 
 
 def shared_folder(spark: SparkSession) -> str:

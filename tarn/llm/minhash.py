@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import py_words, written
+from .common import byte_words, written
 
 SHINGLE, BANDS, PICK, SIGNATURE = 5, 16, 2, 128
 #: Signature places that must agree for a pair to be aligned, of the first EARLY and of all. An edit similarity of 0.8
@@ -37,6 +37,7 @@ EARLY, AGREE_EARLY, AGREE = 32, 10, 64
 SURE = 104
 #: Members of a block of a bucket, and hubs that all of its blocks see.
 BLOCK, HUBS = 256, 24
+_LAST = np.uint64((1 << 64) - 1)
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -50,19 +51,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 _SEEDS = mix(np.arange(1, 1 + BANDS + SIGNATURE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = mix(_SEEDS) | np.uint64(1)
 _SEEDS32, _ODD32 = (_SEEDS >> np.uint64(32)).astype(np.uint32), (_ODD & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-_WORDS: dict[str, int] = {}
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    if len(_WORDS) > 300_000:
-        _WORDS.clear()
-    out = []
-    for w in words:
-        h = _WORDS.get(w)
-        if h is None:
-            h = _WORDS[w] = xxhash.xxh64_intdigest(w)
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
+class _Hashes(dict):
+    """Hash of each word, emptied when it holds many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 300_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_WORDS = _Hashes()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
@@ -97,7 +102,11 @@ def sketch(words: np.ndarray, sh: np.ndarray) -> tuple[list[int], bytes]:
     with np.errstate(over="ignore"):
         for b in range(BANDS):
             x = (marked ^ _SEEDS[b]) * _ODD[b]
-            at = np.sort(np.argpartition(x, pick - 1)[:pick])
+            at = []
+            for _ in range(pick):
+                at.append(int(x.argmin()))
+                x[at[-1]] = _LAST
+            at.sort()
             keys.append(xxhash.xxh64_intdigest(marked[at].tobytes(), seed=b) - (1 << 63))
         # a few hash functions at once, so that a block of values stays in the cache
         step = max(1, 16_384 // len(short))
@@ -110,8 +119,8 @@ def sketch(words: np.ndarray, sh: np.ndarray) -> tuple[list[int], bytes]:
 def _marks(texts: pd.Series) -> pd.DataFrame:
     out = []
     for t in texts:
-        words = py_words(t)
-        key = hashlib.blake2b("\x00".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        words = byte_words(t)
+        key = hashlib.blake2b(b"\0".join(words), digest_size=16).digest()
         hashed = word_hashes(words)
         out.append((key, len(words), *(sketch(hashed, shingles(hashed)) if words else ([], b""))))
     return pd.DataFrame(out, columns=["key", "n", "bands", "sig"])
@@ -281,8 +290,8 @@ def _verify(least: float):
             out = []
             for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"]):
                 if a != last:
-                    last, aligner = a, Aligner(py_words(ta))
-                found = aligner.similarity(py_words(tb), least)
+                    last, aligner = a, Aligner(byte_words(ta))
+                found = aligner.similarity(byte_words(tb), least)
                 if found >= least:
                     out.append((a, b, found))
             yield pd.DataFrame(out, columns=["a", "b", "similarity"])
@@ -380,7 +389,7 @@ def one_of_each(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
     @F.pandas_udf("string")
     def word_key(texts: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.blake2b("\x00".join(py_words(t)).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest().upper() for t in texts])
+        return pd.Series([hashlib.blake2b(b"\0".join(byte_words(t)), digest_size=16).hexdigest().upper() for t in texts])
 
     mine = docs.join(keep.select("_tarn_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_tarn_id")), "left_semi").withColumn("_tarn_key2", word_key("text"))
     return mine.join(keep, F.col("doc_id").eqNullSafe(F.col("_tarn_id")) & (F.col("_tarn_key2") == F.col("_tarn_key")), "left_semi").dropDuplicates(["doc_id", "_tarn_key2"]).drop("_tarn_key2")
