@@ -61,9 +61,9 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int, where: Column | None = None) -> DataFrame:
-    """Texts of at most `rows` labelled documents, those of the smallest hash of doc_id; the bound makes the broadcast safe.
+    """doc_id, text, _label of at most `rows` labelled documents, those of the smallest hash of doc_id; the bound makes the broadcast safe.
 
-    Labels that are null are left out; of several labels of a document the largest counts.
+    Labels that are null are left out; of several labels of a document the largest counts, of several texts the one of the smallest hash.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull())
     if where is not None:
@@ -71,7 +71,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int,
     chosen = (
         known.groupBy("doc_id").agg(F.max(column).alias("_label")).orderBy(F.xxhash64(F.col("doc_id"), F.lit(17)), "doc_id").limit(rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # doc_ids may repeat: the text's hash picks one row of each before any text is moved on
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "_label").agg(F.min_by("text", F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("text")).select("doc_id", "text", "_label")
 
 
 def _byte_chars() -> str:
@@ -97,12 +99,31 @@ class Memo(dict):
         return packed
 
 
+class Units(dict):
+    """Ids of a run without spaces together with the space before it; longer ones are not remembered."""
+
+    LONGEST = 64
+
+    def __init__(self, pieces: Memo, pattern: re.Pattern, most: int):
+        super().__init__()
+        self.pieces, self.pattern, self.most = pieces, pattern, most
+
+    def __missing__(self, unit: str) -> bytes:
+        packed = b"".join(map(self.pieces.__getitem__, self.pattern.findall(" " + unit)))
+        if len(unit) <= self.LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[unit] = packed
+        return packed
+
+
 class PieceEncoder:
     """Ids of whole texts as the tokenizers library gives them, remembering the ids of pieces.
 
     A byte-level tokenizer cuts a text into pieces by a pattern and encodes each by itself. Over the characters of
     PLAIN, whose classes are fixed, the pattern is written out here; the library's model encodes each new piece
-    once. Any other text, and one that holds an added token's string, goes to the library whole.
+    once. A space before a visible character always starts a piece, so texts are cut there first where no space
+    stands beside other white space. Any other text, and one that holds an added token's string, goes to the library whole.
     """
 
     LETTER, NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -110,23 +131,23 @@ class PieceEncoder:
     #: The published pattern of byte-level tokenizers, its first two alternatives set before the contractions.
     PIECE = re.compile(rf" ?[{LETTER}]+| ?[{NUMBER}]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo = Memo(self.tokenizer.model, most)
-
-    def pieces(self, text: str) -> list[str] | None:
-        return None if self.OUTSIDE.search(text) or any(a in text for a in self.added) else self.PIECE.findall(text)
+        self.units = Units(self.memo, self.PIECE, most)
 
     def packed(self, text: str) -> bytes:
         """The text's ids as 32-bit little-endian bytes."""
-        cut = self.pieces(text)
-        if cut is None:
+        if self.OUTSIDE.search(text) or any(a in text for a in self.added):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join(map(self.memo.__getitem__, cut))
+        if "  " in text or " \n" in text or text.endswith(" "):
+            return b"".join(map(self.memo.__getitem__, self.PIECE.findall(text)))
+        first, *rest = text.split(" ")
+        return b"".join([*map(self.memo.__getitem__, self.PIECE.findall(first)), *map(self.units.__getitem__, rest)])
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}

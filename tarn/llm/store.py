@@ -68,9 +68,11 @@ def encode_objects(docs: DataFrame, tokenizer: str, end_id: int, wide: bool) ->
 
     def encode(batches):
         enc, part, row, seen = encoder(tokenizer), TaskContext.get().partitionId(), 0, set()
+        if not wide and max(enc.tokenizer.get_vocab_size(), end_id + 1) > 1 << 16:
+            raise ValueError("ids of this tokenizer need wide=True")
         for pdf in batches:
             out = []
-            for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
+            for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
                 ids = np.frombuffer(enc.packed(text or "") + end, "<u4").astype(kind)
                 raw, width, last, keys = ids.tobytes(), ids.itemsize, 0, []
                 for b in cuts(ids):
@@ -83,25 +85,25 @@ def encode_objects(docs: DataFrame, tokenizer: str, end_id: int, wide: bool) ->
                             seen.clear()
                         seen.add(key)
                         out.append((0, key, None, 0, piece))
-                out.append((1, struct.pack(">IQ", part, row), None if pd.isna(doc_id) else int(doc_id), len(ids), b"".join(keys)))
+                out.append((1, struct.pack(">IQ", part, row), None if pd.isna(doc_id) else doc_id, len(ids), b"".join(keys)))
                 row += 1
-            made = pd.DataFrame(out, columns=["kind", "key", "doc_id", "n", "value"])
-            made["doc_id"] = made["doc_id"].astype("Int64")
-            yield made
+            yield pd.DataFrame(out, columns=["kind", "key", "doc_id", "n", "value"])
 
-    return docs.select("doc_id", "text").mapInPandas(encode, "kind int, key binary, doc_id long, n long, value binary")
+    # doc_ids travel as strings: pandas would make floats of whole numbers beside nulls
+    made = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(encode, "kind int, key binary, doc_id string, n long, value binary")
+    return made.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, wide: bool = False) -> None:
     """Writes the store under folder. wide: ids of 32 bits, for vocabularies over 65,536."""
-    spark = docs.sparkSession
+    spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     objects = encode_objects(docs, tokenizer, end_id, wide).groupBy("kind", "key").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("value").alias("value"))
     objects.write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/objects")
-    raw = spark.read.schema("key binary, doc_id long, n long, value binary, kind int").parquet(f"{folder}/objects").where("kind = 1")
+    raw = spark.read.schema(f"key binary, doc_id {id_type}, n long, value binary, kind int").parquet(f"{folder}/objects").where("kind = 1")
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), raw.count() // FILE_DOCS)
     placed = raw.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), F.col("key")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "key")
     placed.select(F.spark_partition_id().alias("file"), "doc_id", "key", "n", "value").write.parquet(f"{folder}/placed")
-    placed = spark.read.schema("file int, doc_id long, key binary, n long, value binary").parquet(f"{folder}/placed")
+    placed = spark.read.schema(f"file int, doc_id {id_type}, key binary, n long, value binary").parquet(f"{folder}/placed")
     # words before a file: a sum over the files, of which there are few; within a file a window
     totals = placed.groupBy("file").agg(F.sum("n").alias("_n"))
     base = totals.select("file", (F.sum("_n").over(Window.orderBy("file")) - F.col("_n")).alias("_base"))
@@ -186,7 +188,7 @@ def read_store(spark: SparkSession, folder: str, wide: bool = False) -> DataFram
     def joined(parts: pd.Series) -> pd.Series:
         return pd.Series([crc_joined((x["crc"], 4 * x["n"]) for x in p) for p in parts], dtype="int64")
 
-    objects = spark.read.schema("key binary, doc_id long, n long, value binary, kind int").parquet(f"{folder}/objects")
+    objects = spark.read.schema("key binary, value binary, kind int").parquet(f"{folder}/objects")
     chunks = objects.where("kind = 0").select("key", digest("key", "value").alias("_d")).select("key", F.when(F.col("_d.ok"), F.col("_d.n")).otherwise(F.raise_error(F.lit("a chunk is damaged"))).alias("n"), "_d.crc")
     recipes = spark.read.parquet(f"{folder}/recipes")
     roots = spark.read.parquet(f"{folder}/manifest")

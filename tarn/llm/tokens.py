@@ -18,10 +18,6 @@ from pyspark.sql import functions as F
 
 from .common import encoder
 
-#: Characters at a chunk's end whose pieces may differ in the whole text: the longest added token and one more to look ahead.
-MARGIN = 32
-
-
 def starts(encoding) -> tuple[np.ndarray, np.ndarray]:
     """Where pieces start, the first one left out: character offsets and the index of the piece's first token."""
     word = np.array([-1 if w is None else w for w in encoding.word_ids], dtype=np.int64)
@@ -32,24 +28,30 @@ def starts(encoding) -> tuple[np.ndarray, np.ndarray]:
     return offsets[first], first
 
 
-def count_by_chunks(tokenizer, text: str, chunk_chars: int, overlap: int) -> int:
-    """Tokens of the whole text, from chunks of chunk_chars that overlap."""
-    done, at, skip, n = 0, 0, 0, len(text)  # tokens counted; the chunk's start; its tokens that the left chunk has counted
-    end = min(n, chunk_chars)
+def margin(tokenizer) -> int:
+    """Characters at a chunk's end whose pieces may differ in the whole text: the longest added token and some to look ahead."""
+    return 16 + max((len(t.content) for t in tokenizer.get_added_tokens_decoder().values()), default=0)
+
+
+def count_by_chunks(tokenizer, text: str, chunk_chars: int, overlap: int) -> tuple[int, int]:
+    """Tokens of the whole text, from chunks of chunk_chars that overlap, and the chunks that were encoded."""
+    done, at, skip, n, edge = 0, 0, 0, len(text), margin(tokenizer)  # tokens counted; the chunk's start; its tokens that the left chunk has counted
+    end, chunks = min(n, chunk_chars), 1
     left = tokenizer.encode(text[at:end], add_special_tokens=False)
     while end < n:
         l_off, l_tok = starts(left)
         wide = overlap
         while True:
             begin = max(at, end - wide)
-            if begin == at:  # no stable place in all of the left chunk: take it into a longer one
-                end = min(n, end + chunk_chars)
+            chunks += 1
+            if begin == at:  # no stable place in all of the left chunk: take it into one twice as long
+                end = min(n, end + max(chunk_chars, end - at))
                 left = tokenizer.encode(text[at:end], add_special_tokens=False)
                 break
             to = min(n, begin + max(chunk_chars, 2 * wide))
             right = tokenizer.encode(text[begin:to], add_special_tokens=False)
             r_off, r_tok = starts(right)
-            safe = (l_off + at <= end - MARGIN) & (l_tok >= skip)
+            safe = (l_off + at <= end - edge) & (l_tok >= skip)
             common, i, j = np.intersect1d(l_off[safe] + at, r_off + begin, return_indices=True)
             # an offset can repeat where a piece of no width was trimmed: only places that both hold once are used
             if len(common):
@@ -57,22 +59,20 @@ def count_by_chunks(tokenizer, text: str, chunk_chars: int, overlap: int) -> int
                 done += int(l_tok[safe][i[k]]) - skip
                 left, at, end, skip = right, begin, to, int(r_tok[j[k]])
                 break
-            wide *= 2
-    return done + len(left.ids) - skip
+            wide *= 4
+    return done + len(left.ids) - skip, chunks
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, over: int = 512, chunk_chars: int = 65_536, overlap: int = 512) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit and n_chunks of each row of docs; tokenizer is the path of a byte-level file."""
+    """doc_id, n_bytes, n_tokens, over_limit and n_chunks (encoded) of each row of docs; tokenizer is the path of a byte-level file."""
 
-    @F.pandas_udf("long")
-    def n_tokens(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("n_tokens long, n_chunks long")
+    def counted(texts: pd.Series) -> pd.DataFrame:
         enc = encoder(tokenizer)
-        return pd.Series(
-            [count_by_chunks(enc.tokenizer, t, chunk_chars, overlap) if len(t) > chunk_chars else len(enc.packed(t)) // 4 for t in texts], dtype="int64"
-        )
+        out = [count_by_chunks(enc.tokenizer, t, chunk_chars, overlap) if len(t) > chunk_chars else (len(enc.packed(t)) // 4, 1) for t in texts]
+        return pd.DataFrame(out, columns=["n_tokens", "n_chunks"], dtype="int64")
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    step = chunk_chars - overlap
-    return docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), n_tokens(text).alias("n_tokens"), F.greatest(F.lit(1), F.ceil((F.char_length(text) - overlap) / step)).cast("long").alias("n_chunks")).select(
-        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > over).alias("over_limit"), "n_chunks"
+    return docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), counted(text).alias("_c")).select(
+        "doc_id", "n_bytes", "_c.n_tokens", (F.col("_c.n_tokens") > over).alias("over_limit"), "_c.n_chunks"
     )
