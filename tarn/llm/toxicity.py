@@ -1,10 +1,10 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams (hashed), so misspellings never seen share vectors with their
-originals. A window is the average of its words, each
-counted once; windows overlap by half. A document is what its most toxic window says, of all its windows in fit,
-calibration and scoring alike; the windows
-that make a toxic document toxic are found by training in rounds. Both layers get their gradients together.
+originals. A window is the average of its words, each counted once (fewer than half a window count as half);
+windows overlap by half. A document is what its most toxic window says, of all its windows in fit, calibration
+and scoring alike; the windows that make a toxic document toxic are found by training in rounds. Both layers get
+their gradients together.
 
 Null and empty texts have one empty window and get its score; rows that repeat each give a row; without usable
 labels all scores are 0.
@@ -26,6 +26,8 @@ BUCKETS, DIM, WINDOW, STEP, GRAMS = 1 << 16, 8, 8, 4, (3, 4, 5, 6)
 #: Bounds of the fit: labelled rows of each class, and words of them all; a row is taken whole or not at all.
 FIT_ROWS, FIT_WORDS = 1200, 1_500_000
 _WORD = re.compile(r"[^\W\d_]+")
+#: ASCII bytes to bytes: letters in lower case, a space for the rest.
+_LETTERS = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalpha() else 32 for b in range(256))
 
 
 def grams(word: str) -> list[int]:
@@ -34,6 +36,9 @@ def grams(word: str) -> list[int]:
 
 
 def words_of(text: str | None) -> list[str]:
+    """Runs of letters in lower case."""
+    if text and text.isascii():
+        return text.encode().translate(_LETTERS).decode().split()
     return _WORD.findall((text or "").lower())
 
 
@@ -52,7 +57,7 @@ def windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Bags:
-    """Windows as word numbers, and words as n-gram lists."""
+    """Windows as word numbers, and words as lists of n-grams, numbered in the order of their buckets."""
 
     def __init__(self, texts: list[str | None]):
         self.number: dict[str, int] = {}
@@ -68,7 +73,7 @@ class Bags:
         lists = [grams(w) for w in self.number]
         self.g_size = np.array([len(g) for g in lists])
         self.g_at = np.r_[0, np.cumsum(self.g_size)[:-1]]
-        self.g = np.concatenate([np.array(g) for g in lists])
+        self.buckets, self.g = np.unique(np.concatenate([np.array(g) for g in lists]), return_inverse=True)
         self.at = np.r_[0, np.cumsum(self.size)[:-1]]
 
 
@@ -77,23 +82,38 @@ def _spans(at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(at - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
 
 
+def _used(ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers under `most`, and the place of each id among them."""
+    seen = np.zeros(most, bool)
+    seen[ids] = True
+    distinct = np.flatnonzero(seen)
+    place = np.zeros(most, np.int64)
+    place[distinct] = np.arange(len(distinct))
+    return distinct, place[ids]
+
+
 def _forward(b: Bags, e: np.ndarray, rows: np.ndarray):
     words = b.words[_spans(b.at[rows], b.size[rows])]
-    uniq, inv = np.unique(words, return_inverse=True)
+    uniq, inv = _used(words, len(b.g_size))
     gram = b.g[_spans(b.g_at[uniq], b.g_size[uniq])]
     vec = np.add.reduceat(e[gram], np.r_[0, np.cumsum(b.g_size[uniq])[:-1]], axis=0) / b.g_size[uniq][:, None]
-    avg = np.add.reduceat(vec[inv], np.r_[0, np.cumsum(b.size[rows])[:-1]], axis=0) / WINDOW
+    avg = np.add.reduceat(vec[inv], np.r_[0, np.cumsum(b.size[rows])[:-1]], axis=0) / divisor(b.size[rows])[:, None]
     return avg, uniq, inv, gram
 
 
+def divisor(size: np.ndarray) -> np.ndarray:
+    """What the sum over a window's words is divided by: their number, half a window at least."""
+    return np.maximum(size, WINDOW // 2)
+
+
 def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 4, epochs: int = 3, batch: int = 2000, rate: float = 0.5, seed: int = 3) -> dict | None:
     """Embeddings folded with the softmax into a score for each n-gram bucket, and a calibration; None without both labels."""
     toxic = np.asarray(toxic)
     if not len(toxic) or toxic.min() == toxic.max():
         return None
     rng, b = np.random.default_rng(seed), Bags(texts)
-    e, w, c = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
-    ge, gw = np.full((BUCKETS, 1), 1e-6), np.full(w.shape, 1e-6)
+    e, w, c = rng.normal(0, 0.1, (BUCKETS, DIM))[b.buckets], rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
+    ge, gw = np.full((len(b.buckets), 1), 1e-6), np.full(w.shape, 1e-6)
     y, weight = toxic[b.owner].astype(int), np.ones(len(b.owner))
     for turn in range(rounds):
         pos = weight[y == 1].sum()
@@ -108,13 +128,13 @@ def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 4, epochs: int
                 p /= p.sum(axis=1, keepdims=True)
                 p[np.arange(len(rows)), y[rows]] -= 1
                 d = p * (balance[rows] / balance[rows].sum())[:, None] * 50
-                d_avg = (d @ w.T) / WINDOW
+                d_avg = (d @ w.T) / divisor(b.size[rows])[:, None]
                 d_word = np.zeros((len(uniq), DIM))
                 per = np.repeat(d_avg, b.size[rows], axis=0)
                 for j in range(DIM):
                     d_word[:, j] = np.bincount(inv, per[:, j], len(uniq))
                 per = np.repeat(d_word / b.g_size[uniq][:, None], b.g_size[uniq], axis=0)
-                hot, where = np.unique(gram, return_inverse=True)
+                hot, where = _used(gram, len(b.buckets))
                 d_e = np.stack([np.bincount(where, per[:, j], len(hot)) for j in range(DIM)], axis=1)
                 d_w = avg.T @ d
                 ge[hot] += (d_e**2).mean(axis=1, keepdims=True)
@@ -128,17 +148,15 @@ def fit(texts: list[str | None], toxic: np.ndarray, rounds: int = 4, epochs: int
         np.maximum.at(best, b.owner, s)
         # from here on only windows near the best of their toxic document stand for it
         weight = np.where((y == 0) | (s >= best[b.owner] - 0.25 * np.abs(best[b.owner])), 1.0, 0.0)
-        # labels that the rest contradicts are left out: toxic documents like clean ones, clean documents like toxic ones
-        clean, foul = best[toxic == 0], best[toxic == 1]
-        odd = np.where(toxic == 1, best < np.quantile(clean, 0.9), best > np.quantile(foul, 0.4))
-        weight[odd[b.owner]] = 0.0
     a, m = calibrate(best, toxic)
-    return {"grams": gram_score.astype(np.float32), "shift": float(c[1] - c[0]), "slope": a, "middle": m}
+    all_grams = np.zeros(BUCKETS, np.float32)
+    all_grams[b.buckets] = gram_score
+    return {"grams": all_grams, "shift": float(c[1] - c[0]), "slope": a, "middle": m}
 
 
 def window_scores(b: Bags, gram_score: np.ndarray) -> np.ndarray:
     word = np.add.reduceat(gram_score[b.g], b.g_at) / b.g_size
-    return np.add.reduceat(word[b.words], b.at) / WINDOW
+    return np.add.reduceat(word[b.words], b.at) / divisor(b.size)
 
 
 def calibrate(best: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
@@ -154,22 +172,62 @@ def calibrate(best: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 
 
 class Scorer:
-    def __init__(self, model: dict, most: int = 300_000):
-        self.model, self.memo, self.most = model, {}, most
+    """Scores of many texts at once; the value of each word is remembered."""
+
+    #: Words scored together, about, and words remembered.
+    TOGETHER, MOST = 400_000, 300_000
+
+    def __init__(self, model: dict):
+        self.model, self.number, self.values = model, {}, np.zeros(0)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Places of the words in values; new words get theirs."""
+        known = self.number
+        fresh = [w for w in dict.fromkeys(words) if w not in known]
+        if fresh:
+            known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
+            self.values = np.r_[self.values, [float(self.model["grams"][grams(w)].mean()) for w in fresh]]
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def scores(self, texts) -> np.ndarray:
+        out, group, n = [], [], 0
+        for t in texts:
+            group.append(words_of(t) or [""])
+            n += len(group[-1])
+            if n >= self.TOGETHER:
+                out.append(self.best(group))
+                group, n = [], 0
+        if group:
+            out.append(self.best(group))
+        best = np.concatenate(out) if out else np.zeros(0)
+        return 1 / (1 + np.exp(-np.clip(self.model["slope"] * (best - self.model["middle"]), -30, 30)))
+
+    def best(self, group: list[list[str]]) -> np.ndarray:
+        """The highest window of each text."""
+        if len(self.number) > self.MOST:
+            self.number, self.values = {}, np.zeros(0)
+        size = np.array([len(x) for x in group])
+        ids = self.numbers([w for x in group for w in x])
+        value, total = self.values[ids], len(ids)
+        # words back to the same word, as far as a window reaches
+        back = np.full(total, WINDOW, np.int8)
+        for k in range(WINDOW - 1, 0, -1):
+            back[k:][ids[k:] == ids[:-k]] = k
+        count = -(-np.maximum(1, size - WINDOW + STEP) // STEP)
+        begin = np.cumsum(size) - size
+        first = np.cumsum(count) - count
+        start = (np.arange(count.sum()) - np.repeat(first, count)) * STEP + np.repeat(begin, count)
+        end = np.repeat(begin + size, count)
+        sums, words = np.zeros(len(start)), np.zeros(len(start), np.int64)
+        for j in range(WINDOW):
+            at = np.minimum(start + j, total - 1)
+            counts = (start + j < end) & (back[at] > j)
+            sums += value[at] * counts
+            words += counts
+        return np.maximum.reduceat(sums / divisor(words), first) + self.model["shift"]
 
     def score(self, text: str | None) -> float:
-        m, memo = self.model, self.memo
-        number: dict[str, int] = {}
-        ids = np.array([number.setdefault(w, len(number)) for w in words_of(text) or [""]])
-        if len(memo) >= self.most:
-            memo.clear()
-        for w in number:
-            if w not in memo:
-                memo[w] = float(m["grams"][grams(w)].mean())
-        place, first = windows(ids)
-        value = np.array([memo[w] for w in number])[ids]
-        best = float((value[place] * first).sum(axis=1).max()) / WINDOW + m["shift"]
-        return float(1 / (1 + np.exp(-np.clip(m["slope"] * (best - m["middle"]), -30, 30))))
+        return float(self.scores([text])[0])
 
 
 def held_out():
@@ -184,10 +242,11 @@ def within(rows: list, most: int) -> list:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict | None:
     """A model from at most `rows` labelled rows of each class that are not held out; their texts alone reach the driver."""
-    usable = ~held_out() & F.col("toxic").isin(0, 1)
+    # of several labels of a document the largest counts, so that none is in both classes
+    told = labels.where(~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     got = []
     for y in (0, 1):
-        of_class = labelled_sample(docs, labels.where(F.col("toxic") == y), "toxic", rows, usable).select("doc_id", "text", "_label").collect()
+        of_class = labelled_sample(docs, told, "toxic", rows, F.col("toxic") == y).collect()
         got += within(sorted(of_class, key=lambda r: (zlib.crc32(f"fit {r['doc_id']}".encode()), r["doc_id"], r["text"] or "")), FIT_WORDS // 2)
     got.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     return fit([r["text"] for r in got], np.array([r["_label"] for r in got], dtype=int))
@@ -205,7 +264,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
         key = id(shared.value)
         if _SCORERS.get("key") != key:
             _SCORERS.update(key=key, scorer=Scorer(shared.value))
-        return pd.Series([_SCORERS["scorer"].score(t) for t in texts], dtype=float)
+        return pd.Series(_SCORERS["scorer"].scores(texts), dtype=float)
 
     return docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), score("text").alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
