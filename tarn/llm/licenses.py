@@ -9,13 +9,14 @@ rows that repeat each give a row.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from re import _parser as parser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PY_WORD
+from .common import PY_WORD, byte_words
 
 _W, _N = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Fixed values of the contract: phrase and label.
@@ -83,8 +84,58 @@ _LEAD = r"(?:licen[cs]ed|released|distributed|available|published|provided)\s+(?
 _VERSION = r",?\s+v(?:ersion)?\.?\s*\d+(?:\.\d+)*(?:\s*,?\s*or\s+(?:\(at\s+your\s+option\)\s+)?(?:any\s+)?later(?:\s+version)?)?"
 #: Confidence that a detection of each form is a grant.
 FORMS = {"grant": 0.95, "tag": 0.98, "address": 0.9, "version": 0.85, "name": 0.6}
-#: Grants in a license's own words, which do not name it.
-GRANTS = {"mit": [r"permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge,?\s+to\s+any\s+person\s+obtaining\s+a\s+copy\s+of\s+this\s+software\s+and\s+associated\s+documentation\s+files\s+(?:\([^)]{0,60}\),?\s+)?to\s+deal\s+in\s+the\s+software"]}
+#: Sentences of the licenses' own texts, most of which do not name them: label and words. Three dots stand for up to six words.
+TEXTS = [
+    ("agpl", "free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("agpl", "if you modify the program your modified version must prominently offer all users interacting with it remotely through a computer network"),
+    ("lgpl", "free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("lgpl", "free software you can redistribute it and or modify it under the terms of the gnu library general public license"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gpl", "free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", "everyone is permitted to copy and distribute verbatim copies of this license document"),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-1.1", "this product includes software developed by the apache software foundation"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files ... to deal in the software"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("bsd-3-clause", "neither the name of ... nor the names of its contributors may be used to endorse or promote products"),
+    ("bsd-3-clause", "the name of the author may not be used to endorse or promote products derived from this software"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", "the contents of this file are subject to the mozilla public license"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("eupl", "you may not use this work except in compliance with the licence"),
+    ("artistic", "this package is free software you may copy use modify and redistribute it under the terms of the artistic license"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "do what the fuck you want to public license"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("ncsa", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimers"),
+    ("python", "psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("php", "products derived from this software may not be called php nor may php appear in their name"),
+    ("openssl", "this product includes software developed by the openssl project"),
+    ("w3c", "permission to copy modify and distribute this work with or without modification for any purpose and without fee or royalty is hereby granted"),
+    ("ofl", "this font software is licensed under the sil open font license"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc0", "to the extent possible under law ... has waived all copyright and related or neighboring rights"),
+    ("proprietary", "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", "this file is confidential and proprietary"),
+]
+#: Between two words of such a sentence: white space, punctuation and the marks of comments.
+_GAP = r"[\s\"'“”‘’.,;:()/*#>|!_-]+"
+
+
+def sentence(words: str) -> str:
+    """Regex of a sentence's words, however they are wrapped, quoted or commented."""
+    parts = [_GAP.join(re.escape(w) for w in part.split()) for part in words.split("...")]
+    return r"\b" + rf"{_GAP}(?:[^\s]+\s+){{0,6}}[^\s\w]*".join(parts) + r"\b"
 
 
 def needed(rule) -> list[tuple[str, ...]]:
@@ -112,7 +163,7 @@ def _rules() -> list[tuple[tuple[int, int], str, float, list[tuple[str, ...]], r
     """(priority, label, confidence, needed pieces, regex): priority is the family's place, then the form's."""
     out = []
     for place, (label, names, tag, addresses) in enumerate(FAMILIES):
-        forms = [("grant", _LEAD + n + rf"(?:\s+licen[cs]e)?(?:{_VERSION})?") for n in names] + [("grant", g) for g in GRANTS.get(label, [])]
+        forms = [("grant", _LEAD + n + rf"(?:\s+licen[cs]e)?(?:{_VERSION})?") for n in names] + [("grant", sentence(words)) for of, words in TEXTS if of == label]
         forms += [("tag", rf"(?:spdx-license-identifier|license)\s*[:=]\s*[\"']?{tag}\b")]
         forms += [("address", rf"https?://(?:www\.)?{a}[^\s\"')]*") for a in addresses]
         forms += [("version", rf"\b{n}{_VERSION}") for n in names] + [("name", rf"\b{n}\b") for n in names]
@@ -137,17 +188,26 @@ def detections(text: str, low: str) -> list[tuple[int, int, str, float]]:
     """Spans (start, end, label, confidence) that stay after suppression by containment."""
     found = [(p, m.start(), m.end(), label, conf) for p, label, conf, _, rx in candidates(low) for m in rx.finditer(text)]
     kept: list[tuple[int, int, str, float]] = []
+    # the spans kept that no other one contains: starts and ends both rise
+    starts: list[int] = []
+    ends: list[int] = []
     # families in their order, in a family the longest span first: a span goes only where one of equal or higher priority contains it
     for _, a, b, label, conf in sorted(found, key=lambda x: (x[0][0], x[1] - x[2], x[0][1])):
-        if not any(s <= a and b <= e for s, e, _, _ in kept):
-            kept.append((a, b, label, conf))
+        i = bisect_right(starts, a)
+        if i and ends[i - 1] >= b:
+            continue
+        kept.append((a, b, label, conf))
+        i = j = bisect_left(starts, a)
+        while j < len(ends) and ends[j] <= b:
+            j += 1
+        starts[i:j], ends[i:j] = [a], [b]
     return sorted(kept)
 
 
 def scan_text(text: str | None) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, spans of a text."""
     text = text or ""
-    n_words = len(PY_WORD.findall(text))
+    n_words = len(byte_words(text))
     low = text.lower()
     first = last = None
     n_base, base, at, word = 0, set(), 0, 0

@@ -1,6 +1,7 @@
 """License rules: gated and ungated scans agree, and priority decides what is suppressed."""
 
 import random
+import time
 from re import _parser as parser
 
 from tarn.llm import licenses
@@ -64,3 +65,36 @@ def test_a_catch_all_leaves_the_license_named_inside_it():
     }.items():
         # 'apache' is a base label, or the longer span of the family of lower priority
         assert licenses.scan_text(text)[5] == label
+
+
+def test_sentences_of_license_texts_give_their_label_however_wrapped():
+    for label, words in licenses.TEXTS:
+        plain = words.replace("...", "the Foo (and Bar)")
+        wrapped = "/*\n * " + "\n * ".join(" ".join(plain.split()[i : i + 7]) for i in range(0, len(plain.split()), 7)) + ", or\n */"
+        for text in (plain, plain.upper(), wrapped):
+            assert label in licenses.scan_text(text)[5].split(","), (label, text)
+    assert licenses.scan_text("the origin of the word license is not this software")[5] == ""
+
+
+def plainly(found):
+    """Suppression by its definition, each span against all kept ones."""
+    kept = []
+    for _, a, b, label, conf in sorted(found, key=lambda x: (x[0][0], x[1] - x[2], x[0][1])):
+        if not any(s <= a and b <= e for s, e, _, _ in kept):
+            kept.append((a, b, label, conf))
+    return sorted(kept)
+
+
+def test_suppression_agrees_with_its_definition():
+    rng = random.Random(3)
+    names = ["GNU GPL", "GNU Lesser General Public License, version 2.1", "MIT License", "Apache License 2.0", "Copyright Foo", "all rights reserved", "BSD", "License: MIT", "\n", "and", "under the terms of the"]
+    for _ in range(150):
+        text = " ".join(rng.choice(names) for _ in range(25))
+        found = [(r[0], m.start(), m.end(), r[1], r[2]) for r in licenses.RULES for m in r[4].finditer(text)]
+        assert licenses.detections(text, text.lower()) == plainly(found)
+
+
+def test_many_mentions_take_little_time():
+    began = time.process_time()
+    assert licenses.scan_text("MIT License, GNU GPL; " * 20_000)[5] == "gpl,mit"
+    assert time.process_time() - began < 15
