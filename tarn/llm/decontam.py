@@ -1,95 +1,90 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
-An item's windows are the sets to be contained: a document span matches a window only if it holds all its words,
-so one necessary word, the rarest over all documents, is the window's whole prefix. Document words that are
-prefix words of some window carry the words around them to a join on that word; positional bounds (the window
-must fit at that offset) and the exact comparison of the window's words follow.
-
-Null and empty texts have no words; items without words have no windows; an item of fewer than `window` words is
-one window; items that repeat an item_id count once; rows of documents that repeat each give a row.
+An item's windows are sets of shingles (three words; fewer in a window of fewer) to be contained: a document span
+matches a window only if it holds all its shingles, so one necessary shingle, the rarest over all documents, is the
+window's whole prefix. Places of documents whose shingle is a prefix are joined with its windows; positional bounds
+(the window must fit into the text at that offset) and the exact comparison of the words follow.
+
+Windows of the same words are one, whose items are looked up after the match. Null and empty texts have no words;
+items without words have no windows; an item of fewer than `window` words is one window; items that repeat an
+item_id count once; rows of documents that repeat each give a row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import word_array, written
 
-#: Prefix words handled in one pass over the documents; a larger benchmark takes several passes.
-BLOCK_WORDS = 20_000
+SHINGLE = 3
+#: Rows up to which the benchmark's shingles, or its windows, are broadcast (under 200 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def shingles(w: Column, k: int) -> Column:
+    """pos, tok: each place of k words of an array, and a hash of them."""
+    n = F.greatest(F.lit(0), F.size(w) - (k - 1))
+    return F.transform(F.slice(w, 1, n), lambda x, i: F.struct(i.alias("pos"), F.xxhash64(F.lit(k), x, *[F.get(w, i + j) for j in range(1, k)]).alias("tok")))
 
 
 def windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """item_id, w (the words): the distinct windows of each item."""
+    """item_id, g (the words, a space between them), w (the words): the distinct windows of each item."""
     words = benchmark.select("item_id", word_array(F.col("text")).alias("_w")).where(F.size("_w") > 0)
     n = F.size("_w")
     at = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), n - window + 1))).alias("_i")
-    return words.select("item_id", "_w", at).select("item_id", F.slice("_w", F.col("_i"), window).alias("w")).distinct()
-
-
-def prefixes(docs: DataFrame, wins: DataFrame) -> DataFrame:
-    """wins with the window's rarest word over all documents and its first place in the window (from 1)."""
-    vocabulary = wins.select(F.explode("w").alias("word")).distinct()
-    counts = docs.select(F.explode(word_array(F.col("text"))).alias("word")).groupBy("word").count()
-    known = vocabulary.join(counts, "word", "left").select("word", F.coalesce("count", F.lit(0)).alias("n"))
-    return (
-        wins.withColumn("_id", F.struct("item_id", "w"))
-        .select("_id", F.posexplode("w").alias("_p", "word"))
-        .join(known, "word")
-        .groupBy("_id")
-        .agg(F.min(F.struct("n", "word", "_p")).alias("_m"))
-        .select("_id.item_id", "_id.w", F.col("_m.word").alias("prefix"), (F.col("_m._p") + 1).alias("at"))
-    )
+    cut = words.select("item_id", "_w", at).select("item_id", F.slice("_w", F.col("_i"), window).alias("w"))
+    return cut.select("item_id", F.concat_ws(" ", "w").alias("g"), "w").distinct()
 
 
-def occurrences(docs: DataFrame, chosen: DataFrame, window: int, block: list[str] | None) -> DataFrame:
-    """_rid, doc_id, n_words, item_id, start, length: a row for each place of a window, or one with null item_id."""
-    base = docs.select(F.monotonically_increasing_id().alias("_rid"), "doc_id", word_array(F.col("text")).alias("_w"))
-    w, n = F.col("_w"), F.size("_w")
-    places = F.filter(F.transform(w, lambda x, i: F.when(x.isin(block), i)), lambda i: i.isNotNull()) if block else F.array().cast("array<int>")
-    around = F.transform(
-        places, lambda i: F.struct(i.alias("i"), w[i].alias("prefix"), F.greatest(F.lit(0), i - window + 1).alias("lo"), F.slice(w, F.greatest(F.lit(0), i - window + 1) + 1, 2 * window - 1).alias("ctx"))
-    )
-    cands = base.select("_rid", "doc_id", n.cast("long").alias("n_words"), F.explode_outer(around).alias("_c"))
-    wins = chosen.select(F.col("prefix").alias("_px"), "item_id", F.col("w").alias("_win"), "at")
-    start = F.col("_c.i") - (F.col("at") - 1)
-    fits = (start >= 0) & (start + F.size("_win") <= F.col("n_words"))
-    same = F.slice(F.col("_c.ctx"), F.greatest(start - F.col("_c.lo") + 1, F.lit(1)), F.size("_win")) == F.col("_win")
-    return cands.join(F.broadcast(wins), F.col("_c.prefix") == F.col("_px"), "left").select(
-        "_rid", "doc_id", "n_words", F.when(fits & same, F.col("item_id")).alias("item_id"), F.when(fits & same, start).alias("start"), F.size("_win").alias("length")
-    )
+def prefixes(wins: DataFrame, counts: DataFrame) -> DataFrame:
+    """g, size, tok (the rarest shingle by counts) and at (its first place, from 0) of each window of g, size, parts."""
+    places = wins.select("g", "size", F.explode("parts").alias("_p")).select("g", "size", "_p.*").join(counts, "tok", "left")
+    least = places.groupBy("g", "size").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "tok", "pos")).alias("_m"))
+    return least.select("g", "size", "_m.tok", F.col("_m.pos").alias("at"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs.
-
-    The benchmark goes over the documents in blocks of at most BLOCK_WORDS prefix words, so that what is broadcast
-    stays bounded; a window belongs to the block of its prefix.
-    """
-    chosen = written(prefixes(docs, windows(benchmark, window)))
-    ranked = chosen.select("prefix").distinct()
-    blocks = max(1, -(-ranked.count() // BLOCK_WORDS))
-    parts = []
-    for b in range(blocks):
-        mine = F.pmod(F.xxhash64("prefix"), F.lit(blocks)) == b
-        # at most about BLOCK_WORDS words: the hash deals them evenly
-        block = sorted(r["prefix"] for r in ranked.where(mine).toLocalIterator())
-        parts.append(occurrences(docs, chosen.where(mine), window, block))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    key = ["_rid", "doc_id", "n_words"]
-    places = found.groupBy(*key, "start").agg(F.max("length").alias("length"), F.collect_set("item_id").alias("items"))
-    w = Window.partitionBy(*key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    # words of a span that no earlier span covers; the row of the places that match nothing has no start
-    end = F.col("start") + F.col("length")
-    fresh = F.coalesce(F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce(F.max(end).over(w), F.lit(0)))), F.lit(0))
-    out = places.withColumn("_new", fresh).groupBy(*key).agg(F.sum("_new").cast("long").alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("_items"))
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs."""
+    # rows are numbered once, in a table: a number made again in another scan could be another one
+    base = written(docs.select(F.monotonically_increasing_id().alias("_rid"), "doc_id", word_array(F.col("text")).alias("_w")).withColumn("n_words", F.size("_w").cast("long")))
+    of_items = written(windows(benchmark, window))
+    sized = of_items.select("g", "w").distinct().withColumn("size", F.size("w"))
+    parts = F.when(F.col("size") >= SHINGLE, shingles(F.col("w"), SHINGLE))
+    for k in range(1, SHINGLE):
+        parts = F.when(F.col("size") == k, shingles(F.col("w"), k)).otherwise(parts)
+    wins = written(sized.select("g", "size", parts.alias("parts")))
+    lengths = sorted(r[0] for r in wins.select(F.least("size", F.lit(SHINGLE))).distinct().collect())  # at most SHINGLE rows
+
+    tokens = F.concat(*[shingles(F.col("_w"), k) for k in lengths]) if lengths else F.array().cast("array<struct<pos:int,tok:bigint>>")
+    wanted = written(wins.select(F.explode("parts.tok").alias("tok")).distinct())
+    hits = written(base.select("_rid", F.explode(tokens).alias("_t")).select("_rid", "_t.*").join(small(wanted), "tok", "left_semi"))
+    chosen = written(prefixes(wins, hits.groupBy("tok").count()))
+    cands = hits.join(small(chosen), "tok").select("_rid", (F.col("pos") - F.col("at")).alias("start"), "size", "g").where("start >= 0")
+    per = cands.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("start", "size", "g"))).alias("_c"))
+
+    fits = lambda c: (c["start"] + c["size"] <= F.col("n_words")) & (F.array_join(F.slice("_w", c["start"] + 1, c["size"]), " ") == c["g"])
+    # words of a span that no earlier span covers
+    cover = F.aggregate(
+        "_m", F.struct(F.lit(0).alias("end"), F.lit(0).alias("hit")),
+        lambda s, c: F.struct(F.greatest(s["end"], c["start"] + c["size"]).alias("end"), (s["hit"] + F.greatest(F.lit(0), c["start"] + c["size"] - F.greatest(c["start"], s["end"]))).alias("hit")),
+    )["hit"]
+    found = written(
+        base.join(per, "_rid").select("_rid", F.filter("_c", fits).alias("_m")).where(F.size("_m") > 0).select("_rid", cover.cast("long").alias("n_hit"), F.array_distinct(F.transform("_m", lambda c: c["g"])).alias("_g"))
+    )
+    items = (
+        found.select("_rid", F.explode("_g").alias("g")).join(of_items.select("g", "item_id"), "g").groupBy("_rid").agg(F.collect_set("item_id").alias("_i"))
+        .select("_rid", F.size("_i").cast("long").alias("n_items"), F.concat_ws(",", F.array_sort(F.transform("_i", lambda x: x.cast("string")))).alias("_said"))
+    )
+    out = base.select("_rid", "doc_id", "n_words").join(found.select("_rid", "n_hit").join(items, "_rid"), "_rid", "left")
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
-        "doc_id", "n_words", "n_hit", F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", F.array_sort(F.transform("_items", lambda x: x.cast("string")))).cast("binary"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.sha2(F.coalesce("_said", F.lit("")).cast("binary"), 256).alias("items_sha256"),
+        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 
