@@ -35,6 +35,8 @@ SHINGLE, BANDS, PICK, SIGNATURE = 5, 16, 2, 128
 EARLY, AGREE_EARLY, AGREE = 32, 10, 64
 #: Places that agree in pairs likely enough to be linked for any of them to serve in a spanning forest.
 SURE = 104
+#: Counters of a text's word counts: the least that its number of words fits into, or the last.
+COUNTERS = (128, 512, 2048)
 #: Members of a block of a bucket, and hubs that all of its blocks see.
 BLOCK, HUBS = 256, 24
 _LAST = np.uint64((1 << 64) - 1)
@@ -116,14 +118,39 @@ def sketch(words: np.ndarray, sh: np.ndarray) -> tuple[list[int], bytes]:
     return keys, (mix(np.concatenate(least).astype(np.uint64)) & np.uint64(255)).astype(np.uint8).tobytes()
 
 
+def tally(words: np.ndarray) -> bytes:
+    """Counts of the words by the low bits of their hashes; 65,535 stands for more too."""
+    size = next((c for c in COUNTERS if len(words) <= c), COUNTERS[-1])
+    low = ((words >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64)
+    return np.minimum(np.bincount(low, minlength=size), 65_535).astype("<u2").tobytes()
+
+
+def shared_words(tallies: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For pairs of texts, no fewer than the words (with their counts) that both have."""
+    size = np.array([len(t) // 2 for t in tallies])
+    out = np.zeros(len(i), np.int64)
+    for c in COUNTERS:
+        pairs = np.flatnonzero(np.minimum(size[i], size[j]) == c)
+        if len(pairs):
+            # a larger tally is folded onto the smaller one's counters
+            used, at = np.unique(np.r_[i[pairs], j[pairs]], return_inverse=True)
+            folded = np.stack([np.minimum(np.frombuffer(tallies[k], "<u2").reshape(-1, c).sum(axis=0), 65_535) for k in used.tolist()]).astype(np.uint16)
+            for k in range(0, len(pairs), 4096):
+                some = np.arange(k, min(k + 4096, len(pairs)))
+                least = np.minimum(folded[at[some]], folded[at[len(pairs) + some]])
+                # nothing is known of counts that both have reached the end
+                out[pairs[some]] = np.where((least == 65_535).any(axis=1), np.iinfo(np.int64).max, least.sum(axis=1, dtype=np.int64))
+    return out
+
+
 def _marks(texts: pd.Series) -> pd.DataFrame:
     out = []
     for t in texts:
         words = byte_words(t)
         key = hashlib.blake2b(b"\0".join(words), digest_size=16).digest()
         hashed = word_hashes(words)
-        out.append((key, len(words), *(sketch(hashed, shingles(hashed)) if words else ([], b""))))
-    return pd.DataFrame(out, columns=["key", "n", "bands", "sig"])
+        out.append((key, len(words), *(sketch(hashed, shingles(hashed)) if words else ([], b"")), tally(hashed)))
+    return pd.DataFrame(out, columns=["key", "n", "bands", "sig", "tally"])
 
 
 class Aligner:
@@ -269,13 +296,16 @@ def _between(least: float):
     def pairs(batches):
         for pdf in _groups(batches, ["band", "block", "odd"]):
             sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(-1, SIGNATURE)
-            n, keys, cls, role, out = pdf["n"].to_numpy(), pdf["key"].tolist(), pdf["cls"].tolist(), pdf["role"].to_numpy(), set()
+            n, keys, role, out = pdf["n"].to_numpy(), pdf["key"].tolist(), pdf["role"].to_numpy(), set()
+            code, tallies = pdf["cls"].factorize()[0], pdf["tally"].tolist()
             band, bands = pdf["band"].to_numpy(), np.stack(pdf["bands"].to_numpy())
             for lo, hi in _bounds(pdf, ["band", "block", "odd"]):
                 at = np.arange(lo, hi)
                 for i, j, _ in _alike(sig, n, at[role[lo:hi] == 1], at[role[lo:hi] == 0], least):
-                    here = band[lo] == bands[i, np.argmax(bands[i] == bands[j], axis=1)]
-                    out.update((min(keys[x], keys[y]), max(keys[x], keys[y])) for x, y in zip(i[here].tolist(), j[here].tolist()) if cls[x] != cls[y])
+                    here = (code[i] != code[j]) & (band[lo] == bands[i, np.argmax(bands[i] == bands[j], axis=1)])
+                    i, j = i[here], j[here]
+                    near = shared_words(tallies, i, j) >= least * np.maximum(n[i], n[j]) - 1e-9
+                    out.update((min(keys[x], keys[y]), max(keys[x], keys[y])) for x, y in zip(i[near].tolist(), j[near].tolist()))
             yield pd.DataFrame(sorted(out), columns=["a", "b"])
 
     return pairs
@@ -302,27 +332,34 @@ def _verify(least: float):
 def components(links: DataFrame) -> DataFrame:
     """node, cls: the smallest node that links a, b connect it to; nodes are those of links.
 
-    Labels fall to the smallest among the neighbours', then to their label's label, until none moves.
+    In each round a node points at its smallest neighbour; pointers are followed to their ends, and the links
+    between these are what is left for the next round.
     """
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("node"), F.least("a", "_m").alias("cls")))
+    edges, labels = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), None
     while True:
-        far = both.join(labels.select(F.col("node").alias("b"), "cls"), "b").groupBy("a").agg(F.min("cls").alias("_m"))
-        near = labels.join(far, labels.node == far.a).select("node", F.col("cls").alias("_old"), F.least("cls", "_m").alias("cls"))
-        up = labels.select(F.col("node").alias("_up"), F.col("cls").alias("_top"))
-        after = written(near.join(up, near.cls == F.col("_up")).select("node", "_old", F.least("cls", "_top").alias("cls")))
-        moved = after.where("cls <> _old").limit(1).count()
-        labels = after.select("node", "cls")
-        if not moved:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        point = written(both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("node"), F.least("a", "_m").alias("top")))
+        while True:
+            up = point.select(F.col("node").alias("_up"), F.col("top").alias("_top"))
+            after = written(point.join(up, point.top == F.col("_up")).select("node", F.col("_top").alias("top"), (F.col("top") != F.col("_top")).alias("_moved")))
+            if not after.where("_moved").limit(1).count():
+                break
+            point = after.select("node", "top")
+        labels = point.select("node", F.col("top").alias("cls")) if labels is None else written(
+            labels.join(point.withColumnRenamed("node", "_n"), F.col("cls") == F.col("_n"), "left").select("node", F.coalesce("top", "cls").alias("cls"))
+        )
+        ends = point.select(F.col("node").alias("a"), F.col("top").alias("_a")), point.select(F.col("node").alias("b"), F.col("top").alias("_b"))
+        edges = written(edges.join(ends[0], "a").join(ends[1], "b").where("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
+        if not edges.limit(1).count():
             return labels
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, key (of the words), cls (of the class), exact_id and class_id: the smallest doc_id of equal words and of the class."""
-    marked = written(docs.select("doc_id", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("th"), F.pandas_udf(_marks, "key binary, n int, bands array<long>, sig binary")("text").alias("_m")).select("doc_id", "th", "_m.*"))
+    marked = written(docs.select("doc_id", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("th"), F.pandas_udf(_marks, "key binary, n int, bands array<long>, sig binary, tally binary")("text").alias("_m")).select("doc_id", "th", "_m.*"))
     reps = written(
-        marked.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "th")).alias("_r"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-        .select("key", F.col("_r.doc_id").alias("exact_id"), "_r.th", "n", "bands", "sig")
+        marked.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "th")).alias("_r"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("tally").alias("tally"))
+        .select("key", F.col("_r.doc_id").alias("exact_id"), "_r.th", "n", "bands", "sig", "tally")
     )
     bands = reps.where("n > 0").select("key", F.explode("bands").alias("band"))
     # counts are written, so that Spark can split a hot bucket in the join
@@ -345,10 +382,11 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     known = written(known)
     sizes = known.groupBy("band", "cls").agg(F.count("*").alias("_c")).groupBy("band").agg(F.max(F.struct("_c", "cls")).alias("_main"), F.count("*").alias("_classes"), F.sum("_c").alias("_all"))
     split = written(known.join(written(sizes.where("_classes > 1")), "band"))
+    split = written(split.join(reps.select("key", "tally"), "key"))
     odd = F.col("cls") != F.col("_main.cls")
     odds = F.greatest(F.lit(1), F.ceil((F.col("_all") - F.col("_main._c")) / BLOCK)).cast("int")
     own = F.pmod(F.xxhash64(F.lit(5), "key"), odds).cast("int")
-    rows = ["band", "key", "n", "sig", "bands", "cls"]
+    rows = ["band", "key", "n", "sig", "tally", "bands", "cls"]
     every = split.select(*rows, F.lit(0).alias("role"), block.alias("block"), F.explode(F.sequence(F.lit(0), odds - 1)).alias("odd"))
     stray = split.where(odd).select(*rows, F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), own.alias("odd"))
     more = (

@@ -197,6 +197,22 @@ def test_alignment_of_long_texts_takes_linear_memory():
     assert 0.975 < got < 0.985 and tracemalloc.get_traced_memory()[1] < 100e6
 
 
+def test_tallies_never_understate_shared_words():
+    rng = np.random.default_rng(3)
+    texts = [[f"w{x}".encode() for x in rng.zipf(1.4, n) % 300] for n in (1, 5, 100, 140, 500, 600, 2000, 3000, 30_000)]
+    tallies = [minhash.tally(minhash.word_hashes(t)) for t in texts]
+    i, j = map(np.array, zip(*[(i, j) for i in range(len(texts)) for j in range(len(texts))]))
+    true = [sum((collections.Counter(texts[a]) & collections.Counter(texts[b])).values()) for a, b in zip(i, j)]
+    got = minhash.shared_words(tallies, i, j)
+    assert (got >= true).all() and (got[np.array(true) > 0] < 1.5 * np.array(true)[np.array(true) > 0] + 20).mean() > 0.7
+
+
+def test_components_follow_long_chains(spark):
+    pairs = [(bytes([k]), bytes([k + 1])) for k in range(40)] + [(bytes([100]), bytes([200])), (bytes([200]), bytes([150])), (bytes([100]), bytes([150]))]
+    got = {r.node[0]: r.cls[0] for r in minhash.components(spark.createDataFrame(pairs, "a binary, b binary")).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys((100, 150, 200), 100)}
+
+
 def luhn(s):
     return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(s)))) % 10 == 0
 
@@ -330,8 +346,8 @@ def test_second_round_gives_each_pair_of_classes_once_and_loses_none():
     own = [sig[k % 5].tobytes() for k in range(n)]
     bands = [[int(x) for x in rng.integers(0, 3, minhash.BANDS) + 10 * np.arange(minhash.BANDS)] for _ in range(n)]
     cls = [bytes([k // 4]) for k in range(n)]
-    rows = [(b, bytes([k]), 9, own[k], bands[k], cls[k], role, 0, 0) for k in range(n) for b in bands[k] for role in (0, 1)]
-    pdf = pd.DataFrame(rows, columns=["band", "key", "n", "sig", "bands", "cls", "role", "block", "odd"]).sort_values(["band", "block", "odd"], ignore_index=True)
+    rows = [(b, bytes([k]), 9, own[k], bytes([9] + [0] * 255), bands[k], cls[k], role, 0, 0) for k in range(n) for b in bands[k] for role in (0, 1)]
+    pdf = pd.DataFrame(rows, columns=["band", "key", "n", "sig", "tally", "bands", "cls", "role", "block", "odd"]).sort_values(["band", "block", "odd"], ignore_index=True)
     pdf["bands"] = pdf["bands"].map(lambda x: np.array(x, np.int64))
     groups = [g.reset_index(drop=True) for _, g in pdf.groupby("band")]
     got = [tuple(x) for g in groups for out in minhash._between(0.8)(iter([g])) for x in out.itertuples(index=False)]
