@@ -39,3 +39,13 @@ def refuse_ambiguous(df: DataFrame, key: list[str]) -> tuple[DataFrame, DataFram
     w = Window.partitionBy(*key)
     counted = df.withColumn("_n", F.count("*").over(w))
     return counted.where("_n = 1").drop("_n"), counted.where("_n > 1").groupBy(*key).agg(F.count("*").alias("n"))
+
+
+def nearest(df: DataFrame, group: list[str], arm: str, asking: str, baseline: str, key: str, value: str) -> DataFrame:
+    """Each row of the asking arm with base_key of the baseline row of its group whose value is nearest, and off = value - its value.
+
+    The baseline's rows of a group are a ladder of few rungs: one array in each asking row, no pairs are made.
+    """
+    ladder = df.where(F.col(arm) == baseline).groupBy(*group).agg(F.collect_list(F.struct(F.col(value).alias("v"), F.col(key).alias("k"))).alias("_l"))
+    best = F.array_min(F.transform("_l", lambda x: F.struct(F.abs(x["v"] - F.col(value)).alias("d"), x["k"].alias("k"), x["v"].alias("v"))))
+    return df.where(F.col(arm) == asking).join(ladder, group).withColumn("_b", best).withColumn(f"base_{key}", F.col("_b.k")).withColumn("off", F.col(value) - F.col("_b.v")).drop("_l", "_b")

@@ -91,6 +91,20 @@ def bootstrap(df: DataFrame, group: list[str], key: str, value: str, resamples:
     return means.groupBy(*group).agg(sort[lo].alias("lo"), sort[hi].alias("hi"))
 
 
+def bootstrap_rho(df: DataFrame, group: list[str], key: str, x: str, y: str, resamples: int = 200, confidence: float = 0.95, seed: str = "b") -> DataFrame:
+    """Percentile interval of Spearman's rho: ranks are taken anew in each replicate. Drawn as bootstrap() draws."""
+    w = Window.partitionBy(*group)
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    numbered = both.select(*group, (F.row_number().over(w.orderBy(key)) - 1).alias("_i"), F.count("*").over(w).alias("_n"), F.col(x).alias("_x"), F.col(y).alias("_y"))
+    picks = numbered.select(*group, "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_rep"))
+    picks = picks.withColumn("_pick", F.pmod(draw(seed, *[F.col(g) for g in group], F.col("_rep"), F.col("_i")), F.col("_n")))
+    drawn = picks.select(*group, "_rep", F.col("_pick").alias("_i")).join(numbered.select(*group, "_i", "_x", "_y"), [*group, "_i"])
+    rhos = spearman(drawn, [*group, "_rep"], "_x", "_y").where("rho IS NOT NULL")
+    a = (1 - confidence) / 2
+    at = lambda share: F.element_at(F.array_sort(F.collect_list("rho")), F.greatest(F.lit(1), F.least(F.count("*"), F.floor(share * F.count("*") + 1e-9) + 1)).cast("int"))
+    return rhos.groupBy(*group).agg(at(a).alias("lo"), at(1 - a).alias("hi"), F.count("*").alias("replicates"))
+
+
 def permutation(df: DataFrame, group: list[str], key: str, x: str, y: str, permutations: int = 200, seed: str = "p") -> DataFrame:
     """Two-tailed permutation p of Spearman's rho, (hits + 1) / (permutations + 1)."""
     w = Window.partitionBy(*group)

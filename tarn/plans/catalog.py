@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import scalar
-from tarn.operators import curves, frontier, grid, pairing, stats, vectors
+from tarn.operators import curves, frontier, grid, pairing, stats, suites, vectors
 from tarn.sources import store
 
 QUERIES: dict = {}
@@ -55,9 +55,10 @@ def clip_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.two_arms(long, ["metric", "clip", "qp"], "arm", "A", "R", "value", "qp")
 
 
-DELTAS = f"""{F1}, long AS (SELECT clip, arm, qp, 'bg_q' AS metric, bg_q AS value FROM f1 UNION ALL SELECT clip, arm, qp, 'fg_q', fg_q FROM f1 UNION ALL SELECT clip, arm, qp, 'rate', rate FROM f1),
+CLIP_DELTAS = f"""{F1}, long AS (SELECT clip, arm, qp, 'bg_q' AS metric, bg_q AS value FROM f1 UNION ALL SELECT clip, arm, qp, 'fg_q', fg_q FROM f1 UNION ALL SELECT clip, arm, qp, 'rate', rate FROM f1),
 d AS (SELECT a.metric, a.clip, a.qp, b.value - a.value AS delta FROM long a JOIN long b USING (metric, clip, qp) WHERE a.arm = 'A' AND b.arm = 'R'),
-c AS (SELECT metric, clip, round(avg(delta), 6) AS delta FROM d GROUP BY 1, 2),
+c AS (SELECT metric, clip, round(avg(delta), 6) AS delta FROM d GROUP BY 1, 2)"""
+DELTAS = f"""{CLIP_DELTAS},
 s AS (SELECT metric, count(*) FILTER (delta > 0) AS n_pos, count(*) FILTER (delta < 0) AS n_neg, count(*) FILTER (delta = 0) AS n_zero, avg(delta) AS mean, stddev_samp(delta) AS sd, count(*) FILTER (abs(delta) >= 0.001) AS clearing FROM c GROUP BY 1),
 p AS (SELECT *, {SIGN_P} AS p FROM s)"""
 
@@ -66,21 +67,45 @@ def _clips(spark, sf_dir):
     return clip_deltas(spark, sf_dir).groupBy("metric", "clip").agg(F.round(F.avg("delta"), 6).alias("delta"))
 
 
-@query(f"""WITH {DELTAS}, r AS (SELECT *, row_number() OVER (ORDER BY p, metric) AS k FROM p)
-SELECT metric, CAST(n_pos AS BIGINT) AS n_pos, CAST(n_neg AS BIGINT) AS n_neg, round(mean, 6) AS mean_delta, round(mean / sd, 6) AS dz, round(p, 9) AS p, round(least(1.0, max((3 - k + 1) * p) OVER (ORDER BY k)), 9) AS p_holm,
-CASE WHEN n_pos + n_neg = 0 THEN 'no difference' WHEN least(1.0, 3 * least(1.0, 2 / pow(2.0, n_pos + n_neg))) >= 0.05 THEN 'underpowered' WHEN least(1.0, 3 * p) >= 0.05 THEN 'not significant'
-WHEN n_pos > 0 AND n_neg > 0 THEN 'mixed direction' WHEN abs(mean) >= 0.001 AND 2 * clearing >= n_pos + n_neg + n_zero THEN 'real and perceptible' ELSE 'real but below threshold' END AS verdict FROM r""")
+#: Fixed values of the stand-in metrics: threshold, and whether a lower value is better.
+METRICS = {"bg_q": (0.005, True), "fg_q": (0.3, False), "rate": (5.0, True)}
+JND = "jnd AS (SELECT * FROM (VALUES ('bg_q', 0.005, true), ('fg_q', 0.3, false), ('rate', 5.0, true)) v(metric, jnd, low))"
+
+
+def assessed_sql(source: str, group: str, family: int) -> str:
+    """SQL of suites.assess() over a relation with metric and delta: v, after jnd."""
+    return f"""s AS (
+  SELECT {group}, count(*) AS n, count(*) FILTER (delta > 0) AS n_pos, count(*) FILTER (delta < 0) AS n_neg, avg(delta) AS mean, median(delta) AS med, stddev_samp(delta) AS sd,
+    count(*) FILTER (abs(delta) >= jnd) AS clearing, max(jnd) AS jnd, bool_or(low) AS low
+  FROM {source} JOIN jnd USING (metric) GROUP BY ALL
+), p AS (SELECT *, {SIGN_P} AS p FROM s),
+a AS (
+  SELECT *, least(1.0, {family} * p) AS p_corrected, n_pos + n_neg > 0 AND (n_pos = 0 OR n_neg = 0) AS one_way,
+    CASE WHEN low THEN n_pos = 0 ELSE n_neg = 0 END AS better, abs(mean) >= jnd AND 2 * clearing >= n AS clears
+  FROM p
+), v AS (
+  SELECT *, CASE WHEN n < 2 THEN 'insufficient_pairs' WHEN NOT one_way THEN 'no_consistent_direction'
+    WHEN least(1.0, {family} * 2 / pow(2.0, n_pos + n_neg)) > 0.05 + 1e-12 THEN 'underpowered' WHEN p_corrected > 0.05 + 1e-12 THEN 'consistent_not_significant'
+    WHEN clears AND better THEN 'perceptual_win' WHEN clears THEN 'perceptual_loss' ELSE 'sub_jnd_significant' END AS verdict,
+    CASE WHEN one_way AND better THEN 'better' WHEN one_way THEN 'worse' END AS direction
+  FROM a
+)"""
+
+
+def assess(df: DataFrame, group: list[str], family: int) -> DataFrame:
+    """Verdicts on suites of (metric, delta), with the thresholds of METRICS."""
+    pick = lambda i: F.element_at(F.create_map(*[F.lit(x) for m, v in METRICS.items() for x in (m, v[i])]), F.col("metric"))
+    return suites.assess(df.withColumn("jnd", pick(0)).withColumn("low", pick(1)), group, "delta", "jnd", "low", family)
+
+
+@query(f"""WITH {CLIP_DELTAS}, {JND}, {assessed_sql('c', 'metric', 3)}, r AS (SELECT *, row_number() OVER (ORDER BY p, metric) AS k FROM v)
+SELECT metric, n_pos, n_neg, round(mean, 6) AS mean_delta, round(mean / sd, 6) AS dz, round(p, 9) AS p, round(least(1.0, max((3 - k + 1) * p) OVER (ORDER BY k)), 9) AS p_holm, metric = 'rate' AS is_primary, direction, verdict FROM r""")
 def t15_suite_comparison(spark, sf_dir):
-    """Suite comparison: pair arms, one delta per clip and metric, exact sign test, Holm, verdict."""
+    """Suite comparison: pair arms, one delta per clip and metric, exact sign test, Holm, and a verdict with its direction for the family."""
     c = _clips(spark, sf_dir)
-    s = stats.signs(c, ["metric"]).join(stats.effect_size(c, ["metric"]), "metric").join(c.groupBy("metric").agg(F.count_if(F.abs("delta") >= 0.001).alias("clearing")), "metric")
-    h = stats.holm(s.withColumn("_all", F.lit(1)), ["_all"])
-    n, family = F.col("n_pos") + F.col("n_neg"), 3
-    verdict = (
-        F.when(n == 0, "no difference").when(F.least(F.lit(1.0), family * F.col("floor")) >= 0.05, "underpowered").when(F.least(F.lit(1.0), family * F.col("p")) >= 0.05, "not significant")
-        .when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), "mixed direction").when((F.abs("mean") >= 0.001) & (2 * F.col("clearing") >= n + F.col("n_zero")), "real and perceptible").otherwise("real but below threshold")
-    )
-    return h.select("metric", "n_pos", "n_neg", F.round("mean", 6).alias("mean_delta"), F.round("dz", 6).alias("dz"), F.round("p", 9).alias("p"), F.round("p_holm", 9).alias("p_holm"), verdict.alias("verdict"))
+    a = assess(c, ["metric"], len(METRICS)).join(stats.effect_size(c, ["metric"]).select("metric", "dz"), "metric")
+    h = stats.holm(a.withColumn("_all", F.lit(1)).select("_all", "p", "metric", "n_pos", "n_neg", "mean", "dz", "direction", "verdict"), ["_all"])
+    return h.select("metric", "n_pos", "n_neg", F.round("mean", 6).alias("mean_delta"), F.round("dz", 6).alias("dz"), F.round("p", 9).alias("p"), F.round("p_holm", 9).alias("p_holm"), (F.col("metric") == "rate").alias("is_primary"), "direction", "verdict")
 
 
 @query(f"WITH {DELTAS} SELECT metric, clip, delta FROM c")
@@ -320,4 +345,4 @@ def p20_z_score(spark, sf_dir):
     return m.join(F.broadcast(s)).select("n_nationkey", "n_name", F.round("m", 6).alias("mean"), F.round((F.col("m") - F.col("_a")) / F.nullif(F.col("_s"), F.lit(0.0)), 6).alias("z"))  # s is one row
 
 
-from tarn.plans import measures, reports, stencils  # noqa: E402, F401 - they register their queries here
+from tarn.plans import measures, reports, stencils, studies  # noqa: E402, F401 - they register their queries here

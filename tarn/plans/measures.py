@@ -98,10 +98,10 @@ def a37_whole_frame(spark, sf_dir):
     return pairing.star(long, ["clip", "qp", "metric"], "arm", "A", ["v"]).groupBy("arm", "metric").agg(F.count("*").alias("pairs"), F.round(F.median(F.col("v") - F.col("base_v")), 6).alias("delta")).where("pairs >= 3")
 
 
-@query(f"WITH {F1} SELECT clip, round(avg(fg_q), 6) AS masked, round(avg(bg_q * 500), 6) AS boxed, round(100 * (avg(bg_q * 500) - avg(fg_q)) / avg(fg_q), 6) AS gap_pct, count(*) FILTER (bg_q * 500 < fg_q) AS worse FROM f1 GROUP BY 1")
+@query(f"WITH {F1} SELECT clip, round(avg(fg_q), 4) AS masked, round(avg(bg_q * 500), 4) AS boxed, round(100 * (avg(bg_q * 500) - avg(fg_q)) / avg(fg_q), 4) AS gap_pct, count(*) FILTER (bg_q * 500 < fg_q) AS worse FROM f1 GROUP BY 1")
 def a41_bias(spark, sf_dir):
     m, b = F.avg("fg_q"), F.avg(F.col("bg_q") * 500)
-    return runs(spark, sf_dir).groupBy("clip").agg(F.round(m, 6).alias("masked"), F.round(b, 6).alias("boxed"), F.round(100 * (b - m) / m, 6).alias("gap_pct"), F.count_if(F.col("bg_q") * 500 < F.col("fg_q")).alias("worse"))
+    return runs(spark, sf_dir).groupBy("clip").agg(F.round(m, 4).alias("masked"), F.round(b, 4).alias("boxed"), F.round(100 * (b - m) / m, 4).alias("gap_pct"), F.count_if(F.col("bg_q") * 500 < F.col("fg_q")).alias("worse"))
 
 
 @query(f"WITH {F1}, f AS (SELECT clip FROM f1 WHERE arm IN ('A', 'R') GROUP BY 1 HAVING count(DISTINCT arm || qp) = 14) SELECT a.clip, round(avg(100 * (a.rate - b.rate) / b.rate), 6) AS pct FROM f1 a JOIN f1 b ON a.clip = b.clip AND a.qp = b.qp AND b.arm = 'A' JOIN f ON f.clip = a.clip WHERE a.arm = 'R' GROUP BY 1")
