@@ -121,3 +121,32 @@ def frame_count(length: Column, rate: Column) -> Column:
 
 def bitrate(sent_bytes: Column, frames: Column, fps: Column) -> Column:
     return F.try_divide(sent_bytes * 8.0, F.try_divide(frames.cast("double"), F.nullif(fps, F.lit(0.0))))
+
+
+def arm_label(transport: Column, fill: Column) -> Column:
+    """transport+fill; a run without a fill is none's."""
+    return F.concat_ws("+", transport, F.coalesce(fill, F.lit("none")))
+
+
+def first_known(*sources: Column) -> Column:
+    """The first source with a value, in their order."""
+    return F.coalesce(*sources)
+
+
+def clip_name(path: Column) -> Column:
+    """A file's name without its folders, ending and resolution."""
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"(_[0-9]+x[0-9]+)?(\.[a-z0-9]+)?$", "")
+
+
+def resolution_label(*sizes: tuple[Column, Column], tag: Column | None = None) -> Column:
+    """WxH of the first (width, height) that is known, else the tag, else unknown."""
+    made = [F.when(w.isNotNull() & h.isNotNull(), F.concat(w.cast("int").cast("string"), F.lit("x"), h.cast("int").cast("string"))) for w, h in sizes]
+    return F.coalesce(*made, *([tag] if tag is not None else []), F.lit("unknown"))
+
+
+def strength(score: Column, unit: float, restorer: Column, caps: dict[str, int], most: int = 1000) -> Column:
+    """A score in a restorer's own unit, half to even, at most its cap."""
+    cap = F.lit(most)
+    for name, c in caps.items():
+        cap = F.when(restorer == name, c).otherwise(cap)
+    return F.least(F.bround(score * unit).cast("int"), cap)

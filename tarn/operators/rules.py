@@ -114,3 +114,8 @@ def with_reason(df: DataFrame, mark: str, needs: list[str], reason: str) -> Data
     """df, refused when the query runs if a mark that needs a reason has none."""
     missing = F.col(mark).isin(needs) & (F.coalesce(F.trim(reason), F.lit("")) == "")
     return df.withColumn(mark, F.when(missing, F.raise_error(F.lit("a cell of this mark needs a reason"))).otherwise(F.col(mark)))
+
+
+def count_matches(found: Column, expected: Column) -> Column:
+    """Whether a log has as many rows as are expected of it; none found is no match."""
+    return F.coalesce(found == expected, F.lit(False))

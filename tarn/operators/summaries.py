@@ -123,3 +123,49 @@ def capture(df: DataFrame, group: list[str], score: str, gain: str, place: list[
 def first_of(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in an order that ends in a unique column."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_rn = 1").drop("_rn")
+
+
+def resolved(df: DataFrame, region: str, metric: str, table: list[tuple[str, str, str, bool]], banned: list[str]) -> DataFrame:
+    """value and gates of each row: the column that table (region, metric, column, gates) names for its region.
+
+    A column that is banned is an error at once; a region that the table does not have gives null.
+    """
+    wrong = sorted({c for _, _, c, _ in table} & set(banned))
+    if wrong:
+        raise ValueError(f"banned metrics: {', '.join(wrong)}")
+    value, gates = F.lit(None).cast("double"), F.lit(None).cast("boolean")
+    for r, m, c, g in table:
+        if m == metric:
+            value, gates = F.when(F.col(region) == r, F.col(c)).otherwise(value), F.when(F.col(region) == r, F.lit(g)).otherwise(gates)
+    return df.withColumn("value", value).withColumn("gates", gates)
+
+
+def compared(df: DataFrame, a: str, b: str, threshold: float, lower_is_better: bool) -> DataFrame:
+    """delta = b - a, within (under the threshold), margin (in thresholds) and better (a, b or tie)."""
+    delta = F.col(b) - F.col(a)
+    won = delta < 0 if lower_is_better else delta > 0
+    return df.withColumn("delta", delta).withColumn("within", F.abs(delta) < threshold).withColumn("margin", F.abs(delta) / threshold).withColumn("better", F.when(F.abs(delta) < threshold, "tie").when(won, "b").otherwise("a"))
+
+
+def members(df: DataFrame, allowed: dict[str, list]) -> DataFrame:
+    """Rows whose every named column holds one of its values."""
+    for c, values in allowed.items():
+        df = df.where(F.col(c).isin(*values))
+    return df
+
+
+def parameter_group(df: DataFrame, name: str, prefix: str) -> DataFrame:
+    """Rows whose parameter's name is of a group."""
+    return df.where(F.col(name).startswith(f"{prefix}_"))
+
+
+def by_dotted(df: DataFrame, doc: str, keys: dict[str, str]):
+    """Rows of documents grouped by dotted keys; a row that lacks one is in no group."""
+    named = df.select("*", *[F.try_variant_get(doc, f"$.{path}", "string").alias(n) for n, path in keys.items()])
+    return named.dropna(subset=list(keys)).groupBy(*keys)
+
+
+def spread_by(df: DataFrame, group: list[str], values: dict[str, str]) -> DataFrame:
+    """Mean and population deviation of each value, of finite numbers alone."""
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c))
+    return df.groupBy(*group).agg(*[f(finite(c)).alias(f"{n}_{w}") for n, c in values.items() for w, f in (("mean", F.avg), ("sd", F.stddev_pop))])

@@ -2,43 +2,187 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.functions.scalar import percent_of
+
 #: Foreground metrics that the citable view does not show.
 VIEW_BANNED = ["lpips_mean", "dists_mean", "fid_fg_bbox", "fvmd"]
 
 
 def scan_tree(spark: SparkSession, folder: str, name: str = "result.json") -> DataFrame:
-    """key (the folder's name), doc_raw and modified of each document below folder; names that start with _ or . are skipped."""
+    """key (the folder's name, or what stands after key= in it), doc_raw and modified of each document below folder.
+
+    name may have wildcards (part-* for a tree of export_tree()); keys that start with _ or . are skipped, and one
+    line feed at a document's end is none of it.
+    """
     found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(folder, wholetext=True)
-    path = F.col("_metadata.file_path")
-    return found.select(F.element_at(F.split(path, "/"), -2).alias("key"), F.col("value").alias("doc_raw"), F.col("_metadata.file_modification_time").alias("modified")).where(~F.col("key").rlike("^[_.]"))
+    own = F.url_decode(F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2), "^key=", ""))
+    return found.select(own.alias("key"), F.regexp_replace("value", "\n\\z", "").alias("doc_raw"), F.col("_metadata.file_modification_time").alias("modified")).where(~F.col("key").rlike("^[_.]"))
 
 
 def parsed(docs: DataFrame, raw: str = "doc_raw") -> tuple[DataFrame, DataFrame]:
-    """docs with doc (variant), and the corrupt ones. Bare non-finite numbers become null before parsing."""
-    clean = F.regexp_replace(F.col(raw), r"(?<=[:\[,\s])(?:NaN|-?Infinity)(?=\s*[,}\]])", "null")
-    all_ = docs.withColumn("doc", F.try_parse_json(clean))
+    """docs with doc (variant), and the corrupt ones. Bare non-finite numbers become null before parsing; strings stay as they are."""
+    # a string is matched whole and put back, so that only what stands outside of strings is replaced
+    token = r'("(?:[^"\\]|\\.)*+")|(?<=[:\[,\s])(?:NaN|-?Infinity)(?=\s*[,}\]])'
+    text = F.col(raw)
+    marked = F.regexp_replace(text, token, "$1\ue000")
+    clean = F.regexp_replace(F.regexp_replace(marked, '"\ue000', '"'), "\ue000", "null")
+    all_ = docs.withColumn("doc", F.try_parse_json(F.when(text.rlike("NaN|Infinity") & ~F.contains(text, F.lit("\ue000")), clean).otherwise(text)))
     return all_.where(F.col("doc").isNotNull()), all_.where(F.col("doc").isNull()).drop("doc")
 
 
-def metric_rows(docs: DataFrame, key: str, path: str = "$.metrics", depth: int = 3) -> DataFrame:
-    """(key, region, metric, value) of the numbers under path: objects nest into a dotted region, a stray number has region ''.
+def _kind(v: Column) -> Column:
+    return F.schema_of_variant(v)
+
+
+def _is_object(v: Column) -> Column:
+    return F.coalesce(_kind(v).startswith("OBJECT"), F.lit(False))
+
+
+def _is_number(v: Column) -> Column:
+    return F.coalesce(_kind(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
+
+
+def _fields(v: Column) -> Column:
+    """An object's fields; of another value, none."""
+    return F.when(_is_object(v), F.variant_get(v, "$", "map<string,variant>"))
+
 
-    Booleans are no numbers; block_level and what nests deeper than depth are left out.
+def levels(docs: DataFrame, doc: Column) -> int:
+    """How deep the objects nest, from the merged schema of all documents: one row reaches the driver."""
+    schema = docs.agg(F.schema_of_variant_agg(doc)).first()[0] or ""
+    depth = most = 0
+    for c in re.sub(r"`(?:[^`]|``)*`", "", schema):
+        depth += (c == "<") - (c == ">")
+        most = max(most, depth)
+    return most
+
+
+def metric_rows(docs: DataFrame, key: str, path: str = "$.metrics") -> DataFrame:
+    """(key, region, metric, value) of the numbers under path.
+
+    An object without objects in it is a region, named by its dotted path; a number beside objects has region '' and its
+    dotted path as metric. Booleans are no numbers, block_level is left out; objects nest to any depth.
     """
-    level = docs.select(F.col(key), F.lit("").alias("region"), F.variant_get("doc", path, "variant").alias("_v"))
-    out = None
-    for _ in range(depth):
-        level.createOrReplaceTempView("_tarn_level")
-        fields = level.sparkSession.sql(f"SELECT {key}, region, e.key AS metric, e.value AS v, schema_of_variant(e.value) AS t FROM _tarn_level, LATERAL variant_explode(_v) e WHERE e.key <> 'block_level'")
-        rows = fields.where(F.col("t").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")).select(key, "region", "metric", F.col("v").cast("double").alias("value"))
+    root = docs.select(F.col(key).alias("_key"), F.variant_get("doc", path, "variant").alias("_v"))
+    level, out = root.select("_key", F.lit("").alias("_at"), "_v"), None
+    for _ in range(max(1, levels(root, F.col("_v")))):
+        fields = level.select("_key", "_at", F.explode(_fields(F.col("_v"))).alias("_k", "_v")).where("_k <> 'block_level'").withColumn("_at", F.concat("_at", "_k"))
+        inner = fields.withColumn("_m", _fields(F.col("_v"))).withColumn("_deep", F.exists(F.map_values("_m"), _is_object))
+        alone = inner.where(_is_number(F.col("_v"))).select("_key", F.lit("").alias("region"), F.col("_at").alias("metric"), F.col("_v").cast("double").alias("value"))
+        regions = inner.where(~F.col("_deep")).select("_key", F.col("_at").alias("region"), F.explode("_m").alias("metric", "_x")).where(_is_number(F.col("_x"))).select("_key", "region", "metric", F.col("_x").cast("double").alias("value"))
+        rows = alone.unionByName(regions)
         out = rows if out is None else out.unionByName(rows)
-        level = fields.where(F.col("t").startswith("OBJECT")).select(key, F.when(F.col("region") == "", F.col("metric")).otherwise(F.concat_ws(".", "region", "metric")).alias("region"), F.col("v").alias("_v"))
-    return out
+        level = inner.where("_deep").select("_key", F.concat("_at", F.lit(".")).alias("_at"), "_v")
+    return out.withColumnRenamed("_key", key)
+
+
+def artifact_rows(docs: DataFrame, key: str, videos: tuple[str, ...] = ("output_video", "transmitted_video")) -> DataFrame:
+    """(key, kind, relpath, shape): the block matrices that metrics.block_level points to, and the named videos; empty paths are none."""
+    block = docs.select(F.col(key).alias("_key"), F.explode(_fields(F.variant_get("doc", "$.metrics.block_level", "variant"))).alias("_k", "_v")).select(
+        "_key", F.concat(F.lit("block_"), "_k").alias("kind"), F.try_variant_get("_v", "$.path", "string").alias("relpath"), F.to_json(F.try_variant_get("_v", "$.shape", "variant")).alias("shape")
+    )
+    named = F.explode(F.array(*[F.struct(F.lit(v).alias("kind"), F.try_variant_get("doc", f"$.{v}", "string").alias("relpath")) for v in videos])).alias("_v")
+    video = docs.select(F.col(key).alias("_key"), named).select("_key", "_v.kind", "_v.relpath", F.lit(None).cast("string").alias("shape"))
+    return block.unionByName(video).where("relpath <> ''").withColumnRenamed("_key", key)
+
+
+def derived_levels(docs: DataFrame, key: str) -> DataFrame:
+    """(key, level, name, value): the metric rows and the artifact rows of each document in one table."""
+    metrics = metric_rows(docs, key).select(key, F.lit("metric").alias("level"), F.concat_ws(".", F.nullif("region", F.lit("")), "metric").alias("name"), F.col("value").cast("string").alias("value"))
+    return metrics.unionByName(artifact_rows(docs, key).select(key, F.lit("artifact").alias("level"), F.col("kind").alias("name"), F.col("relpath").alias("value")))
+
+
+def flat_rows(docs: DataFrame, key: str, whole: tuple[str, ...] = ("metrics_block_level",)) -> DataFrame:
+    """(key, path, value, kind): every value of a document under its names joined by _; a list gives its length under _n
+    and its text under _json, an object named in whole its text under _json."""
+    root = docs.select(F.col(key).alias("_key"), F.col("doc").alias("_v"))
+    level, out = root.select("_key", F.lit("").alias("_at"), "_v"), None
+    for _ in range(max(1, levels(root, F.col("_v")))):
+        fields = level.select("_key", "_at", F.explode(_fields(F.col("_v"))).alias("_k", "_v")).withColumn("_at", F.concat_ws("_", F.nullif("_at", F.lit("")), "_k"))
+        kept, kind = F.col("_at").isin(*whole), _kind(F.col("_v"))
+        is_list = F.coalesce(kind.startswith("ARRAY"), F.lit(False))
+        size = F.size(F.try_variant_get("_v", "$", "array<variant>")).cast("string")
+        row = lambda path, value, k: F.struct(path.alias("path"), value.alias("value"), k.alias("kind"))
+        made = (
+            F.when(kept, F.array(row(F.concat("_at", F.lit("_json")), F.to_json("_v"), F.lit("STRING"))))
+            .when(is_list, F.array(row(F.concat("_at", F.lit("_n")), size, F.lit("BIGINT")), row(F.concat("_at", F.lit("_json")), F.to_json("_v"), F.lit("STRING"))))
+            .when(~_is_object(F.col("_v")), F.array(row(F.col("_at"), F.try_variant_get("_v", "$", "string"), F.regexp_replace(kind, r"\(.*|VOID", ""))))
+        )
+        rows = fields.select("_key", F.explode(made).alias("_r")).select("_key", "_r.*")
+        out = rows if out is None else out.unionByName(rows)
+        level = fields.where(_is_object(F.col("_v")) & ~kept).select("_key", "_at", "_v")
+    return out.withColumn("kind", F.nullif("kind", F.lit(""))).withColumnRenamed("_key", key)
+
+
+def wide(flat: DataFrame, key: str, paths: list[str]) -> DataFrame:
+    """flat_rows() with a column for each of paths."""
+    return flat.where(F.col("path").isin(*paths)).groupBy(key).pivot("path", paths).agg(F.first("value"))
+
+
+def union_schema(flat: DataFrame, key: str) -> DataFrame:
+    """path, kind: all columns, each typed by its first value that is not null in the order of the keys, STRING without one."""
+    by = flat.groupBy("path").agg(F.min_by(F.when(F.col("value").isNotNull(), F.col("kind")), F.when(F.col("value").isNotNull(), F.col(key))).alias("kind"), F.count("value").alias("n"))
+    return by.withColumn("kind", F.coalesce("kind", F.lit("STRING")))
+
+
+def canonical(doc: Column) -> Column:
+    """One text for equal documents: keys of every object are sorted by the variant encoding itself."""
+    return F.to_json(doc)
+
+
+def matching(runs: DataFrame, where: str, key: str = "hash") -> DataFrame:
+    """Runs that satisfy an expression, in the order of their key."""
+    return runs.where(where).orderBy(key)
+
+
+def provenance(result: DataFrame, runs: DataFrame, key: str, identity: list[str]) -> DataFrame:
+    """result with the identity of the run that each row's key names; found tells whether there is one."""
+    known = runs.select(F.col(key).alias("_key"), F.struct(*identity).alias("run"))
+    return result.join(known, F.col(key) == F.col("_key"), "left").withColumn("found", F.col("_key").isNotNull()).drop("_key")
+
+
+def save(df: DataFrame, path: str, form: str) -> None:
+    """Result sinks by name: csv, tsv (both with a header), json (a line for each row) or parquet."""
+    if form in ("csv", "tsv"):
+        df.write.option("header", True).option("sep", "," if form == "csv" else "\t").csv(path)
+    elif form in ("json", "parquet"):
+        getattr(df.write, form)(path)
+    else:
+        raise ValueError(f"unknown format {form}: use csv, tsv, json or parquet")
+
+
+def payload(df: DataFrame) -> DataFrame:
+    """Each row as one JSON text."""
+    return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("value"))
+
+
+def save_blocks(df: DataFrame, path: str, run: str) -> None:
+    """Block table in columns, a folder for each run."""
+    df.write.partitionBy(run).parquet(path)
+
+
+def frame_log(spark: SparkSession, path: str, percents: list[str]) -> DataFrame:
+    """Rows of a log whose header and cells are padded and whose percent columns end in %."""
+    raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+    named = raw.toDF(*[c.strip() for c in raw.columns])
+    return named.select(*[(percent_of(F.col(c)) if c in percents else F.trim(c)).alias(c) for c in named.columns])
+
+
+def first_of(runs: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """The first run of each group."""
+    return runs.groupBy(*group).agg(F.min_by(F.struct(*[c for c in runs.columns if c not in group]), F.struct(*order)).alias("_r")).select(*group, "_r.*")
+
+
+def replayable(runs: DataFrame, artifacts: DataFrame, key: str, group: list[str], needs: list[str]) -> DataFrame:
+    """Of each group the first run (by key) that has artifacts of all the needed kinds."""
+    have = artifacts.where(F.col("kind").isin(*needs)).groupBy(key).agg(F.count_distinct("kind").alias("_n")).where(F.col("_n") == len(set(needs)))
+    return first_of(runs.join(have.select(key), key, "left_semi"), group, [key])
 
 
 def keep_latest(df: DataFrame, key: list[str], version: list[str]) -> DataFrame:
@@ -59,17 +203,26 @@ def foreground(citable_metrics: DataFrame) -> DataFrame:
 
 def by_prefix(df: DataFrame, key: str, prefix: str) -> DataFrame:
     """The one row whose key starts with prefix; none or several raise an error when the query runs."""
-    n = F.count("*").over(Window.partitionBy(F.lit(1)))
-    return df.where(F.col(key).startswith(prefix)).limit(2).withColumn("_n", n).withColumn(key, F.when(F.col("_n") == 1, F.col(key)).otherwise(F.raise_error(F.lit(f"prefix {prefix} is ambiguous")))).drop("_n")
+    found = df.where(F.col(key).startswith(prefix)).limit(2)
+    rows = found.agg(F.collect_list(F.struct(*df.columns)).alias("_r"))
+    said = F.when(F.size("_r") == 0, F.lit(f"nothing starts with {prefix}")).otherwise(F.lit(f"prefix {prefix} is ambiguous"))
+    one = F.when(F.size("_r") == 1, F.get("_r", F.lit(0))).otherwise(F.raise_error(said).cast(found.select(F.struct(*df.columns)).schema[0].dataType))
+    return rows.select(one.alias("_o")).select("_o.*")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under the session's shared checkpoint folder, without which no table can be cut."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base.rstrip('/')}/tarn-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the session's shared checkpoint folder: cuts the lineage, and a lost executor costs only its own task."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/tarn-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def export_tree(docs: DataFrame, folder: str, key: str = "key", raw: str = "doc_raw") -> None:
@@ -78,7 +231,7 @@ def export_tree(docs: DataFrame, folder: str, key: str = "key", raw: str = "doc_
 
 
 def exported(spark: SparkSession, folder: str) -> DataFrame:
-    """key and doc_raw of a written tree, byte for byte what was exported."""
+    """key and doc_raw of a written tree, byte for byte what was exported; scan_tree() reads it too, by name part-*."""
     found = spark.read.schema("value string, key string").text(folder, wholetext=True)
     return found.select("key", F.regexp_replace("value", "\n\\z", "").alias("doc_raw"))
 
