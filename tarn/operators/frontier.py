@@ -32,3 +32,11 @@ def sensitivity(df: DataFrame, cell: list[str], arm: str, score: str, thresholds
     """Separable cells at each threshold: the thresholds are a fixed few, so each cell is decided once and read for all."""
     one = decide(df, cell, arm, score, 0.0)
     return one.select(F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"), "margin").groupBy("threshold").agg(F.count("*").alias("cells"), F.count_if(F.col("margin") >= F.col("threshold") - 1e-9).alias("separable"))
+
+
+def threshold_classes(df: DataFrame, cell: list[str], arm: str, score: str, thresholds: list[float]) -> DataFrame:
+    """class of each cell's winner: its lead passes all thresholds (robust), the least alone (tight only), others too (flipping) or none (never)."""
+    held = lambda t: F.col("margin") >= t - 1e-9
+    t = sorted(thresholds)
+    name = F.when(held(t[-1]), "robust").when(~held(t[0]), "never").when(~held(t[1]), "tight only").otherwise("flipping")
+    return decide(df, cell, arm, score, 0.0).where("margin IS NOT NULL").select(*cell, "winner", name.alias("class"))

@@ -142,3 +142,115 @@ def qp_offsets(df: DataFrame, clip: list[str], frame: list[str], score: str, mos
     c = df.withColumn("_c", F.col(score) - F.avg(score).over(Window.partitionBy(*clip, *frame)))
     top = F.max(F.abs("_c")).over(Window.partitionBy(*clip))
     return c.withColumn("offset", F.when(top < 1e-6, 0.0).otherwise(F.greatest(F.lit(-most), F.least(F.lit(most), F.col("_c") / top * most)))).drop("_c")
+
+
+def _sampled(c: str, source: int, samples: int):
+    """Samples of an axis that read place c when `samples` are taken nearest from `source` places."""
+    first = F.ceil(F.col(c) * samples / source).cast("int")
+    last = F.ceil((F.col(c) + 1) * samples / source).cast("int") - 1
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+
+def block_coverage(mask: DataFrame, frame: list[str], flag: str, source: tuple[int, int], blocks: tuple[int, int], block: int, coverage: float) -> DataFrame:
+    """foreground of each block: the mask, sampled nearest onto blocks of block x block places, covers more than coverage of it."""
+    y = mask.select(*frame, flag, "bx", F.explode(_sampled("by", source[0], blocks[0] * block)).alias("_y"))
+    both = y.select(*frame, flag, "_y", F.explode(_sampled("bx", source[1], blocks[1] * block)).alias("_x"))
+    by = both.groupBy(*frame, F.floor(F.col("_y") / block).cast("int").alias("by"), F.floor(F.col("_x") / block).cast("int").alias("bx"))
+    return by.agg((F.avg((F.col(flag) > 0).cast("double")) > coverage).alias("foreground"))
+
+
+def nearest_sample(df: DataFrame, frame: list[str], value: str, source: tuple[int, int], blocks: tuple[int, int]) -> DataFrame:
+    """value of each block of a coarser grid: that of the one place nearest sampling reads, which names its blocks itself."""
+    y = df.select(*frame, value, "bx", F.explode(_sampled("by", source[0], blocks[0])).alias("_y"))
+    return y.select(*frame, F.col("_y").alias("by"), F.explode(_sampled("bx", source[1], blocks[1])).alias("_x"), value).withColumnRenamed("_x", "bx")
+
+
+def removability(df: DataFrame, place: list[str], frame: str, spatial: str, temporal: str, flag: str, alpha: float, beta: float) -> DataFrame:
+    """score from 0 to 1: spatial blended with the next frame's temporal value, ten times as much in the background, smoothed with
+    the frame before, and scaled by the least and the largest of all."""
+    blended = blend_next(df, place, frame, spatial, temporal, alpha)
+    boosted = blended.withColumn("score", F.when(F.col(flag) == 0, F.col("score") * 10.0).otherwise(F.col("score")))
+    smoothed = smooth_time(boosted, place, frame, "score", beta) if beta < 1 else boosted.withColumn("smooth", F.col("score"))
+    ends = smoothed.agg(F.min("smooth").alias("_lo"), F.max("smooth").alias("_hi"))
+    scaled = F.coalesce(F.try_divide(F.col("smooth") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    return smoothed.join(F.broadcast(ends)).withColumn("score", scaled).drop("smooth", "_lo", "_hi")  # ends is one row
+
+
+def mask_union(df: DataFrame, place: list[str], instance: str) -> DataFrame:
+    """mask: 1 where any instance covers the place."""
+    return df.groupBy(*place).agg(F.max((F.col(instance) > 0).cast("int")).alias("mask"))
+
+
+def ellipse(radius: int) -> list[tuple[int, int]]:
+    """Offsets of an elliptical neighbourhood."""
+    return [(y, x) for y in range(-radius, radius + 1) for x in range(-radius, radius + 1) if y * y + x * x <= radius * radius]
+
+
+def erode(df: DataFrame, frame: list[str], offsets: list[tuple[int, int]]) -> DataFrame:
+    """The smallest value under the offsets; places outside do not count."""
+    return neighbours(df, frame, [(y, x, 1.0) for y, x in offsets]).groupBy(*frame, "by", "bx").agg(F.min("v2").alias("v"))
+
+
+def seeded_shift(df: DataFrame, frame: str, most: int, height: int, width: int, seed: str) -> DataFrame:
+    """Blocks moved by up to `most` places on each axis, a step that the seed and the frame draw; what leaves the frame is lost."""
+    def drawn(axis: str):
+        text = F.concat_ws("|", F.lit(seed), F.col(frame).cast("string"), F.lit(axis))
+        return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 6), 16, 10).cast("long") % (2 * most + 1)).cast("int") - most
+
+    moved = df.withColumn("by", F.col("by") + drawn("y")).withColumn("bx", F.col("bx") + drawn("x"))
+    return moved.where(F.col("by").between(0, height - 1) & F.col("bx").between(0, width - 1))
+
+
+def superblocks(df: DataFrame, frame: list[str], size: int):
+    """Blocks grouped into superblocks (sy, sx); those at the edge have fewer."""
+    return df.groupBy(*frame, F.floor(F.col("by") / size).cast("int").alias("sy"), F.floor(F.col("bx") / size).cast("int").alias("sx"))
+
+
+def content_attributes(df: DataFrame, clip: list[str], texture: str, motion: str, flag: str) -> DataFrame:
+    """Motion in all, in the foreground and in the background, the background's texture and the foreground's share; null where a side is empty."""
+    fg = F.col(flag) == 1
+    return df.groupBy(*clip).agg(
+        F.avg(motion).alias("motion"), F.avg(F.when(fg, F.col(motion))).alias("fg_motion"), F.avg(F.when(~fg, F.col(motion))).alias("bg_motion"),
+        F.avg(F.when(~fg, F.col(texture))).alias("bg_texture"), F.avg(fg.cast("double")).alias("fg_fraction"),
+    )
+
+
+def on_places(scores: DataFrame, values: DataFrame, place: list[str]) -> DataFrame:
+    """Both sides of the places that both have: values outside of the score's grid are dropped."""
+    return scores.join(values, place)
+
+
+def block_damage(df: DataFrame, arm: str, asking: str, baseline: str, frame: list[str], value: str, size: int) -> DataFrame:
+    """damage of each superblock of the asking arm: its mean less the baseline's, on the frames that both have. One pass over both arms."""
+    pooled = superblocks(df.where(F.col(arm).isin(asking, baseline)), [arm, *frame], size).agg(F.avg(value).alias("_v"))
+    side = lambda a: F.max(F.when(F.col(arm) == a, F.col("_v")))
+    both = pooled.groupBy(*frame, "sy", "sx").agg(side(asking).alias("_a"), side(baseline).alias("_b"))
+    return both.where("_a IS NOT NULL AND _b IS NOT NULL").withColumn("damage", F.col("_a") - F.col("_b")).drop("_a", "_b")
+
+
+def select_budget(df: DataFrame, frame: list[str], value: str, place: list[str], amount: float, height: int, width: int, excluded) -> DataFrame:
+    """The highest int(amount * width) * height blocks of each frame that are not excluded; ties go by place."""
+    w = Window.partitionBy(*frame).orderBy(F.desc(value), *place)
+    return df.where(~excluded).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= int(amount * width) * height).drop("_k")
+
+
+def _captured(df: DataFrame, group: list[str], chosen, best, share: float, gain: str) -> DataFrame:
+    k = F.floor(share * F.col("_n"))
+    by = df.groupBy(*group).agg(F.sum(F.when(chosen <= k, F.col(gain))).alias("_got"), F.sum(F.when(best <= k, F.col(gain))).alias("_best"), F.sum(gain).alias("_all"))
+    return by.withColumn("capture", F.try_divide("_got", "_best")).withColumn("by_chance", F.try_divide(share * F.col("_all"), F.col("_best"))).drop("_got", "_best", "_all")
+
+
+def oracle_capture(df: DataFrame, frame: list[str], score: str, gain: str, place: list[str], share: float) -> DataFrame:
+    """capture: the gain of the blocks that the score puts first, as a share of what the best choice of as many gives; by_chance: of a random one."""
+    w = Window.partitionBy(*frame)
+    ranked = df.withColumn("_s", F.row_number().over(w.orderBy(F.desc(score), *place))).withColumn("_b", F.row_number().over(w.orderBy(F.desc(gain), *place))).withColumn("_n", F.count("*").over(w))
+    return _captured(ranked, frame, F.col("_s"), F.col("_b"), share, gain)
+
+
+def random_capture(df: DataFrame, frame: list[str], gain: str, place: list[str], share: float, draws: int, seed: str) -> DataFrame:
+    """capture of each draw: as many blocks as the share takes, in an order that the seed, the block and the draw's number give."""
+    reps = df.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    w = Window.partitionBy(*frame, "_rep")
+    order = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in [*frame, *place, "_rep"]]).cast("binary"))
+    ranked = reps.withColumn("_s", F.row_number().over(w.orderBy(order))).withColumn("_b", F.row_number().over(w.orderBy(F.desc(gain), *place))).withColumn("_n", F.count("*").over(w))
+    return _captured(ranked, [*frame, "_rep"], F.col("_s"), F.col("_b"), share, gain)

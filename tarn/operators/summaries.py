@@ -169,3 +169,17 @@ def spread_by(df: DataFrame, group: list[str], values: dict[str, str]) -> DataFr
     """Mean and population deviation of each value, of finite numbers alone."""
     finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c))
     return df.groupBy(*group).agg(*[f(finite(c)).alias(f"{n}_{w}") for n, c in values.items() for w, f in (("mean", F.avg), ("sd", F.stddev_pop))])
+
+
+def single_key_sweeps(df: DataFrame, config: str) -> DataFrame:
+    """(key, rest, settings, runs): for every key of the config maps, runs that agree in all other keys and differ in it."""
+    entries = F.array_sort(F.map_entries(config))
+    one = df.select(entries.alias("_e"), F.explode(F.map_keys(config)).alias("key"))
+    rest = F.concat_ws(",", F.transform(F.filter("_e", lambda e: e["key"] != F.col("key")), lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"], F.lit("<null>")))))
+    value = F.coalesce(F.get(F.filter("_e", lambda e: e["key"] == F.col("key")), F.lit(0))["value"], F.lit("<null>"))
+    return one.select("key", rest.alias("rest"), value.alias("_v")).groupBy("key", "rest").agg(F.count_distinct("_v").alias("settings"), F.count("*").alias("runs")).where("settings > 1")
+
+
+def fixed_bins(df: DataFrame, group: list[str], value: Column, width: float) -> DataFrame:
+    """Counts by bins of one width from zero on, both ways; null values are in none."""
+    return df.select(*group, F.floor(value / width).alias("bin")).where("bin IS NOT NULL").groupBy(*group, "bin").agg(F.count("*").alias("n"))

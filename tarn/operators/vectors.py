@@ -3,16 +3,85 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def moments(df: DataFrame, group: str, vector: str) -> DataFrame:
-    """(group, i, j, n, sum_i, sum_j, sum_ij) over the vector's places i <= j; products are taken inside each row."""
+    """(group, n, total, products): count, sum of the vectors and sum of their outer products (flat, d * d) of each group.
+
+    Each task adds up its own rows, so that a group sends one row for each task, however many vectors it has.
+    """
+    kind = df.schema[group].dataType.simpleString()
+
+    def partial(batches):
+        sums: dict = {}
+        for pdf in batches:
+            for g, rows in pdf.groupby("g", sort=False)["v"]:
+                x = np.stack(rows.to_numpy()).astype(float)
+                n, total, products = sums.get(g, (0, 0.0, 0.0))
+                sums[g] = n + len(x), total + x.sum(axis=0), products + x.T @ x
+        yield pd.DataFrame([(g, n, t, p.ravel()) for g, (n, t, p) in sums.items()], columns=["g", "n", "total", "products"])
+
+    def whole(key, pdf):
+        return pd.DataFrame([(key[0], int(pdf["n"].sum()), np.sum(np.stack(pdf["total"]), axis=0), np.sum(np.stack(pdf["products"]), axis=0))], columns=[group, "n", "total", "products"])
+
+    rows = df.where(F.col(vector).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(vector).alias("v"))
+    each = rows.mapInPandas(partial, f"g {kind}, n long, total array<double>, products array<double>")
+    return each.groupBy("g").applyInPandas(whole, f"{group} {kind}, n long, total array<double>, products array<double>")
+
+
+def distance(n1: int, t1, p1, n2: int, t2, p2) -> tuple[float, float]:
+    """Mean and covariance terms from the moments of two sets."""
+    got = []
+    for n, t, p in ((n1, t1, p1), (n2, t2, p2)):
+        t = np.asarray(t, float)
+        p = np.asarray(p, float).reshape(len(t), len(t))
+        got.append((t / n, (p - np.outer(t, t) / n) / max(n - 1, 1)))
+    (m1, s1), (m2, s2) = got
+    w, q = np.linalg.eigh(s1)
+    root = (q * np.sqrt(np.maximum(w, 0))) @ q.T
+    cross = np.sqrt(np.maximum(np.linalg.eigvalsh(root @ s2 @ root), 0)).sum()
+    return float(((m1 - m2) ** 2).sum()), float(np.trace(s1) + np.trace(s2) - 2 * cross)
+
+
+def frechet_pairs(df: DataFrame, group: str, vector: str) -> DataFrame:
+    """a, b, mean_term, covariance_term and distance of each two groups, in tasks: a pair's moments are two rows."""
+
+    @F.pandas_udf("mean_term double, covariance_term double")
+    def terms(n1: pd.Series, t1: pd.Series, p1: pd.Series, n2: pd.Series, t2: pd.Series, p2: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([distance(*x) for x in zip(n1, t1, p1, n2, t2, p2)], columns=["mean_term", "covariance_term"])
+
+    m = moments(df, group, vector)
+    a = m.select(F.col(group).alias("a"), F.col("n").alias("n1"), F.col("total").alias("t1"), F.col("products").alias("p1"))
+    b = m.select(F.col(group).alias("b"), F.col("n").alias("n2"), F.col("total").alias("t2"), F.col("products").alias("p2"))
+    # every two of the named sets, as asked for
+    both = a.join(b, F.col("a") < F.col("b")).select("a", "b", terms("n1", "t1", "p1", "n2", "t2", "p2").alias("_t"))
+    return both.select("a", "b", "_t.mean_term", "_t.covariance_term").withColumn("distance", F.col("mean_term") + F.col("covariance_term"))
+
+
+def noise_ladder(df: DataFrame, key: str, vector: str, shares: list[float], seed: str = "noise") -> DataFrame:
+    """share, distance and rises: each rung adds to every place a drawn number of up to `share` times the vector's largest; the distance must rise."""
     v = F.transform(vector, lambda x: x.cast("double"))
-    d = df.select(group, v.alias("_v")).select(group, F.col("_v"), F.posexplode("_v").alias("i", "_x"))
-    pairs = d.select(group, "i", "_x", F.posexplode("_v").alias("j", "_y")).where("i <= j")
-    return pairs.groupBy(group, "i", "j").agg(F.count("*").alias("n"), F.sum("_x").alias("sum_i"), F.sum("_y").alias("sum_j"), F.sum(F.col("_x") * F.col("_y")).alias("sum_ij"))
+    rung = F.explode(F.array(F.lit(0.0), *map(F.lit, shares)))
+    steps = df.select(key, v.alias("_v"), rung.alias("share")).withColumn("_most", F.array_max(F.transform("_v", F.abs)))
+    drawn = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col(key), i), F.lit(2001)) / 1000.0 - 1.0
+    noisy = steps.select(F.format_string("%.4f", "share").alias("share"), F.transform("_v", lambda x, i: x + F.col("share") * F.col("_most") * drawn(i)).alias("_v"))
+    base = F.lit(f"{0:.4f}")
+    pairs = frechet_pairs(noisy, "share", "_v").where(F.col("a") == base).select(F.col("b").cast("double").alias("share"), "distance")
+    before = F.lag("distance", 1, 0.0).over(Window.orderBy("share"))  # a row for each rung
+    return pairs.withColumn("rises", F.col("distance") > before)
+
+
+def medoids(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:
+    """medoid: the member with the least sum of squared distances to its group, which is the one nearest to the mean; radius: the
+    distance of its farthest member; n. No pairs of members are made."""
+    v = df.select(group, key, F.transform(vector, lambda x: x.cast("double")).alias("_v"))
+    mean = v.select(group, F.posexplode("_v").alias("i", "x")).groupBy(group, "i").agg(F.avg("x").alias("m")).groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("_m"))
+    gap = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    near = v.join(mean, group).groupBy(group).agg(F.min_by(F.struct(F.col(key).alias("medoid"), F.col("_v").alias("_c")), F.struct(F.round(gap(F.col("_v"), F.col("_m")), 9), F.col(key))).alias("_b"))
+    return v.join(near, group).groupBy(group, F.col("_b.medoid").alias("medoid")).agg(F.sqrt(F.max(gap(F.col("_v"), F.col("_b._c")))).alias("radius"), F.count("*").alias("n"))
 
 
 def mean_distance(df: DataFrame, group: str, vector: str) -> DataFrame:
@@ -23,23 +92,9 @@ def mean_distance(df: DataFrame, group: str, vector: str) -> DataFrame:
 
 
 def frechet(df: DataFrame, group: str, vector: str, a, b) -> tuple[float, float]:
-    """Mean and covariance terms of the distance of groups a and b; only d x d sums reach the driver."""
-    rows = moments(df.where(F.col(group).isin(a, b)), group, vector).collect()
-    d = max(r["j"] for r in rows) + 1
-    got = {}
-    for g in (a, b):
-        mean, cov = np.zeros(d), np.zeros((d, d))
-        for r in rows:
-            if r[group] == g:
-                i, j, n = r["i"], r["j"], r["n"]
-                mean[i], mean[j] = r["sum_i"] / n, r["sum_j"] / n
-                cov[i, j] = cov[j, i] = (r["sum_ij"] - r["sum_i"] * r["sum_j"] / n) / max(n - 1, 1)
-        got[g] = mean, cov
-    (m1, s1), (m2, s2) = got[a], got[b]
-    w, q = np.linalg.eigh(s1)
-    root = (q * np.sqrt(np.maximum(w, 0))) @ q.T
-    cross = np.sqrt(np.maximum(np.linalg.eigvalsh(root @ s2 @ root), 0)).sum()
-    return float(((m1 - m2) ** 2).sum()), float(np.trace(s1) + np.trace(s2) - 2 * cross)
+    """Mean and covariance terms of the distance of groups a and b; two rows of d * d sums reach the driver."""
+    rows = {r[group]: r for r in moments(df.where(F.col(group).isin(a, b)), group, vector).collect()}
+    return distance(*(x for g in (a, b) for x in (rows[g]["n"], rows[g]["total"], rows[g]["products"])))
 
 
 def leave_one_out(df: DataFrame, source: str, vector: str) -> DataFrame:

@@ -23,17 +23,17 @@ def k10_gradient(spark, sf_dir):
     return grid.gradient(blocks(spark, sf_dir), ["frame"]).withColumn("gradient", F.round("gradient", 3))
 
 
-@query(f"""WITH RECURSIVE {F3}, p AS (SELECT frame, "by" * 10 + bx AS k, "by", bx FROM f3 WHERE v > 56000 AND frame <= 3), r(frame, k, s) AS (SELECT frame, k, k FROM p UNION
+@query(f"""WITH RECURSIVE {F3}, p AS (SELECT frame, "by" * 10 + bx AS k, "by", bx FROM f3 WHERE v > 56000), r(frame, k, s) AS (SELECT frame, k, k FROM p UNION
 SELECT r.frame, b.k, r.s FROM r JOIN p a ON r.frame = a.frame AND r.k = a.k JOIN p b ON a.frame = b.frame AND abs(a."by" - b."by") <= 1 AND abs(a.bx - b.bx) <= 1), m AS (SELECT frame, k, min(s) AS s FROM r GROUP BY 1, 2)
 SELECT frame, CAST(s // 10 AS INT) AS y, CAST(s % 10 AS INT) AS x, count(*) AS size FROM m GROUP BY 1, 2, 3 HAVING count(*) >= 2""")
 def k9_components(spark, sf_dir):
-    found = grid.components(blocks(spark, sf_dir).where("frame <= 3").withColumn("fg", F.col("v") > 56000), ["frame"], "fg", written)
+    found = grid.components(blocks(spark, sf_dir).withColumn("fg", F.col("v") > 56000), ["frame"], "fg", written)
     return found.groupBy("frame", F.col("component.by").alias("y"), F.col("component.bx").alias("x")).agg(F.count("*").alias("size")).where("size >= 2")
 
 
 @query()
 def k9_all_components(spark, sf_dir):
-    """Components of all frames, tested by brute force: the SQL of k9_components is for its first three."""
+    """The same, held against a flood fill."""
     found = grid.components(blocks(spark, sf_dir).withColumn("fg", F.col("v") > 56000), ["frame"], "fg", written)
     return found.groupBy("frame", F.col("component.by").alias("y"), F.col("component.bx").alias("x")).agg(F.count("*").alias("size")).where("size >= 2")
 

@@ -15,14 +15,16 @@ VIEW_BANNED = ["lpips_mean", "dists_mean", "fid_fg_bbox", "fvmd"]
 
 
 def scan_tree(spark: SparkSession, folder: str, name: str = "result.json") -> DataFrame:
-    """key (the folder's name, or what stands after key= in it), doc_raw and modified of each document below folder.
+    """key (the folder's name), doc_raw and modified of each document below folder.
 
-    name may have wildcards (part-* for a tree of export_tree()); keys that start with _ or . are skipped, and one
-    line feed at a document's end is none of it.
+    A tree of export_tree() is read back by the name part-*: there the key stands after key= in the folder's name, and
+    the last line feed is none of the document. Keys that start with _ or . are skipped.
     """
     found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(folder, wholetext=True)
-    own = F.url_decode(F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2), "^key=", ""))
-    return found.select(own.alias("key"), F.regexp_replace("value", "\n\\z", "").alias("doc_raw"), F.col("_metadata.file_modification_time").alias("modified")).where(~F.col("key").rlike("^[_.]"))
+    own = F.url_decode(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    ours = own.startswith("key=")
+    key, raw = F.when(ours, F.url_decode(F.substring(own, F.lit(5), F.length(own)))).otherwise(own), F.when(ours, F.regexp_replace("value", "\n\\z", "")).otherwise(F.col("value"))
+    return found.select(key.alias("key"), raw.alias("doc_raw"), F.col("_metadata.file_modification_time").alias("modified")).where(~F.col("key").rlike("^[_.]"))
 
 
 def parsed(docs: DataFrame, raw: str = "doc_raw") -> tuple[DataFrame, DataFrame]:
