@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 import uuid
+from array import array
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,26 +95,9 @@ class Memo(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.chars))]
-        packed = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
-        return packed
-
-
-class Units(dict):
-    """Ids of a run without spaces together with the space before it; longer ones are not remembered."""
-
-    LONGEST = 64
-
-    def __init__(self, pieces: Memo, pattern: re.Pattern, most: int):
-        super().__init__()
-        self.pieces, self.pattern, self.most = pieces, pattern, most
-
-    def __missing__(self, unit: str) -> bytes:
-        packed = b"".join(map(self.pieces.__getitem__, self.pattern.findall(" " + unit)))
-        if len(unit) <= self.LONGEST:
-            if len(self) >= self.most:
-                self.clear()
-            self[unit] = packed
+        # in plain ASCII without line feeds all but the space stands for itself
+        shown = piece.replace(" ", self.chars[32]) if piece.isascii() and "\n" not in piece else piece.encode().decode("latin-1").translate(self.chars)
+        packed = self[piece] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return packed
 
 
@@ -122,8 +106,7 @@ class PieceEncoder:
 
     A byte-level tokenizer cuts a text into pieces by a pattern and encodes each by itself. Over the characters of
     PLAIN, whose classes are fixed, the pattern is written out here; the library's model encodes each new piece
-    once. A space before a visible character always starts a piece, so texts are cut there first where no space
-    stands beside other white space. Any other text, and one that holds an added token's string, goes to the library whole.
+    once. Any other text, and one that holds an added token's string, goes to the library whole.
     """
 
     LETTER, NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -131,23 +114,23 @@ class PieceEncoder:
     #: The published pattern of byte-level tokenizers, its first two alternatives set before the contractions.
     PIECE = re.compile(rf" ?[{LETTER}]+| ?[{NUMBER}]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo = Memo(self.tokenizer.model, most)
-        self.units = Units(self.memo, self.PIECE, most)
+
+    def pieces(self, text: str) -> list[str] | None:
+        return None if self.OUTSIDE.search(text) or any(a in text for a in self.added) else self.PIECE.findall(text)
 
     def packed(self, text: str) -> bytes:
         """The text's ids as 32-bit little-endian bytes."""
-        if self.OUTSIDE.search(text) or any(a in text for a in self.added):
+        cut = self.pieces(text)
+        if cut is None:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        if "  " in text or " \n" in text or text.endswith(" "):
-            return b"".join(map(self.memo.__getitem__, self.PIECE.findall(text)))
-        first, *rest = text.split(" ")
-        return b"".join([*map(self.memo.__getitem__, self.PIECE.findall(first)), *map(self.units.__getitem__, rest)])
+        return b"".join(map(self.memo.__getitem__, cut))
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
