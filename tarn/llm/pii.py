@@ -54,8 +54,11 @@ OPEN, CLOSE, OTHER = "\ue000", "\ue001", "\ue002"
 VOTES = ("check", "gazetteer", "context", "around", "length")
 #: Reliabilities to start from, on true and on false spans, and the votes they count for: a checksum knows both; clean
 #: sides and a usual length say little, for most false spans have them too.
-START = {"check": (0.98, 0.9), "gazetteer": (0.9, 0.5), "context": (0.8, 0.7), "around": (0.95, 0.3), "length": (0.95, 0.3)}
+START = {"check": (0.995, 0.9), "gazetteer": (0.9, 0.5), "context": (0.8, 0.7), "around": (0.95, 0.3), "length": (0.95, 0.3)}
 PRIOR_VOTES = 10
+#: Known beforehand and not estimated: a true number passes its checksum. Else a kind of many true spans would teach the
+#: others to overrule it.
+HELD = {("check", 0)}
 #: Kinds whose matches can prove themselves; of the others the check says nothing.
 CHECKED = ("ip", "card", "phone", "iban", "secret", "ssn")
 
@@ -172,6 +175,8 @@ def estimate(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 25)
             post[kind, votes] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
         for i, v in enumerate(VOTES):
             for y in (0, 1):
+                if (v, y) in HELD:
+                    continue
                 told = sum(n * (post[k, p] if y == 0 else 1 - post[k, p]) for k, p, n in patterns if p[i])
                 good = sum(n * (post[k, p] if y == 0 else 1 - post[k, p]) for k, p, n in patterns if p[i] == (1 if y == 0 else -1))
                 right[v][y] = min(0.99, max(0.05, (good + PRIOR_VOTES * START[v][y]) / (told + PRIOR_VOTES)))
