@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 import struct
-import uuid
 from array import array
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.sources.store import shared_folder, written  # noqa: F401 - the operators take them from here
+
 #: Contract word classes. Words of rule W are runs of digits, ASCII letters and non-ASCII characters.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -45,22 +46,6 @@ def py_words(text: str | None) -> list[str]:
     return list(filter(None, (text or "").encode("utf-8", "surrogatepass").translate(_TO_WORDS).decode("utf-8", "surrogatepass").split(" ")))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder, which is set here only where the session has none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tarn-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, and a lost executor costs only its own task."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int, where: Column | None = None) -> DataFrame:
     """doc_id, text, _label of at most `rows` labelled documents, those of the smallest hash of doc_id; the bound makes the broadcast safe.
 
