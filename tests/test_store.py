@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tarn.sources import store
-from tarn.streaming.ingest import ingest
+from tarn.streaming.ingest import current, ingest, prune
 
 
 def test_parse_flatten_and_views(spark):
@@ -27,7 +27,12 @@ def test_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "z"), (2, 0, "w")], "k int, v int, t string")
     for i in range(4):
         df.where(F.pmod(F.col("v") + F.col("k"), F.lit(4)) == i).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
-    q = ingest(spark, str(tmp_path / "in" / "*"), df.schema, str(tmp_path / "store"), str(tmp_path / "ck"), ["k"], ["v"])
+    where = str(tmp_path / "store")
+    q = ingest(spark, str(tmp_path / "in" / "*"), df.schema, where, str(tmp_path / "ck"), ["k"], ["v"], buckets=8, files=1)
     q.awaitTermination()
-    last = max((p for p in (tmp_path / "store").iterdir()), key=lambda p: int(p.name.split("=")[1]))
-    assert {tuple(r) for r in spark.read.parquet(str(last)).select("k", "v", "t").collect()} == {tuple(r) for r in store.keep_latest(df, ["k"], ["v"]).select("k", "v", "t").collect()}
+    want = {tuple(r) for r in store.keep_latest(df, ["k"], ["v"]).select("k", "v", "t").collect()}
+    assert {tuple(r) for r in current(spark, df.schema, where).collect()} == want
+    # each batch wrote the buckets of its own keys alone
+    assert all(len(list(b.glob("bucket=*"))) == 1 for b in (tmp_path / "store").iterdir())
+    assert prune(spark, where) == 4 - len(list((tmp_path / "store").glob("*/bucket=*"))) > 0
+    assert {tuple(r) for r in current(spark, df.schema, where).collect()} == want
