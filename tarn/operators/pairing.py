@@ -49,3 +49,9 @@ def nearest(df: DataFrame, group: list[str], arm: str, asking: str, baseline: st
     ladder = df.where(F.col(arm) == baseline).groupBy(*group).agg(F.collect_list(F.struct(F.col(value).alias("v"), F.col(key).alias("k"))).alias("_l"))
     best = F.array_min(F.transform("_l", lambda x: F.struct(F.abs(x["v"] - F.col(value)).alias("d"), x["k"].alias("k"), x["v"].alias("v"))))
     return df.where(F.col(arm) == asking).join(ladder, group).withColumn("_b", best).withColumn(f"base_{key}", F.col("_b.k")).withColumn("off", F.col(value) - F.col("_b.v")).drop("_l", "_b")
+
+
+def by_keys(docs: DataFrame, doc: str, pair: dict[str, str], arm: dict[str, str], value: dict[str, str]) -> DataFrame:
+    """Columns named by dotted keys of documents: pair keys and the arm as text, values as numbers. Rows that lack a pair key are left out."""
+    text = [F.try_variant_get(doc, f"$.{path}", "string").alias(n) for n, path in {**pair, **arm}.items()]
+    return docs.select(*text, *[F.try_variant_get(doc, f"$.{path}", "double").alias(n) for n, path in value.items()]).dropna(subset=list(pair))

@@ -47,8 +47,6 @@ def ingest(spark: SparkSession, source: str, schema, store: str, checkpoint: str
         session, columns = batch.sparkSession, batch.columns
         rows = batch.withColumn("bucket", _bucket(key, buckets))
         touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most `buckets`
-        if not touched:
-            return
         if number:
             old = versions(session, batch.schema, store, number).where(F.col("bucket").isin(touched)).drop("batch")
             rows = rows.unionByName(old.select(*columns, "bucket"))
