@@ -83,9 +83,9 @@ def j1_citable(spark, sf_dir):
     return store.citable(r, store.metric_rows(_docs(spark, sf_dir), "event_id"), "event_id").select("event_id", "event_type")
 
 
-@query(f"""WITH {F3} SELECT frame, "by", bx, round(coalesce(0.6 * v + 0.4 * lag(v) OVER (PARTITION BY "by", bx ORDER BY frame), v), 4) AS smooth FROM f3""")
+@query(f"""WITH {F3} SELECT frame, "by", bx, round(coalesce(0.6 * v + 0.4 * lag(v) OVER (PARTITION BY "by", bx ORDER BY frame), v), 6) AS smooth FROM f3""")
 def w5_smoothed(spark, sf_dir):
-    return grid.smooth_time(blocks(spark, sf_dir), ["by", "bx"], "frame", "v", 0.6).select("frame", "by", "bx", F.round("smooth", 4).alias("smooth"))
+    return grid.smooth_time(blocks(spark, sf_dir), ["by", "bx"], "frame", "v", 0.6).select("frame", "by", "bx", F.round("smooth", 6).alias("smooth"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'n/a' ELSE 'done' END AS mark FROM orders")
