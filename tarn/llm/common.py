@@ -62,7 +62,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int,
     return found.groupBy("doc_id", "_label").agg(F.min_by("text", F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("text")).select("doc_id", "text", "_label")
 
 
-def _byte_chars() -> str:
+def byte_chars() -> str:
     """The character that stands for each byte in a byte-level vocabulary: itself where it can be seen, else one from U+0100 on."""
     seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = iter(range(256, 512))
@@ -75,7 +75,7 @@ class Memo(dict):
     def __init__(self, model, most: int):
         super().__init__()
         self.model, self.most = model, most
-        self.chars = {i: c for i, c in enumerate(_byte_chars())}
+        self.chars = {i: c for i, c in enumerate(byte_chars())}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.most:
@@ -132,3 +132,10 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
+
+
+def split_pattern() -> str:
+    """The pattern that goes with the rank files."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, minhash, mixing, pii, quality_classifier, quality_rules, store, tokens, toxicity
-from .common import table, tokenizer_path
+from . import bpe, decontam, licenses, minhash, mixing, pii, quality_classifier, quality_rules, repeats, store, tokens, toxicity, whitening
+from .common import split_pattern, table, tokenizer_path
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +53,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.find_runs(repeats.planted(table(spark, sf_dir, "documents"))))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    each = found.select(F.col("id").alias("vec_id"), "n", F.col("deviation").cast("long").alias("deviation"), "explained", "identity_error", F.posexplode("v").alias("k", "whitened"))
+    return each.select("vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", "whitened", F.get("explained", F.col("k")).alias("explained"), "identity_error")
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = tokenizer_path("byte_bpe_50k.tiktoken"), split_pattern()
+    found = bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    return found.select("doc_id", F.octet_length("ids").cast("long").alias("_bytes"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text_bytes", 256).alias("decoded_sha256")).select(
+        "doc_id", F.expr("_bytes div 4").alias("n_tokens"), "ids_sha256", "decoded_sha256"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_order_minhash, op4_pii, op5_decontamination, op6_token_store, op7_quality_rules, op8_mixing, op9_quality_classifier, op10_toxicity)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_order_minhash, op4_pii, op5_decontamination, op6_token_store, op7_quality_rules, op8_mixing, op9_quality_classifier, op10_toxicity, op11_periodic_runs, op12_whitening, op13_byte_bpe)}
 
 
 _W = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
