@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.operators.ranks import same
+
 
 def two_arms(df: DataFrame, pair_by: list[str], arm: str, a: str, b: str, value: str, order: str) -> DataFrame:
     """value_a, value_b and delta = b - a of each pair key that has both arms; of duplicate arms the first by `order` stays."""
@@ -36,9 +38,9 @@ def complete(df: DataFrame, unit: str, parts: list[str]) -> DataFrame:
 
 def refuse_ambiguous(df: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows whose key is theirs alone, and the ambiguous keys with their counts."""
-    w = Window.partitionBy(*key)
-    counted = df.withColumn("_n", F.count("*").over(w))
-    return counted.where("_n = 1").drop("_n"), counted.where("_n > 1").groupBy(*key).agg(F.count("*").alias("n"))
+    counts = df.groupBy(*key).agg(F.count("*").alias("n"))
+    alone = same(df, counts.where("n = 1").drop("n"), key, "left_semi")
+    return alone, counts.where("n > 1")
 
 
 def nearest(df: DataFrame, group: list[str], arm: str, asking: str, baseline: str, key: str, value: str) -> DataFrame:

@@ -6,11 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.scalar import sign_test_floor, sign_test_p
-
-
-def midrank(value: str, group: list[str]) -> Column:
-    w = Window.partitionBy(*group)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*group, value)) - 1) / 2
+from tarn.operators import ranks
 
 
 def correlation(x: str, y: str) -> Column:
@@ -42,28 +38,30 @@ def effect_size(df: DataFrame, group: list[str], delta: str = "delta") -> DataFr
 
 def spearman(df: DataFrame, group: list[str], x: str, y: str, least: int = 3) -> DataFrame:
     """rho of each group from midranks; null under `least` rows or for a constant side."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = both.withColumn("_x", midrank(x, group)).withColumn("_y", midrank(y, group))
-    return ranked.groupBy(*group).agg(F.count("*").alias("n"), F.when(F.count("*") >= least, correlation("_x", "_y")).alias("rho"))
+    return ranks.spearman(df, group, x, y, least)
 
 
 def wilcoxon(df: DataFrame, group: list[str], delta: str = "delta", exact: int = 20) -> DataFrame:
     """Signed-rank test: exact by counting subsets of doubled midranks up to `exact` pairs, else the normal approximation.
 
-    Zeros are dropped. The exact distribution is an integer array that grows rank by rank.
+    Zeros are dropped. The exact distribution is an integer array that grows rank by rank; ranks are collected for groups of
+    up to `exact` pairs alone.
     """
     d = df.where((F.col(delta) != 0) & F.col(delta).isNotNull()).withColumn("_a", F.abs(delta))
-    d = d.withColumn("_r", midrank("_a", group)).withColumn("_t", F.count("*").over(Window.partitionBy(*group, "_a")))
-    by = d.groupBy(*group).agg(
-        F.count("*").cast("int").alias("n"), F.sum(F.when(F.col(delta) > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"),
-        F.sum(F.col("_t") * F.col("_t") - 1).alias("_ties"), F.when(F.count("*") <= exact, F.collect_list((2 * F.col("_r")).cast("int"))).alias("_ranks"),
+    plus = d.where(F.col(delta) > 0).groupBy(*group, "_a").agg(F.count("*").alias("_plus"))
+    each = ranks.same(ranks.midranks(d, group, "_a"), plus, [*group, "_a"], "left")
+    t, small = F.col("ties"), F.col("of") <= exact
+    by = each.groupBy(*group, F.col("of").cast("int").alias("n")).agg(
+        F.sum(F.coalesce("_plus", F.lit(0)) * F.col("rank")).alias("w_plus"), F.sum(t * (t * t - 1)).alias("_ties"),
+        F.flatten(F.collect_list(F.when(small, F.array_repeat((2 * F.col("rank")).cast("int"), t.cast("int"))))).alias("_ranks"),
     )
     total = (F.col("n") * (F.col("n") + 1)).cast("int")
 
     def grow(counts: Column, r: Column) -> Column:
         return F.zip_with(counts, F.concat(F.array_repeat(F.lit(0).cast("long"), r), F.slice(counts, 1, F.size(counts) - r)), lambda a, b: a + b)
 
-    ways = F.aggregate("_ranks", F.concat(F.array(F.lit(1).cast("long")), F.array_repeat(F.lit(0).cast("long"), total)), grow)
+    few = F.when(F.col("n") <= exact, total).otherwise(0)  # no array for a large group
+    ways = F.aggregate("_ranks", F.concat(F.array(F.lit(1).cast("long")), F.array_repeat(F.lit(0).cast("long"), few)), grow)
     low = F.least(2 * F.col("w_plus"), total - 2 * F.col("w_plus")).cast("int")
     tail = F.aggregate(F.slice(ways, F.lit(1), low + 1), F.lit(0).cast("long"), lambda s, x: s + x)
     n = F.col("n").cast("double")
@@ -77,10 +75,14 @@ def draw(seed: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *[p.cast("string") for p in parts]).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+def _numbered(df: DataFrame, group: list[str], key: str) -> DataFrame:
+    """df with _i, the place of each row in its group by key from 0 on, and _n, the group's rows."""
+    return ranks.numbered(df, group, [key], "_i").withColumn("_i", F.col("_i") - 1).withColumnRenamed("_all", "_n")
+
+
 def bootstrap(df: DataFrame, group: list[str], key: str, value: str, resamples: int = 200, confidence: float = 0.95, seed: str = "b") -> DataFrame:
     """Percentile interval of the mean. Each replicate draws as many rows as its group has; rows are numbered by key."""
-    w = Window.partitionBy(*group)
-    numbered = df.where(F.col(value).isNotNull()).select(*group, (F.row_number().over(w.orderBy(key)) - 1).alias("_i"), F.count("*").over(w).alias("_n"), F.col(value).alias("_v"))
+    numbered = _numbered(df.where(F.col(value).isNotNull()).select(*group, key, F.col(value).alias("_v")), group, key)
     picks = numbered.select(*group, "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_rep"))
     picks = picks.withColumn("_pick", F.pmod(draw(seed, *[F.col(g) for g in group], F.col("_rep"), F.col("_i")), F.col("_n")))
     drawn = picks.select(*group, "_rep", F.col("_pick").alias("_i")).join(numbered.select(*group, "_i", "_v"), [*group, "_i"])
@@ -93,9 +95,8 @@ def bootstrap(df: DataFrame, group: list[str], key: str, value: str, resamples:
 
 def bootstrap_rho(df: DataFrame, group: list[str], key: str, x: str, y: str, resamples: int = 200, confidence: float = 0.95, seed: str = "b") -> DataFrame:
     """Percentile interval of Spearman's rho: ranks are taken anew in each replicate. Drawn as bootstrap() draws."""
-    w = Window.partitionBy(*group)
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    numbered = both.select(*group, (F.row_number().over(w.orderBy(key)) - 1).alias("_i"), F.count("*").over(w).alias("_n"), F.col(x).alias("_x"), F.col(y).alias("_y"))
+    numbered = _numbered(both.select(*group, key, F.col(x).alias("_x"), F.col(y).alias("_y")), group, key)
     picks = numbered.select(*group, "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_rep"))
     picks = picks.withColumn("_pick", F.pmod(draw(seed, *[F.col(g) for g in group], F.col("_rep"), F.col("_i")), F.col("_n")))
     drawn = picks.select(*group, "_rep", F.col("_pick").alias("_i")).join(numbered.select(*group, "_i", "_x", "_y"), [*group, "_i"])
@@ -107,14 +108,15 @@ def bootstrap_rho(df: DataFrame, group: list[str], key: str, x: str, y: str, res
 
 def permutation(df: DataFrame, group: list[str], key: str, x: str, y: str, permutations: int = 200, seed: str = "p") -> DataFrame:
     """Two-tailed permutation p of Spearman's rho, (hits + 1) / (permutations + 1)."""
-    w = Window.partitionBy(*group)
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, F.row_number().over(w.orderBy(key)).alias("_i"), midrank(x, group).alias("_x"), midrank(y, group).alias("_y"))
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, key, F.col(x).alias("_vx"), F.col(y).alias("_vy"))
+    both = ranks.ranked(ranks.ranked(known, group, "_vx", "_x"), group, "_vy", "_y")
+    both = ranks.numbered(both, group, [key], "_i").select(*group, "_i", "_x", "_y")
     seen = both.groupBy(*group).agg(correlation("_x", "_y").alias("rho"))
-    reps = both.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    order = Window.partitionBy(*group, "_rep").orderBy(draw(seed, *[F.col(g) for g in group], F.col("_rep"), F.col("_i")), "_i")
-    moved = reps.select(*group, "_rep", F.row_number().over(order).alias("_i"), "_x").join(both.select(*group, "_i", "_y"), [*group, "_i"])
-    rhos = moved.groupBy(*group, "_rep").agg(correlation("_x", "_y").alias("_r"))
-    return rhos.join(seen, group).groupBy(*group, "rho").agg(((F.count_if(F.abs("_r") >= F.abs("rho") - 1e-12) + 1) / (permutations + 1)).alias("p"))
+    reps = both.select(*group, F.col("_i").alias("_from"), "_x", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("_rep"))
+    order = [draw(seed, *[F.col(g) for g in group], F.col("_rep"), F.col("_from")), F.col("_from")]
+    moved = ranks.numbered(reps, [*group, "_rep"], order, "_i").select(*group, "_rep", "_i", "_x")
+    rhos = ranks.same(moved, both.select(*group, "_i", "_y"), [*group, "_i"]).groupBy(*group, "_rep").agg(correlation("_x", "_y").alias("_r"))
+    return ranks.same(rhos, seen, group).groupBy(*group, "rho").agg(((F.count_if(F.abs("_r") >= F.abs("rho") - 1e-12) + 1) / (permutations + 1)).alias("p"))
 
 
 def equivalence(df: DataFrame, group: list[str], key: str, bound: float, delta: str = "delta", resamples: int = 200, least: int = 4) -> DataFrame:

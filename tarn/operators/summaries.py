@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.operators import ranks
+
 
 def group_verdict(df: DataFrame, group: list[str], arm: str, bits: str, ok: str, base_bits: str, margin: str) -> DataFrame:
     """Of each group: whether every comparison holds, the arm of fewest bits, its saving in percent, and the worst margin's arm."""
@@ -22,14 +24,16 @@ def winner_counts(decided: DataFrame, winner: str = "winner") -> DataFrame:
 
 def medians(df: DataFrame, arm: str, values: list[str], least: int = 8) -> DataFrame:
     """Median of each value for the arms seen at least `least` times."""
-    return df.groupBy(arm).agg(F.count("*").alias("n"), *[F.median(v).alias(v) for v in values]).where(F.col("n") >= least)
+    often = df.groupBy(arm).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return ranks.same(often, ranks.medians(df, [arm], {v: v for v in values}), [arm], "left")
 
 
 def matched_medians(df: DataFrame, cell: list[str], arm: str, values: list[str]) -> DataFrame:
     """Medians over the cells that every arm has."""
     need = df.agg(F.count_distinct(arm).alias("_need"))
     full = df.groupBy(*cell).agg(F.count_distinct(arm).alias("_have")).join(F.broadcast(need), F.col("_have") == F.col("_need")).select(*cell)  # need is one row
-    return df.join(full, cell, "left_semi").groupBy(arm).agg(F.count_distinct(*cell).alias("cells"), *[F.median(v).alias(v) for v in values])
+    matched = df.join(full, cell, "left_semi")
+    return ranks.same(matched.groupBy(arm).agg(F.count_distinct(*cell).alias("cells")), ranks.medians(matched, [arm], {v: v for v in values}), [arm], "left")
 
 
 def front_share(df: DataFrame, front: DataFrame, arm: str, least: int = 4) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import scalar
-from tarn.operators import curves, frontier, grid, pairing, stats, suites, vectors
+from tarn.operators import curves, frontier, grid, pairing, ranks, stats, suites, vectors
 from tarn.sources import store
 
 QUERIES: dict = {}
@@ -143,9 +143,10 @@ def q17_ambiguous_keys(spark, sf_dir):
 
 @query(f"WITH {F1} SELECT clip, arm, round(avg(rate), 6) AS mean, round(stddev_pop(rate), 6) AS sd, round(quantile_cont(rate, 0.1), 6) AS p10, round(quantile_cont(rate, 0.5), 6) AS p50, round(quantile_cont(rate, 0.9), 6) AS p90 FROM f1 GROUP BY 1, 2")
 def a19_spread(spark, sf_dir):
-    q = F.percentile("rate", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    by = runs(spark, sf_dir).groupBy("clip", "arm").agg(F.avg("rate").alias("m"), F.stddev_pop("rate").alias("s"), q.alias("q"))
-    return by.select("clip", "arm", F.round("m", 6).alias("mean"), F.round("s", 6).alias("sd"), *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
+    r = runs(spark, sf_dir)
+    by = r.groupBy("clip", "arm").agg(F.round(F.avg("rate"), 6).alias("mean"), F.round(F.stddev_pop("rate"), 6).alias("sd"))
+    q = ranks.quantiles(r, ["clip", "arm"], "rate", {"p10": 0.1, "p50": 0.5, "p90": 0.9}).select("clip", "arm", *[F.round(n, 6).alias(n) for n in ("p10", "p50", "p90")])
+    return ranks.same(by, q, ["clip", "arm"], "left")
 
 
 @query("""SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(avg(CASE WHEN o_totalprice > 150000 THEN 1.0 ELSE 0.0 END), 9) AS share FROM orders GROUP BY GROUPING SETS ((o_orderpriority), (o_orderstatus), ())""")
@@ -156,10 +157,12 @@ def a10_success_by_sets(spark, sf_dir):
 
 @query("""SELECT o_orderpriority AS task, round(median(o_totalprice), 6) AS median, min(o_totalprice) AS least, max(o_totalprice) AS most, round(stddev_samp(o_totalprice) / avg(o_totalprice), 9) AS cv, count(DISTINCT o_orderstatus) > 1 AS mixed FROM orders GROUP BY 1""")
 def a14_trial_summary(spark, sf_dir):
-    return load(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("task")).agg(
-        F.round(F.median("o_totalprice"), 6).alias("median"), F.min("o_totalprice").alias("least"), F.max("o_totalprice").alias("most"),
+    o = load(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "task")
+    by = o.groupBy("task").agg(
+        F.min("o_totalprice").alias("least"), F.max("o_totalprice").alias("most"),
         F.round(F.stddev_samp("o_totalprice") / F.avg("o_totalprice"), 9).alias("cv"), (F.count_distinct("o_orderstatus") > 1).alias("mixed"),
     )
+    return ranks.same(by, ranks.medians(o, ["task"], {"median": "o_totalprice"}), ["task"], "left").withColumn("median", F.round("median", 6))
 
 
 @query(f"WITH {F1} SELECT clip, arm, count(*) AS n, round(regr_slope(fg_q, ln(rate)), 6) AS slope, round(regr_intercept(fg_q, ln(rate)), 6) AS intercept, round(regr_r2(fg_q, ln(rate)), 6) AS r2 FROM f1 GROUP BY 1, 2 HAVING count(*) >= 3")

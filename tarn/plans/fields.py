@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarn.functions import scalar
-from tarn.operators import frontier, grid, pairing, stats, summaries, vectors
+from tarn.operators import frontier, grid, pairing, ranks, stats, summaries, vectors
 from tarn.plans.catalog import F1, F3, blocks, load, query, runs
 
 
@@ -163,4 +163,5 @@ def m7_grid_report(spark, sf_dir):
     """Runs by clip and resolution with their median throughput."""
     s = F.col("p_size")
     table = load(spark, sf_dir, "part").select(scalar.clip_name(F.concat("p_brand", F.lit("/"), "p_name", F.lit(".mp4"))).alias("name"), scalar.resolution_label((F.when(s % 3 == 0, s * 16), F.when(s % 3 == 0, s * 9))).alias("resolution"), scalar.throughput(F.col("p_retailprice"), (s % 7).cast("double")).alias("fps"))
-    return table.groupBy("name", "resolution").agg(F.count("*").alias("runs"), F.round(F.median("fps"), 6).alias("fps"))
+    by = table.groupBy("name", "resolution").agg(F.count("*").alias("runs"))
+    return ranks.same(by, ranks.medians(table, ["name", "resolution"], {"fps": "fps"}), ["name", "resolution"], "left").withColumn("fps", F.round("fps", 6))

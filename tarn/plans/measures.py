@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tarn.functions import scalar
-from tarn.operators import curves, frontier, pairing, stats, summaries, vectors
+from tarn.operators import curves, frontier, pairing, ranks, stats, summaries, vectors
 from tarn.plans.catalog import F1, RANKED, _curves, load, query, runs
 from tarn.plans.reports import FRONT, MARGINS
 
@@ -72,7 +72,9 @@ c AS (SELECT clip, qp, max(rate) FILTER (a = 1) - max(rate) FILTER (b = 1) AS gi
 def a9_conflicts(spark, sf_dir):
     c = runs(spark, sf_dir).groupBy("clip", "qp").agg((F.min_by("rate", F.struct("bg_q", "arm")) - F.min("rate")).alias("given"))
     g = F.col("given")
-    return c.agg(F.count("*").alias("cells"), F.count_if(g == 0).alias("free"), F.count_if(g > 0).alias("costly"), F.round(F.median(F.when(g > 0, g)), 6).alias("middle"), F.round(F.max(g), 6).alias("most"))
+    by = c.groupBy(F.lit(1).alias("_g")).agg(F.count("*").alias("cells"), F.count_if(g == 0).alias("free"), F.count_if(g > 0).alias("costly"), F.round(F.max(g), 6).alias("most"))
+    middle = ranks.medians(c.where(g > 0).withColumn("_g", F.lit(1)), ["_g"], {"middle": g})
+    return by.join(middle, "_g", "left").select("cells", "free", "costly", F.round("middle", 6).alias("middle"), "most")
 
 
 @query(f"WITH {F1}, {FRONT} SELECT arm, round(avg(rate / frames), 6) AS seconds, round(median(frames / rate), 9) AS fps, count(*) FILTER (NOT EXISTS (SELECT 1 FROM front f WHERE f.clip = f1.clip AND f.qp = f1.qp AND f.arm = f1.arm)) AS dominated FROM f1 GROUP BY 1")
@@ -80,7 +82,8 @@ def a12_a13_throughput(spark, sf_dir):
     r = runs(spark, sf_dir)
     on = frontier.undominated(r, ["clip", "qp"], "arm", ["rate", "bg_q"], ["fg_q"]).select("clip", "qp", "arm", F.lit(True).alias("_on"))
     fps = scalar.throughput(F.col("frames"), F.col("rate"))
-    return r.join(on, ["clip", "qp", "arm"], "left").groupBy("arm").agg(F.round(F.avg(F.col("rate") / F.col("frames")), 6).alias("seconds"), F.round(F.median(fps), 9).alias("fps"), F.count_if(F.col("_on").isNull()).alias("dominated"))
+    by = r.join(on, ["clip", "qp", "arm"], "left").groupBy("arm").agg(F.round(F.avg(F.col("rate") / F.col("frames")), 6).alias("seconds"), F.count_if(F.col("_on").isNull()).alias("dominated"))
+    return ranks.same(by, ranks.medians(r, ["arm"], {"fps": fps}), ["arm"], "left").select("arm", "seconds", F.round("fps", 9).alias("fps"), "dominated")
 
 
 @query("SELECT l_shipdate, round(sum(l_extendedprice) FILTER (l_returnflag = 'A'), 2) AS a_bits, round(sum(l_extendedprice) FILTER (l_returnflag <> 'A'), 2) AS other_bits, round(sum(l_quantity * l_discount) / sum(l_quantity), 6) AS weighted FROM lineitem GROUP BY 1")
@@ -95,7 +98,9 @@ def a29_frame_log(spark, sf_dir):
 @query(f"""WITH {F1}, l AS (SELECT clip, qp, arm, unnest(['rate', 'bg_q', 'fg_q']) AS metric, unnest([rate, bg_q, fg_q]) AS v FROM f1) SELECT a.arm, a.metric, count(*) AS pairs, round(median(a.v - b.v), 6) AS delta FROM l a JOIN l b ON a.clip = b.clip AND a.qp = b.qp AND a.metric = b.metric AND b.arm = 'A' WHERE a.arm <> 'A' GROUP BY 1, 2 HAVING count(*) >= 3""")
 def a37_whole_frame(spark, sf_dir):
     long = runs(spark, sf_dir).select("clip", "qp", "arm", F.explode(F.create_map(F.lit("rate"), F.col("rate"), F.lit("bg_q"), F.col("bg_q"), F.lit("fg_q"), F.col("fg_q"))).alias("metric", "v"))
-    return pairing.star(long, ["clip", "qp", "metric"], "arm", "A", ["v"]).groupBy("arm", "metric").agg(F.count("*").alias("pairs"), F.round(F.median(F.col("v") - F.col("base_v")), 6).alias("delta")).where("pairs >= 3")
+    d = pairing.star(long, ["clip", "qp", "metric"], "arm", "A", ["v"]).withColumn("d", F.col("v") - F.col("base_v"))
+    often = d.groupBy("arm", "metric").agg(F.count("*").alias("pairs")).where("pairs >= 3")
+    return ranks.same(often, ranks.medians(d, ["arm", "metric"], {"delta": "d"}), ["arm", "metric"], "left").withColumn("delta", F.round("delta", 6))
 
 
 @query(f"WITH {F1} SELECT clip, round(avg(fg_q), 4) AS masked, round(avg(bg_q * 500), 4) AS boxed, round(100 * (avg(bg_q * 500) - avg(fg_q)) / avg(fg_q), 4) AS gap_pct, count(*) FILTER (bg_q * 500 < fg_q) AS worse FROM f1 GROUP BY 1")
@@ -125,7 +130,7 @@ def t20_bd_study(spark, sf_dir):
     """BD-rate of each clip whose ranges overlap by half, then one sign test; the fits have no short SQL, tests hold them against a solver."""
     b = curves.bd_rate(_curves(spark, sf_dir), ["clip"], "arm", "A", "N", "rate", "q").where("overlap >= 0.5 AND bd_rate IS NOT NULL")
     one = b.withColumn("study", F.lit("N over A"))
-    return stats.signs(one, ["study"], "bd_rate").join(one.groupBy("study").agg(F.round(F.median("bd_rate"), 4).alias("bd_rate")), "study").select("study", "n_pos", "n_neg", "n_zero", F.round("p", 9).alias("p"), "bd_rate")
+    return stats.signs(one, ["study"], "bd_rate").join(ranks.medians(one, ["study"], {"bd_rate": "bd_rate"}).withColumn("bd_rate", F.round("bd_rate", 4)), "study").select("study", "n_pos", "n_neg", "n_zero", F.round("p", 9).alias("p"), "bd_rate")
 
 
 @query("""WITH s AS (SELECT label, i, sum(CAST(embedding[i] AS DOUBLE)) AS s, count(*) AS n FROM embeddings, range(1, 65) t(i) GROUP BY 1, 2), a AS (SELECT i, sum(s) AS t, sum(n) AS n FROM s GROUP BY 1) SELECT label, round(sum((a.t / a.n - (a.t - s.s) / (a.n - s.n)) ** 2), 9) AS shift FROM s JOIN a USING (i) GROUP BY 1""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tarn.operators import frontier, pairing, rules, stats, summaries
+from tarn.operators import frontier, pairing, ranks, rules, stats, summaries
 from tarn.plans.catalog import DELTAS, F1, clip_deltas, load, query, runs
 
 MARGINS = "m AS (SELECT clip, qp, arm, bg_q, lead(bg_q) OVER w - bg_q AS margin, row_number() OVER w AS rn, count(*) OVER (PARTITION BY clip, qp) AS n_arms FROM f1 WINDOW w AS (PARTITION BY clip, qp ORDER BY bg_q, arm)), c AS (SELECT clip, qp, arm AS winner, margin, n_arms, coalesce(margin >= 0.005 - 1e-9, false) AS separable FROM m WHERE rn = 1)"
@@ -174,7 +174,9 @@ def a15_throughput(spark, sf_dir):
 
 @query(f"WITH {F1} SELECT clip, round(avg(rate), 6) AS mean_rate, round(median(bg_q), 6) AS median_q, max(frames) AS frames, round(avg(CASE WHEN bg_q < 0.05 THEN 1.0 ELSE 0.0 END), 6) AS outcome_rate FROM f1 GROUP BY 1")
 def a16_a17_by_video(spark, sf_dir):
-    return runs(spark, sf_dir).groupBy("clip").agg(F.round(F.avg("rate"), 6).alias("mean_rate"), F.round(F.median("bg_q"), 6).alias("median_q"), F.max("frames").alias("frames"), F.round(F.avg((F.col("bg_q") < 0.05).cast("double")), 6).alias("outcome_rate"))
+    r = runs(spark, sf_dir)
+    by = r.groupBy("clip").agg(F.round(F.avg("rate"), 6).alias("mean_rate"), F.max("frames").alias("frames"), F.round(F.avg((F.col("bg_q") < 0.05).cast("double")), 6).alias("outcome_rate"))
+    return ranks.same(by, ranks.medians(r, ["clip"], {"median_q": "bg_q"}), ["clip"], "left").withColumn("median_q", F.round("median_q", 6))
 
 
 @query(f"WITH {F1}, {MARGINS}, k AS (SELECT clip, winner, count(*) AS n FROM c GROUP BY 1, 2) SELECT clip, round(max(n) / sum(n), 6) AS share, max(n) / sum(n) >= 0.6 AS degenerate FROM k GROUP BY 1")
@@ -205,20 +207,22 @@ def a25_hexagons(spark, sf_dir):
 
 @query("SELECT o_orderstatus, " + ", ".join(f"round(quantile_cont(o_totalprice, {q}), 6) AS {n}" for n, q in (("least", 0), ("q1", 0.25), ("middle", 0.5), ("q3", 0.75), ("most", 1))) + " FROM orders GROUP BY 1")
 def a27_five_numbers(spark, sf_dir):
-    by = load(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.percentile("o_totalprice", F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("q"))
-    return by.select("o_orderstatus", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("least", "q1", "middle", "q3", "most"))])
+    five = {"least": 0.0, "q1": 0.25, "middle": 0.5, "q3": 0.75, "most": 1.0}
+    return ranks.quantiles(load(spark, sf_dir, "orders"), ["o_orderstatus"], "o_totalprice", five).select("o_orderstatus", *[r6(n) for n in five])
 
 
 @query("SELECT c_nationkey, round(median(c_acctbal), 6) AS middle FROM customer GROUP BY 1 HAVING median(c_acctbal) > 0 ORDER BY 2, 1 LIMIT 10")
 def a28_lowest_medians(spark, sf_dir):
-    by = load(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.round(F.median("c_acctbal"), 6).alias("middle"))
+    by = ranks.medians(load(spark, sf_dir, "customer"), ["c_nationkey"], {"middle": "c_acctbal"}).withColumn("middle", F.round("middle", 6))
     return by.where("middle > 0").orderBy("middle", "c_nationkey").limit(10)
 
 
 @query(f"WITH {F1} SELECT a.qp, count(*) FILTER (a.rate < b.rate) AS saves, round(median(100 * (a.rate - b.rate) / b.rate), 6) AS rate_pct, round(median(a.bg_q - b.bg_q), 6) AS gap, count(*) FILTER (a.bg_q < b.bg_q) AS better FROM f1 a JOIN f1 b ON a.clip = b.clip AND a.qp = b.qp AND b.arm = 'A' WHERE a.arm = 'R' GROUP BY 1")
 def a38_trade_by_rung(spark, sf_dir):
     s = pairing.star(runs(spark, sf_dir).where("arm IN ('A', 'R')"), ["clip", "qp"], "arm", "A", ["rate", "bg_q"])
-    return s.groupBy("qp").agg(F.count_if(F.col("rate") < F.col("base_rate")).alias("saves"), F.round(F.median(100 * (F.col("rate") - F.col("base_rate")) / F.col("base_rate")), 6).alias("rate_pct"), F.round(F.median(F.col("bg_q") - F.col("base_bg_q")), 6).alias("gap"), F.count_if(F.col("bg_q") < F.col("base_bg_q")).alias("better"))
+    by = s.groupBy("qp").agg(F.count_if(F.col("rate") < F.col("base_rate")).alias("saves"), F.count_if(F.col("bg_q") < F.col("base_bg_q")).alias("better"))
+    middle = ranks.medians(s, ["qp"], {"rate_pct": 100 * (F.col("rate") - F.col("base_rate")) / F.col("base_rate"), "gap": F.col("bg_q") - F.col("base_bg_q")})
+    return ranks.same(by, middle, ["qp"], "left").select("qp", "saves", r6("rate_pct"), r6("gap"), "better")
 
 
 @query(f"WITH {F1}, s AS (SELECT clip, qp, max(rate) FILTER (arm = 'R') < max(rate) FILTER (arm = 'A') AS g1, max(bg_q) FILTER (arm = 'R') < max(bg_q) FILTER (arm = 'A') AS g2 FROM f1 GROUP BY 1, 2) SELECT qp, count(*) AS n, count(*) FILTER (g1 = g2) AS agree FROM s GROUP BY 1")

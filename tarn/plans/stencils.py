@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tarn.operators import curves, grid, summaries
+from tarn.operators import curves, grid, ranks, summaries
 from tarn.plans.catalog import F3, blocks, query
 from tarn.sources.store import written
 
@@ -124,8 +124,9 @@ SELECT frame, count(*) FILTER (seam) AS seams, count(*) FILTER (NOT seam) AS int
 def a43_seam_interior(spark, sf_dir):
     b = blocks(spark, sf_dir)
     s = grid.seams(b.select("frame", "by", "bx", "fg"), ["frame"], "fg").join(b.select("frame", "by", "bx", "v"), ["frame", "by", "bx"]).where("fg = 1")
-    by = s.groupBy("frame").agg(F.count_if("seam").alias("seams"), F.count_if(~F.col("seam")).alias("interior"), F.round(F.median(F.when(F.col("seam"), F.col("v"))), 4).alias("seam_median"), F.round(F.median(F.when(~F.col("seam"), F.col("v"))), 4).alias("interior_median"))
-    return by.where("seams >= 5 AND interior >= 1")
+    by = s.groupBy("frame").agg(F.count_if("seam").alias("seams"), F.count_if(~F.col("seam")).alias("interior")).where("seams >= 5 AND interior >= 1")
+    middle = ranks.medians(s, ["frame"], {"seam_median": F.when(F.col("seam"), F.col("v")), "interior_median": F.when(~F.col("seam"), F.col("v"))})
+    return ranks.same(by, middle, ["frame"], "left").withColumn("seam_median", F.round("seam_median", 4)).withColumn("interior_median", F.round("interior_median", 4))
 
 
 @query(f"""WITH {F3}, r AS (SELECT *, ceil(0.2 * count(*) OVER (PARTITION BY frame)) AS k, row_number() OVER (PARTITION BY frame ORDER BY w DESC, "by", bx) AS s, row_number() OVER (PARTITION BY frame ORDER BY v DESC, "by", bx) AS g FROM f3)
