@@ -35,8 +35,8 @@ PIECE, SCORE, TYPE, NORMAL, UNKNOWN = 1, 2, 3, 1, 2
 MODEL_TYPE, BPE, VOCAB_SIZE, UNK_ID, BOS_ID, EOS_ID, PAD_ID, UNK_PIECE = 3, 2, 4, 40, 41, 42, 43, 45
 NAME, ADD_DUMMY_PREFIX, REMOVE_EXTRA_WHITESPACES, ESCAPE_WHITESPACES = 1, 3, 4, 5
 
-#: Pre-tokens that a worker remembers, and the length up to which it does.
-REMEMBERED, SHORT = 500_000, 64
+#: Pre-tokens that a worker remembers, the length up to which it does, and characters of text that are sent on together.
+REMEMBERED, SHORT, SLICE = 250_000, 64, 4_000_000
 
 
 def _varint(n: int) -> bytes:
@@ -152,6 +152,28 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
+def code_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """doc_id, ids and text_bytes of each row's text: the ids as little-endian unsigned 32-bit integers, and what they decode to.
+
+    ranks is the path of a rank file. One worker does both, so that a task needs one codec; it sends rows on by SLICE characters of text.
+    """
+
+    def coded(batches):
+        c = codec(ranks, pattern)
+        for batch in batches:
+            first, held, n = 0, [], 0
+            for k, text in enumerate(batch.column(1)):
+                text = text.as_py() or ""
+                held.append(c.encode(text))
+                n += len(text)
+                if n >= SLICE or k == batch.num_rows - 1:
+                    columns = [batch.column(0)[first : k + 1], pa.array(held, pa.binary()), pa.array(map(c.decode, held), pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text_bytes"])
+                    first, held, n = k + 1, [], 0
+
+    return docs.select("doc_id", "text").mapInArrow(coded, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, text_bytes binary")
+
+
 def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """doc_id and ids of each row's text, the ids as little-endian unsigned 32-bit integers. ranks is the path of a rank file."""
 

@@ -64,8 +64,7 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks, pattern = tokenizer_path("byte_bpe_50k.tiktoken"), split_pattern()
-    found = bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    found = bpe.code_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), split_pattern())
     return found.select("doc_id", F.octet_length("ids").cast("long").alias("_bytes"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text_bytes", 256).alias("decoded_sha256")).select(
         "doc_id", F.expr("_bytes div 4").alias("n_tokens"), "ids_sha256", "decoded_sha256"
     )

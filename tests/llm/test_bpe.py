@@ -82,8 +82,16 @@ def test_query_on_documents(spark, library):
     assert sorted(map(tuple, queries.op13_byte_bpe(spark, SF).collect())) == sorted(expected(library, *r) for r in docs)
 
 
+def test_slices_and_separate_steps_agree(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).withColumn("doc_id", F.col("doc_id").cast("string")).persist()
+    apart = bpe.decode_documents(bpe.encode_documents(docs, RANKS, P.PATTERN), RANKS, P.PATTERN)
+    monkeypatch.setattr(bpe, "SLICE", 3000)
+    assert sorted(map(tuple, bpe.code_documents(docs, RANKS, P.PATTERN).collect())) == sorted(map(tuple, apart.collect()))
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id string, text string")
+    assert bpe.code_documents(none, RANKS, P.PATTERN).collect() == []
     assert bpe.decode_documents(bpe.encode_documents(none, RANKS, P.PATTERN), RANKS, P.PATTERN).collect() == []
 
 
