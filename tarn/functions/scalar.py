@@ -27,8 +27,8 @@ def sign_test_floor(n: Column) -> Column:
 
 
 def pairs_needed(alpha: float, family: int = 1, most: int = 64) -> int:
-    """Fewest unanimous pairs whose corrected p passes alpha, or most + 1."""
-    return next((n for n in range(1, most + 1) if min(1.0, 2 / 2**n) * family < alpha), most + 1)
+    """Fewest unanimous pairs whose corrected p is at most alpha, or most + 1."""
+    return next((n for n in range(1, most + 1) if min(1.0, 2 / 2**n) * family <= alpha + 1e-12), most + 1)
 
 
 def psnr(mse: Column) -> Column:
@@ -47,7 +47,7 @@ def dataset_of(name: Column) -> Column:
 def content_hash(pairs: Column) -> Column:
     """16 hex digits over sorted (key, value) structs, without the key hash and keys that start with an underscore."""
     kept = F.filter(pairs, lambda x: (x["key"] != "hash") & ~x["key"].startswith("_"))
-    return F.substring(F.sha2(F.concat_ws(",", F.transform(F.array_sort(kept), lambda x: F.concat_ws("=", x["key"], x["value"]))).cast("binary"), 256), 1, 16)
+    return F.substring(F.sha2(canonical(F.array_sort(kept)).cast("binary"), 256), 1, 16)
 
 
 def shard_of(name: Column, shards: int) -> Column:
@@ -66,9 +66,21 @@ def slug(text: Column, most: int = 24) -> Column:
 
 
 def identity(config: Column, fill: list[str]) -> Column:
-    """Canonical text of a map without its fill keys: what two runs share that differ in the fill alone."""
-    kept = F.array_sort(F.filter(F.map_entries(config), lambda e: ~e["key"].isin(fill)))
-    return F.concat_ws(",", F.transform(kept, lambda e: F.concat_ws("=", e["key"], e["value"])))
+    """Canonical text of a map without its fill keys: what two runs share that differ in the fill alone. Null values are told from texts."""
+    return canonical(F.array_sort(F.filter(F.map_entries(config), lambda e: ~e["key"].isin(fill))))
+
+
+def canonical(pairs: Column) -> Column:
+    """JSON text of (key, value) structs of texts in the order given: different pairs never give one text."""
+    return F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.coalesce(quoted(e["value"]), F.lit("null")))), ","), F.lit("}"))
+
+
+def quoted(text: Column) -> Column:
+    """A text as a JSON string: backslashes, quotes and control characters escaped."""
+    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for c, e in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(c), F.lit(e))
+    return F.concat(F.lit('"'), out, F.lit('"'))
 
 
 def rate_control(codec: Column, has_qp: Column, mode: Column, roi: Column, fixed: dict[str, str], degrading: list[str], two_pass: list[str], by_qp: dict[str, str]) -> Column:

@@ -234,17 +234,23 @@ def select_budget(df: DataFrame, frame: list[str], value: str, place: list[str],
     return df.where(~excluded).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= int(amount * width) * height).drop("_k")
 
 
-def _captured(df: DataFrame, group: list[str], chosen, best, share: float, gain: str) -> DataFrame:
-    k = F.floor(share * F.col("_n"))
-    by = df.groupBy(*group).agg(F.sum(F.when(chosen <= k, F.col(gain))).alias("_got"), F.sum(F.when(best <= k, F.col(gain))).alias("_best"), F.sum(gain).alias("_all"))
-    return by.withColumn("capture", F.try_divide("_got", "_best")).withColumn("by_chance", F.try_divide(share * F.col("_all"), F.col("_best"))).drop("_got", "_best", "_all")
+def _captured(df: DataFrame, group: list[str], chosen, best, share: float, gain: str, up: bool = False) -> DataFrame:
+    k = F.ceil(share * F.col("_n")) if up else F.floor(share * F.col("_n"))
+    by = df.groupBy(*group).agg(F.sum(F.when(chosen <= k, F.col(gain))).alias("_got"), F.sum(F.when(best <= k, F.col(gain))).alias("_best"), F.sum(gain).alias("_all"), F.avg(gain).alias("_mean"), F.max(k).alias("_k"))
+    whole = F.nullif(F.col("_best"), F.lit(0.0))
+    chance = F.col("_k") * F.col("_mean") if up else share * F.col("_all")
+    return by.withColumn("capture", F.try_divide(F.col("_got"), whole)).withColumn("by_chance", F.try_divide(chance, whole)).drop("_got", "_best", "_all", "_mean", "_k")
 
 
-def oracle_capture(df: DataFrame, frame: list[str], score: str, gain: str, place: list[str], share: float) -> DataFrame:
-    """capture: the gain of the blocks that the score puts first, as a share of what the best choice of as many gives; by_chance: of a random one."""
+def oracle_capture(df: DataFrame, frame: list[str], score: str, gain: str, place: list[str], share: float, up: bool = False) -> DataFrame:
+    """capture: the gain of the blocks that the score puts first, as a share of what the best choice of as many gives; by_chance: of a random one.
+
+    As many are floor(share * blocks), and by_chance takes the share itself; with up they are rounded up and by_chance takes as many. Negative gains
+    stay; both are null where the best choice gains nothing.
+    """
     w = Window.partitionBy(*frame)
     ranked = df.withColumn("_s", F.row_number().over(w.orderBy(F.desc(score), *place))).withColumn("_b", F.row_number().over(w.orderBy(F.desc(gain), *place))).withColumn("_n", F.count("*").over(w))
-    return _captured(ranked, frame, F.col("_s"), F.col("_b"), share, gain)
+    return _captured(ranked, frame, F.col("_s"), F.col("_b"), share, gain, up)
 
 
 def random_capture(df: DataFrame, frame: list[str], gain: str, place: list[str], share: float, draws: int, seed: str) -> DataFrame:

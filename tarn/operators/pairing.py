@@ -16,10 +16,14 @@ def two_arms(df: DataFrame, pair_by: list[str], arm: str, a: str, b: str, value:
     return sides.where("value_a IS NOT NULL AND value_b IS NOT NULL").withColumn("delta", F.col("value_b") - F.col("value_a"))
 
 
-def star(df: DataFrame, group: list[str], arm: str, baseline: str, values: list[str]) -> DataFrame:
-    """Each other arm beside the group's baseline; groups without one are left out."""
-    base = df.where(F.col(arm) == baseline).groupBy(*group).agg(*[F.min(v).alias(f"base_{v}") for v in values])
-    return df.where(F.col(arm) != baseline).join(base, group)
+def star(df: DataFrame, group: list[str], arm: str, baseline: str, values: list[str], order: list[str] | None = None, last: bool = False) -> DataFrame:
+    """Each other arm beside the group's baseline; groups without one are left out.
+
+    The baseline is one row: of several the first by `order` (by its values where there is none), or the last. Its values are never taken from two rows.
+    """
+    pick = F.max_by if last else F.min_by
+    base = df.where(F.col(arm) == baseline).groupBy(*group).agg(pick(F.struct(*values), F.struct(*(order or values))).alias("_base"))
+    return df.where(F.col(arm) != baseline).join(base, group).select("*", *[F.col(f"_base.{v}").alias(f"base_{v}") for v in values]).drop("_base")
 
 
 def all_pairs(df: DataFrame, group: list[str], key: str, values: list[str]) -> DataFrame:
@@ -53,6 +57,23 @@ def nearest(df: DataFrame, group: list[str], arm: str, asking: str, baseline: st
     return df.where(F.col(arm) == asking).join(ladder, group).withColumn("_b", best).withColumn(f"base_{key}", F.col("_b.k")).withColumn("off", F.col(value) - F.col("_b.v")).drop("_l", "_b")
 
 
+def linked(df: DataFrame, key: list[str], arm: str, asking: str, baseline: str, values: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of the asking arm beside the baseline of the same key, and (reason, n) of those without one.
+
+    The key names the target the asking run aimed at and its resolution, so a run is held against the baseline at its own target. A key with null
+    parts matches nothing and counts as no_key; one without a baseline as no_baseline. Of several baselines the first by `order` counts.
+    """
+    ask = df.where(F.col(arm) == asking)
+    whole = F.lit(True)
+    for k in key:
+        whole = whole & F.col(k).isNotNull()
+    base = df.where(F.col(arm) == baseline).groupBy(*key).agg(F.min_by(F.struct(*values), F.struct(*order)).alias("_base"))
+    both = ask.join(base, key, "left")
+    reason = F.when(~whole, "no_key").when(F.col("_base").isNull(), "no_baseline")
+    found = both.where(whole & F.col("_base").isNotNull()).select("*", *[F.col(f"_base.{v}").alias(f"base_{v}") for v in values]).drop("_base")
+    return found, both.select(reason.alias("reason")).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def by_keys(docs: DataFrame, doc: str, pair: dict[str, str], arm: dict[str, str], value: dict[str, str]) -> DataFrame:
     """Columns named by dotted keys of documents: pair keys and the arm as text, values as numbers. Rows that lack a pair key are left out."""
     text = [F.try_variant_get(doc, f"$.{path}", "string").alias(n) for n, path in {**pair, **arm}.items()]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.scalar import sign_test_floor, sign_test_p
-from tarn.operators import stats
+from tarn.operators import ranks, stats
 
 
 def assess(pairs: DataFrame, group: list[str], delta: str, threshold: str, lower_is_better: str, family: int = 1, alpha: float = 0.05) -> DataFrame:
@@ -53,18 +53,14 @@ def significance(units: DataFrame, family: list[str], candidate: str, delta: str
     return h.withColumn("verdict", verdict)
 
 
-def upper_median(value: str) -> Column:
-    """The middle value, the upper one of two."""
-    return F.element_at(F.array_sort(F.collect_list(value)), (F.floor(F.count(value) / 2) + 1).cast("int"))
-
-
 def links(cells: DataFrame, group: list[str], unit: str, delta: str, threshold: float) -> DataFrame:
     """Each link's units: their mean deltas' upper median, how many favour (negative) and how many are perceptible."""
     units = per_unit(cells, group, unit, delta)
     d = F.col(delta)
     by = units.groupBy(*group).agg(
-        F.count("*").alias("units"), F.count_if(d < 0).alias("favouring"), F.count_if(d > 0).alias("against"), F.count_if(F.abs(d) >= threshold).alias("perceptible"), F.avg(d).alias("mean"), upper_median(delta).alias("upper_median"),
+        F.count("*").alias("units"), F.count_if(d < 0).alias("favouring"), F.count_if(d > 0).alias("against"), F.count_if(F.abs(d) >= threshold).alias("perceptible"), F.avg(d).alias("mean"),
     )
+    by = ranks.same(by, ranks.quantiles(units, group, delta, {"upper_median": 0.5}, upper=True).drop("n"), group)  # the middle value, the upper one of two
     return by.withColumn("p", sign_test_p(F.col("against"), F.col("favouring")))
 
 
@@ -81,12 +77,18 @@ def best_per_cell(df: DataFrame, cell: list[str], arm: str, score: str, guard: f
     return by.withColumn("tells", F.col("spread") >= guard)
 
 
-def contrasts(df: DataFrame, pair_by: list[str], arm: str, pairs: list[tuple[str, str]], value: str) -> DataFrame:
-    """delta = right - left at each pair key, for each named contrast of two arms: both sides from one pass."""
-    one = df.groupBy(*pair_by).agg(F.map_from_entries(F.collect_list(F.struct(F.col(arm), F.col(value)))).alias("_v"))
-    asked = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
-    both = one.select(*pair_by, "_v", F.explode(asked).alias("_c")).select(*pair_by, "_c.a", "_c.b", (F.element_at("_v", F.col("_c.b")) - F.element_at("_v", F.col("_c.a"))).alias("delta"))
-    return both.where("delta IS NOT NULL")
+def contrasts(df: DataFrame, pair_by: list[str], arm: str, pairs: list[tuple[str, str]], value: str, order: list[str] | None = None) -> DataFrame:
+    """delta = right - left at each pair key, for each named contrast of two arms: both sides from one pass.
+
+    Of repeated runs of an arm at a key the first by `order` counts (by its value where there is none); null arms and null values take no part.
+    """
+    named = sorted({x for p in pairs for x in p})
+    keys = F.struct(*(order or [value]))
+    known = df.where(F.col(arm).isin(named) & F.col(value).isNotNull())
+    one = known.groupBy(*pair_by).agg(*[F.min_by(F.when(F.col(arm) == a, F.col(value)), F.when(F.col(arm) == a, keys)).alias(f"_v{i}") for i, a in enumerate(named)])
+    side = lambda a: F.col(f"_v{named.index(a)}")
+    asked = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (side(b) - side(a)).alias("delta")) for a, b in pairs])
+    return one.select(*pair_by, F.inline(asked)).where("delta IS NOT NULL")
 
 
 def sign_flips(df: DataFrame, rung: list[str], delta: str) -> DataFrame:

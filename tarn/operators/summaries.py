@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.operators import ranks
+from tarn.functions import scalar
+from tarn.operators import grid, ranks
 
 
 def group_verdict(df: DataFrame, group: list[str], arm: str, bits: str, ok: str, base_bits: str, margin: str) -> DataFrame:
@@ -116,12 +117,9 @@ def regime_contrast(df: DataFrame, unit: str, order: str, value: str, ends: int
 
 
 def capture(df: DataFrame, group: list[str], score: str, gain: str, place: list[str], share: float) -> DataFrame:
-    """What the score's top k gains over what the best k gain, and the expected share of k random ones; negatives stay."""
-    w = Window.partitionBy(*group)
-    k = F.ceil(share * F.count("*").over(w))
-    r = df.withColumn("_k", k).withColumn("_s", F.row_number().over(w.orderBy(F.desc(score), *place))).withColumn("_g", F.row_number().over(w.orderBy(F.desc(gain), *place)))
-    top, best = F.sum(F.when(F.col("_s") <= F.col("_k"), F.col(gain))), F.sum(F.when(F.col("_g") <= F.col("_k"), F.col(gain)))
-    return r.groupBy(*group).agg(F.try_divide(top, F.nullif(best, F.lit(0.0))).alias("ratio"), F.try_divide(F.max("_k") * F.avg(gain), F.nullif(best, F.lit(0.0))).alias("random"))
+    """ratio and random of grid.oracle_capture() with as many blocks as the share reaches: k is rounded up, and random takes k of the mean."""
+    c = grid.oracle_capture(df, group, score, gain, place, share, up=True)
+    return c.select(*group, F.col("capture").alias("ratio"), F.col("by_chance").alias("random"))
 
 
 def first_of(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -175,13 +173,19 @@ def spread_by(df: DataFrame, group: list[str], values: dict[str, str]) -> DataFr
     return df.groupBy(*group).agg(*[f(finite(c)).alias(f"{n}_{w}") for n, c in values.items() for w, f in (("mean", F.avg), ("sd", F.stddev_pop))])
 
 
-def single_key_sweeps(df: DataFrame, config: str) -> DataFrame:
-    """(key, rest, settings, runs): for every key of the config maps, runs that agree in all other keys and differ in it."""
-    entries = F.array_sort(F.map_entries(config))
-    one = df.select(entries.alias("_e"), F.explode(F.map_keys(config)).alias("key"))
-    rest = F.concat_ws(",", F.transform(F.filter("_e", lambda e: e["key"] != F.col("key")), lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"], F.lit("<null>")))))
-    value = F.coalesce(F.get(F.filter("_e", lambda e: e["key"] == F.col("key")), F.lit(0))["value"], F.lit("<null>"))
-    return one.select("key", rest.alias("rest"), value.alias("_v")).groupBy("key", "rest").agg(F.count_distinct("_v").alias("settings"), F.count("*").alias("runs")).where("settings > 1")
+def single_key_sweeps(df: DataFrame, config: str, group: list[str] | None = None, fixed: list[str] | None = None) -> DataFrame:
+    """(group, key, rest, settings, runs): for every key of a group's config maps, runs that agree in all other keys and differ in it.
+
+    A run that lacks a key which others of its group have counts with the setting null. The keys in `fixed` say which arm a run is: they are part of
+    rest and are never swept. rest is JSON text, so values that hold separators stay apart.
+    """
+    group = group or []
+    keys = df.groupBy(*group).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.map_keys(config))))).alias("_keys"))
+    one = ranks.same(df, keys, group).select(*group, F.array_sort(F.map_entries(config)).alias("_e"), F.explode(F.filter("_keys", lambda k: ~k.isin(fixed or []))).alias("key"))
+    rest = scalar.canonical(F.filter("_e", lambda e: e["key"] != F.col("key")))
+    value = scalar.quoted(F.get(F.filter("_e", lambda e: e["key"] == F.col("key")), F.lit(0))["value"])
+    named = one.select(*group, "key", rest.alias("rest"), F.coalesce(value, F.lit("null")).alias("_v"))
+    return named.groupBy(*group, "key", "rest").agg(F.count_distinct("_v").alias("settings"), F.count("*").alias("runs")).where("settings > 1")
 
 
 def fixed_bins(df: DataFrame, group: list[str], value: Column, width: float) -> DataFrame:

@@ -4,32 +4,148 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.operators import clusters
+from tarn.sources.store import written
 
-def moments(df: DataFrame, group: str, vector: str) -> DataFrame:
+
+#: Sums of tasks that one task of the first round adds up are those of the same number modulo SALTS; a row holds BLOCK numbers or one row of a matrix.
+SALTS, BLOCK = 128, 65_536
+#: Numbers that a task holds at once before it sends the sums of its groups on.
+HELD = 30_000_000
+
+
+def _added(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, values) summed over rows of the same keys, in tasks: rows of one key are as many as the rounds before it leave."""
+
+    def add(key, pdf):
+        values = pdf["values"].to_numpy()
+        total = values[0].astype(float)
+        for v in values[1:]:
+            total = total + v
+        return pd.DataFrame([(*key, int(pdf["n"].sum()), total)], columns=[*keys, "n", "values"])
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.groupBy(*keys).applyInPandas(add, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "n long", "values array<double>"]))
+
+
+def moments(df: DataFrame, group: str | list[str], vector: str) -> DataFrame:
     """(group, n, total, products): count, sum of the vectors and sum of their outer products (flat, d * d) of each group.
 
-    Each task adds up its own rows, so that a group sends one row for each task, however many vectors it has.
+    A task adds up its own rows and sends a group's sums cut into blocks; blocks are added in two rounds, first those of every
+    SALTS-th task, so that whatever the number of rows and tasks, no task gets more than a few of one block. Rows whose vector
+    or group is null are left out; vectors have one length. Moments of disjoint sets add up and subtract (added(), without()).
     """
-    kind = df.schema[group].dataType.simpleString()
+    keys = [group] if isinstance(group, str) else list(group)
+    types = [df.schema[k].dataType.simpleString() for k in keys]
+
+    def sent(sums: dict, task: int):
+        out = []
+        for key, (n, total, products) in sums.items():
+            d = len(total)
+            rows, step = np.vstack([total, products]), max(1, BLOCK // d)
+            out += [(*key, task % SALTS, at // step, n, rows[at : at + step].ravel()) for at in range(0, d + 1, step)]
+        return pd.DataFrame(out, columns=[*keys, "_salt", "_block", "n", "values"])
 
     def partial(batches):
         sums: dict = {}
+        held, task = 0, TaskContext.get().partitionId()
         for pdf in batches:
-            for g, rows in pdf.groupby("g", sort=False)["v"]:
+            for key, rows in pdf.groupby(keys, sort=False)["_v"]:
                 x = np.stack(rows.to_numpy()).astype(float)
-                n, total, products = sums.get(g, (0, 0.0, 0.0))
-                sums[g] = n + len(x), total + x.sum(axis=0), products + x.T @ x
-        yield pd.DataFrame([(g, n, t, p.ravel()) for g, (n, t, p) in sums.items()], columns=["g", "n", "total", "products"])
+                if key not in sums:
+                    held += x.shape[1] ** 2
+                n, total, products = sums.get(key, (0, 0.0, 0.0))
+                sums[key] = n + len(x), total + x.sum(axis=0), products + x.T @ x
+                if held > HELD:
+                    yield sent(sums, task)
+                    sums, held = {}, 0
+        yield sent(sums, task)
+
+    rows = df.where(F.col(vector).isNotNull()).dropna(subset=keys).select(*keys, F.col(vector).alias("_v"))
+    each = rows.mapInPandas(partial, ", ".join([*(f"`{k}` {t}" for k, t in zip(keys, types)), "_salt int, _block int, n long, values array<double>"]))
+    blocks = _added(_added(each, [*keys, "_salt", "_block"]).drop("_salt"), [*keys, "_block"])
+    whole = blocks.groupBy(*keys).agg(F.max("n").alias("n"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_block", "values"))), lambda b: b["values"])).alias("_m"))
+    d = F.floor((F.sqrt(1.0 + 4.0 * F.size("_m")) - 1) / 2 + 0.5).cast("int")  # d * d + d numbers
+    return whole.select(*keys, "n", F.slice("_m", F.lit(1), d).alias("total"), F.slice("_m", d + 1, d * d).alias("products"))
+
+
+def added(m: DataFrame, keys: list[str]) -> DataFrame:
+    """Moments of the unions of disjoint sets: rows of the same keys are added, a few at a time."""
+    packed = m.select(*keys, F.pmod(F.xxhash64("total", "n"), F.lit(SALTS)).cast("int").alias("_salt"), "n", F.concat("total", "products").alias("values"))
+    whole = _added(_added(packed, [*keys, "_salt"]).drop("_salt"), keys)
+    d = F.floor((F.sqrt(1.0 + 4.0 * F.size("values")) - 1) / 2 + 0.5).cast("int")
+    return whole.select(*keys, "n", F.slice("values", F.lit(1), d).alias("total"), F.slice("values", d + 1, d * d).alias("products"))
+
+
+def without(whole: DataFrame, part: DataFrame, keys: list[str]) -> DataFrame:
+    """part's rows with the moments of whole less part in place of part's; sets that part uses up are left out."""
+    left = part.select(*[c for c in part.columns if c not in ("n", "total", "products")], F.struct("n", "total", "products").alias("_p"))
+    both = left.join(whole.select(*keys, F.struct("n", "total", "products").alias("_w")), keys)
+    less = lambda c: F.zip_with(f"_w.{c}", f"_p.{c}", lambda a, b: a - b).alias(c)
+    return both.where("_w.n > _p.n").select(*[c for c in left.columns if c != "_p"], (F.col("_w.n") - F.col("_p.n")).alias("n"), less("total"), less("products"))
+
+
+def _terms(*columns: str):
+    """Both terms from the moments in six columns, in tasks."""
+
+    @F.pandas_udf("mean_term double, covariance_term double")
+    def terms(n1: pd.Series, t1: pd.Series, p1: pd.Series, n2: pd.Series, t2: pd.Series, p2: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([distance(*x) for x in zip(n1, t1, p1, n2, t2, p2)], columns=["mean_term", "covariance_term"], dtype=float)
+
+    return terms(*columns)
+
+
+def between(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, mean_term, covariance_term, distance) of the moments of a and b under the same keys; n is b's."""
+    left = a.select(*keys, F.col("n").alias("n1"), F.col("total").alias("t1"), F.col("products").alias("p1"))
+    right = b.select(*keys, F.col("n").alias("n2"), F.col("total").alias("t2"), F.col("products").alias("p2"))
+    both = left.join(right, keys).select(*keys, F.col("n2").alias("n"), _terms("n1", "t1", "p1", "n2", "t2", "p2").alias("_t"))
+    return both.select(*keys, "n", "_t.mean_term", "_t.covariance_term").withColumn("distance", F.col("mean_term") + F.col("covariance_term"))
+
 
-    def whole(key, pdf):
-        return pd.DataFrame([(key[0], int(pdf["n"].sum()), np.sum(np.stack(pdf["total"]), axis=0), np.sum(np.stack(pdf["products"]), axis=0))], columns=[group, "n", "total", "products"])
+def validity(df: DataFrame, group: str, source: str, key: str, reference: str, vector: str, splits: int = 4, seed: str = "split") -> DataFrame:
+    """(group, kind, part, n, mean_term, covariance_term, distance): can the distance tell the groups apart at their size?
 
-    rows = df.where(F.col(vector).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(vector).alias("v"))
-    each = rows.mapInPandas(partial, f"g {kind}, n long, total array<double>, products array<double>")
-    return each.groupBy("g").applyInPandas(whole, f"{group} {kind}, n long, total array<double>, products array<double>")
+    Rows of a group pair its own vectors with the reference's at the same key. Kinds: score, a group's vectors against its
+    references; identity, all references against themselves, which must be 0 (group and part null); split, `splits` halvings of
+    the references by hash of the key, a diagnostic of unpaired sets and no floor for scores; jackknife, a score without the
+    source in part, from sums less that source's. A group of one source has no jackknife. A reference counts once for each of its keys.
+    """
+    known = df.where(F.col(vector).isNotNull() & F.col(reference).isNotNull())
+    own = written(moments(known, [group, source], vector))
+    ref = written(moments(known, [group, source], reference))
+    own_all, ref_all = added(own, [group]), added(ref, [group])
+    named = lambda d, kind, part=None: d.select(F.col(group).cast("string").alias(group), F.lit(kind).alias("kind"), (F.col(part).cast("string") if part else F.lit(None).cast("string")).alias("part"), "n", "mean_term", "covariance_term", "distance")
+    once = known.groupBy(key).agg(F.min_by(reference, F.struct(F.col(source), F.col(group))).alias("_r"))
+    every = moments(once.withColumn(group, F.lit("")), group, "_r")
+    identity = between(every, every, [group]).withColumn(group, F.lit(None).cast("string"))
+    half = F.pmod(F.xxhash64(F.lit(seed), F.col("_i"), F.col(key)), F.lit(2))
+    dealt = once.select(key, "_r", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("_i")).withColumn("_h", half)
+    halves = written(moments(dealt, ["_i", "_h"], "_r"))
+    split = between(halves.where("_h = 0"), halves.where("_h = 1"), ["_i"]).withColumn(group, F.lit(None).cast("string"))
+    drop = between(without(ref_all, ref, [group]), without(own_all, own, [group]), [group, source])
+    parts = [named(between(ref_all, own_all, [group]), "score"), named(identity, "identity"), named(split, "split", "_i"), named(drop, "jackknife", source)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def jackknife_summary(report: DataFrame, group: str) -> DataFrame:
+    """(group, score, n_sources, mean, sd, least, most, separated): separated where the score's gap to every other group passes both spreads."""
+    r = report.where(F.col(group).isNotNull())
+    by = r.groupBy(group).agg(
+        F.max(F.when(F.col("kind") == "score", F.col("distance"))).alias("score"), F.count_if(F.col("kind") == "jackknife").alias("n_sources"),
+        *[f(F.when(F.col("kind") == "jackknife", F.col("distance"))).alias(n) for n, f in (("mean", F.avg), ("sd", F.stddev_pop), ("least", F.min), ("most", F.max))],
+    )
+    # a row for each group that the report names: neighbours in score order are the nearest
+    w = Window.orderBy("score", group)
+    gap = lambda other: F.abs(other("score").over(w) - F.col("score")) > F.greatest(F.coalesce("sd", F.lit(0.0)), F.coalesce(other("sd").over(w), F.lit(0.0)))
+    return by.withColumn("separated", F.coalesce(gap(F.lag), F.lit(True)) & F.coalesce(gap(F.lead), F.lit(True)))
 
 
 def distance(n1: int, t1, p1, n2: int, t2, p2) -> tuple[float, float]:
@@ -48,16 +164,11 @@ def distance(n1: int, t1, p1, n2: int, t2, p2) -> tuple[float, float]:
 
 def frechet_pairs(df: DataFrame, group: str, vector: str) -> DataFrame:
     """a, b, mean_term, covariance_term and distance of each two groups, in tasks: a pair's moments are two rows."""
-
-    @F.pandas_udf("mean_term double, covariance_term double")
-    def terms(n1: pd.Series, t1: pd.Series, p1: pd.Series, n2: pd.Series, t2: pd.Series, p2: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([distance(*x) for x in zip(n1, t1, p1, n2, t2, p2)], columns=["mean_term", "covariance_term"])
-
-    m = moments(df, group, vector)
+    m = written(moments(df, group, vector))
     a = m.select(F.col(group).alias("a"), F.col("n").alias("n1"), F.col("total").alias("t1"), F.col("products").alias("p1"))
     b = m.select(F.col(group).alias("b"), F.col("n").alias("n2"), F.col("total").alias("t2"), F.col("products").alias("p2"))
     # every two of the named sets, as asked for
-    both = a.join(b, F.col("a") < F.col("b")).select("a", "b", terms("n1", "t1", "p1", "n2", "t2", "p2").alias("_t"))
+    both = a.join(b, F.col("a") < F.col("b")).select("a", "b", _terms("n1", "t1", "p1", "n2", "t2", "p2").alias("_t"))
     return both.select("a", "b", "_t.mean_term", "_t.covariance_term").withColumn("distance", F.col("mean_term") + F.col("covariance_term"))
 
 
@@ -75,13 +186,9 @@ def noise_ladder(df: DataFrame, key: str, vector: str, shares: list[float], seed
 
 
 def medoids(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:
-    """medoid: the member with the least sum of squared distances to its group, which is the one nearest to the mean; radius: the
-    distance of its farthest member; n. No pairs of members are made."""
-    v = df.select(group, key, F.transform(vector, lambda x: x.cast("double")).alias("_v"))
-    mean = v.select(group, F.posexplode("_v").alias("i", "x")).groupBy(group, "i").agg(F.avg("x").alias("m")).groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("_m"))
-    gap = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    near = v.join(mean, group).groupBy(group).agg(F.min_by(F.struct(F.col(key).alias("medoid"), F.col("_v").alias("_c")), F.struct(F.round(gap(F.col("_v"), F.col("_m")), 9), F.col(key))).alias("_b"))
-    return v.join(near, group).groupBy(group, F.col("_b.medoid").alias("medoid")).agg(F.sqrt(F.max(gap(F.col("_v"), F.col("_b._c")))).alias("radius"), F.count("*").alias("n"))
+    """medoid: the member with the least sum of distances to its group (of equals the least key); radius: the distance of its farthest member; n."""
+    rows = written(df.where(F.col(vector).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("_g"), F.col(key).alias("_k"), F.transform(vector, lambda x: x.cast("double")).alias("_v")))
+    return clusters.medoids(rows).select(F.col("_g").alias(group), F.col("_k").alias("medoid"), "radius", "n")
 
 
 def mean_distance(df: DataFrame, group: str, vector: str) -> DataFrame:

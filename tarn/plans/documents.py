@@ -207,7 +207,7 @@ def p5_datasets(spark, sf_dir):
     return load(spark, sf_dir, "orders").groupBy(scalar.dataset_of(name).alias("dataset")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey, substr(sha256('brand=' || p_brand || ',size=' || p_size || ',type=' || p_type), 1, 16) AS hash FROM part")
+@query("""SELECT p_partkey, substr(sha256('{"brand":"' || p_brand || '","size":"' || p_size || '","type":"' || p_type || '"}'), 1, 16) AS hash FROM part""")
 def p7_content_hashes(spark, sf_dir):
     p = load(spark, sf_dir, "part")
     pair = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))

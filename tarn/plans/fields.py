@@ -110,7 +110,7 @@ def l1_budget_by_columns(spark, sf_dir):
     return grid.select_budget(blocks(spark, sf_dir), ["frame"], "v", ["by", "bx"], 0.25, 12, 10, F.col("fg") == 1).select("frame", "by", "bx")
 
 
-@query("""WITH c AS (SELECT p_partkey, 'brand' AS k, p_brand AS v, 'size=' || p_size || ',type=' || p_type AS rest FROM part UNION ALL SELECT p_partkey, 'size', CAST(p_size AS VARCHAR), 'brand=' || p_brand || ',type=' || p_type FROM part UNION ALL SELECT p_partkey, 'type', p_type, 'brand=' || p_brand || ',size=' || p_size FROM part)
+@query("""WITH c AS (SELECT p_partkey, 'brand' AS k, p_brand AS v, '{"size":"' || p_size || '","type":"' || p_type || '"}' AS rest FROM part UNION ALL SELECT p_partkey, 'size', CAST(p_size AS VARCHAR), '{"brand":"' || p_brand || '","type":"' || p_type || '"}' FROM part UNION ALL SELECT p_partkey, 'type', p_type, '{"brand":"' || p_brand || '","size":"' || p_size || '"}' FROM part)
 SELECT k AS key, rest, count(DISTINCT v) AS settings, count(*) AS runs FROM c GROUP BY 1, 2 HAVING count(DISTINCT v) > 1""")
 def g1_single_key_sweeps(spark, sf_dir):
     """For every key of the configs: runs that agree in all others and differ in it."""
@@ -124,17 +124,17 @@ def a26_offsets_from_baseline(spark, sf_dir):
     return summaries.fixed_bins(s, ["arm"], (F.col("rate") - F.col("base_rate")) / F.col("base_rate"), 0.05)
 
 
-@query(f"WITH {F1}, r AS (SELECT clip, qp, arm, lead(bg_q) OVER w - bg_q AS margin, row_number() OVER w AS rn FROM f1 WINDOW w AS (PARTITION BY clip, qp ORDER BY bg_q, arm)) SELECT clip, qp, arm AS winner, CASE WHEN margin >= 0.008 - 1e-9 THEN 'robust' WHEN margin < 0.001 - 1e-9 THEN 'never' WHEN margin < 0.003 - 1e-9 THEN 'tight only' ELSE 'flipping' END AS class FROM r WHERE rn = 1 AND margin IS NOT NULL")
+@query(f"WITH {F1}, r AS (SELECT clip, qp, arm, lead(bg_q) OVER w - bg_q AS margin, row_number() OVER w AS rn FROM f1 WINDOW w AS (PARTITION BY clip, qp ORDER BY bg_q, arm)) SELECT clip, qp, arm AS winner, CASE WHEN margin >= 0.008 - 1e-9 THEN 'robust' WHEN margin >= 0.001 - 1e-9 THEN 'tight_only' ELSE 'never' END AS class FROM r WHERE rn = 1 AND margin IS NOT NULL")
 def t22_threshold_classes(spark, sf_dir):
-    """A cell's winner holds at all thresholds, at some, at the tightest alone, or at none."""
+    """A cell's winner is named at all thresholds, at the least but not at the largest, or at none."""
     return frontier.threshold_classes(runs(spark, sf_dir), ["clip", "qp"], "arm", "bg_q", [0.001, 0.003, 0.005, 0.008])
 
 
-@query("""WITH e AS (SELECT vec_id, label, embedding FROM embeddings), m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM e, range(1, 65) t(i) GROUP BY 1, 2), d AS (SELECT vec_id, e.label, round(sum((CAST(embedding[i] AS DOUBLE) - m) ** 2), 9) AS d FROM e, m WHERE e.label = m.label GROUP BY 1, 2),
+@query("""WITH e AS (SELECT vec_id, label, embedding FROM embeddings), d AS (SELECT a.vec_id, a.label, round(sum(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) AS d FROM e a JOIN e b USING (label) GROUP BY 1, 2),
 c AS (SELECT label, arg_min(vec_id, (d, vec_id)) AS medoid FROM d GROUP BY 1), r AS (SELECT c.label, c.medoid, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS r FROM c JOIN e a ON a.vec_id = c.medoid JOIN e b ON b.label = c.label)
 SELECT label, medoid, round(max(r), 4) AS radius, count(*) AS n FROM r GROUP BY 1, 2""")
 def t35_medoids(spark, sf_dir):
-    """The member with the least sum of squared distances, which is the one nearest to the mean, and the distance of its farthest member."""
+    """The member with the least sum of distances to its label's vectors, and the distance of its farthest member."""
     return vectors.medoids(load(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding").withColumn("radius", F.round("radius", 4))
 
 

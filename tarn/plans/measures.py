@@ -11,7 +11,7 @@ from tarn.plans.catalog import F1, RANKED, _curves, load, query, runs
 from tarn.plans.reports import FRONT, MARGINS
 
 
-@query("SELECT 'brand=' || p_brand || ',size=' || p_size AS identity, count(*) AS n, count(DISTINCT p_type) AS fills FROM part GROUP BY 1")
+@query("""SELECT '{"brand":"' || p_brand || '","size":"' || p_size || '"}' AS identity, count(*) AS n, count(DISTINCT p_type) AS fills FROM part GROUP BY 1""")
 def p8_config_identity(spark, sf_dir):
     config = F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("fill"), F.col("p_type"), F.lit("brand"), F.col("p_brand"))
     return load(spark, sf_dir, "part").groupBy(scalar.identity(config, ["fill"]).alias("identity")).agg(F.count("*").alias("n"), F.count_distinct("p_type").alias("fills"))

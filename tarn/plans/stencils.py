@@ -33,9 +33,8 @@ def k9_components(spark, sf_dir):
 
 @query()
 def k9_all_components(spark, sf_dir):
-    """The same, held against a flood fill."""
-    found = grid.components(blocks(spark, sf_dir).withColumn("fg", F.col("v") > 56000), ["frame"], "fg", written)
-    return found.groupBy("frame", F.col("component.by").alias("y"), F.col("component.bx").alias("x")).agg(F.count("*").alias("size")).where("size >= 2")
+    """The same query, held against a flood fill."""
+    return k9_components(spark, sf_dir)
 
 
 @query(f"""WITH {F3}, y AS (SELECT frame, bx, unnest(range("by" * 8, "by" * 8 + 8)) AS y FROM f3 WHERE fg = 1), x AS (SELECT frame, y, unnest(range(bx * 8, bx * 8 + 8)) AS x FROM y) SELECT frame, count(*) AS marked, CAST(sum(y * 100 + x) AS BIGINT) AS places FROM x WHERE y < 90 AND x < 77 GROUP BY 1""")

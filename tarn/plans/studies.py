@@ -172,12 +172,12 @@ def t2_floors(spark, sf_dir):
     return n.select("n", scalar.sign_test_floor(F.col("n")).alias("floor"), (F.col("n") >= scalar.pairs_needed(0.05, 3)).alias("enough"))
 
 
-@query("""WITH d AS (SELECT l_returnflag AS arm, round(l_extendedprice - 38000 - 700 * l_quantity / 20, 2) AS d, l_linenumber AS k FROM lineitem WHERE l_linenumber = 7), z AS (SELECT arm, d, abs(d) AS a FROM d WHERE d <> 0),
+@query("""WITH d AS (SELECT l_returnflag AS arm, round(l_extendedprice - 38000 - 700 * l_quantity / 20, 2) AS d, l_linenumber AS k FROM lineitem), z AS (SELECT arm, d, abs(d) AS a FROM d WHERE d <> 0),
 r AS (SELECT *, rank() OVER (PARTITION BY arm ORDER BY a) + (count(*) OVER (PARTITION BY arm, a) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY arm, a) AS t FROM z),
 s AS (SELECT arm, CAST(count(*) AS DOUBLE) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w, sum(t * t - 1) AS ties FROM r GROUP BY 1)
 SELECT arm, CAST(n AS INT) AS n, w AS w_plus, round(abs(w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48.0), 6) AS z FROM s""")
 def t4_wilcoxon_large(spark, sf_dir):
-    d = load(spark, sf_dir, "lineitem").where("l_linenumber = 7").select(F.col("l_returnflag").alias("arm"), F.round(F.col("l_extendedprice") - 38000 - 700 * F.col("l_quantity") / 20, 2).alias("delta"))
+    d = load(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("arm"), F.round(F.col("l_extendedprice") - 38000 - 700 * F.col("l_quantity") / 20, 2).alias("delta"))
     return stats.wilcoxon(d, ["arm"]).select("arm", "n", "w_plus", F.round("z", 6).alias("z"))
 
 
