@@ -8,6 +8,7 @@ from tarn.operators import curves, grid, pairing, rules, stats
 from tarn.plans.catalog import F1, F3, SIGN_P, blocks, load, query, runs
 from tarn.plans.documents import _docs
 from tarn.sources import store
+from tarn.streaming import commits, state
 from tarn.streaming.ingest import current, ingest
 
 
@@ -114,6 +115,79 @@ def st1_ingested(spark, sf_dir):
     return current(spark, e.schema, where)
 
 
+def _event_documents(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    fg = F.struct(F.when(F.col("event_id") % 7 > 0, F.col("value") - 20).alias("psnr"))
+    text = F.to_json(F.struct(F.struct(fg.alias("fg")).alias("metrics"), F.when(F.col("event_type") == "click", F.concat(F.lit("v/"), F.col("user_id").cast("string"))).alias("output_video")))
+    # every 13th is cut short: a text that is no document
+    return e.select(F.col("user_id").cast("string").alias("key"), F.when(F.col("event_id") % 13 == 0, F.substring(text, 1, 10)).otherwise(text).alias("doc_raw"), F.col("event_id").alias("version"))
+
+
+@query("""WITH d AS (SELECT user_id, max(event_id) AS version, arg_max(event_type, event_id) AS kind FROM events WHERE event_id % 13 <> 0 GROUP BY 1),
+v AS (SELECT d.*, CASE WHEN d.version % 7 > 0 THEN e.value - 20 END AS psnr FROM d JOIN events e ON e.event_id = d.version)
+SELECT CAST(user_id AS VARCHAR) AS key, version, round(psnr, 6) AS psnr, CASE WHEN kind = 'click' THEN 'v/' || user_id END AS video, CASE WHEN psnr IS NULL THEN 'psnr is not a finite number' WHEN psnr <= 0 THEN 'psnr is not positive' ELSE '' END AS failures FROM v""")
+def st1_committed(spark, sf_dir):
+    """Documents that arrive in files, committed batch by batch with their metric and artifact rows and rule verdicts under one manifest."""
+    docs = _event_documents(spark, sf_dir)
+    source, where, checkpoint = (store.shared_folder(spark) for _ in range(3))
+    docs.repartition(3, "version").write.parquet(source)
+    psnr = F.try_variant_get("doc", "$.metrics.fg.psnr", "double")
+    derive = {
+        "metrics": lambda d: store.metric_rows(d, "key"), "artifacts": lambda d: store.artifact_rows(d, "key"),
+        "verdicts": lambda d: d.select("key", F.array_join(rules.verdict(*rules.metrics_present({"psnr": psnr})), "; ").alias("failures")),
+    }
+    commits.follow(spark, source, docs.schema, where, checkpoint, derive, buckets=8, files=2).awaitTermination()
+    metrics = commits.table(spark, where, "metrics").where("metric = 'psnr'").select("key", F.round("value", 6).alias("psnr"))
+    artifacts = commits.table(spark, where, "artifacts").select("key", F.col("relpath").alias("video"))
+    base = commits.table(spark, where, "documents").select("key", "version").join(metrics, "key", "left").join(artifacts, "key", "left")
+    return base.join(commits.table(spark, where, "verdicts").select("key", "failures"), "key")
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1")
+def st2_keyed_state(spark, sf_dir):
+    """Events that arrive in files, the last one of each user held as keyed state of the stream."""
+    e = load(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    source, where, checkpoint = (store.shared_folder(spark) for _ in range(3))
+    e.repartition(3, "event_id").write.parquet(source)
+    state.follow(spark, source, e.schema, where, checkpoint, ["user_id"], ["event_id"], files=2).awaitTermination()
+    return state.current(spark, e.schema, where, ["user_id"], ["event_id"])
+
+
+def _nation_tree(spark, sf_dir):
+    folder = store.shared_folder(spark)
+    hash_ = F.when(F.col("c_nationkey") % 5 == 0, F.concat(F.lit("h"), F.col("c_nationkey").cast("string")))
+    store.export_tree(_nations(spark, sf_dir).select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("key"), F.to_json(F.struct(hash_.alias("experiment_hash"), "n")).alias("doc_raw")), folder)
+    return folder
+
+
+@query("SELECT 'n' || c_nationkey AS key, count(*) AS n FROM customer WHERE c_nationkey % 2 = 1 OR c_nationkey % 3 = 0 GROUP BY c_nationkey")
+def s9_refreshed(spark, sf_dir):
+    """A tree held against what is known of it: only files that are new, or newer than known, are opened."""
+    folder = _nation_tree(spark, sf_dir)
+    number = F.substring("key", 2, 9).cast("int")
+    listed = store.list_tree(spark, folder, "part-*")
+    known = listed.where(number % 2 == 0).select("key", F.when(number % 3 == 0, F.col("modified") - F.expr("INTERVAL 1 HOUR")).otherwise(F.col("modified")).alias("modified"))
+    good, _ = store.parsed(store.refreshed(spark, folder, known, "part-*"))
+    return good.select("key", F.variant_get("doc", "$.n", "long").alias("n"))
+
+
+@query("SELECT CASE WHEN c_nationkey % 5 = 0 THEN 'h' ELSE 'n' END || c_nationkey AS key, 'n' || c_nationkey AS folder, count(*) AS n FROM customer GROUP BY c_nationkey")
+def s4_resolved_keys(spark, sf_dir):
+    """Documents by the hash in their text, where they have one, else by their folder's name."""
+    good, _ = store.parsed(store.scan_tree(spark, _nation_tree(spark, sf_dir), "part-*"))
+    return store.resolved(good).select("key", "folder", F.variant_get("doc", "$.n", "long").alias("n"))
+
+
+@query("SELECT 'region=' || n_regionkey || '/nation=' || n_nationkey AS place, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey, n_nationkey")
+def s15_reports(spark, sf_dir):
+    """Reports at any depth below a root, by a pattern of their names, with the place they were found in."""
+    folder = store.shared_folder(spark)
+    by = load(spark, sf_dir, "customer").join(load(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation")).agg(F.count("*").alias("n"))
+    by.select("region", "nation", F.to_json(F.struct("n")).alias("value")).write.partitionBy("region", "nation").text(folder)
+    good, _ = store.parsed(store.reports(spark, folder, "part-*"))
+    return good.select("place", F.variant_get("doc", "$.n", "long").alias("n"))
+
+
 @query(f"""WITH {F1}, d AS (SELECT a.clip, a.qp, a.arm, round(avg(b.rate - a.rate), 6) AS d FROM f1 a JOIN f1 b ON a.clip = b.clip AND a.qp = b.qp AND b.arm = 'R' WHERE a.arm IN ('A', 'N') GROUP BY ALL), s AS (SELECT arm, count(*) FILTER (d > 0) AS n_pos, count(*) FILTER (d < 0) AS n_neg FROM (SELECT arm, clip, round(avg(d), 6) AS d FROM d GROUP BY ALL) GROUP BY 1), p AS (SELECT *, {SIGN_P} AS p FROM s), r AS (SELECT *, row_number() OVER (ORDER BY p, arm) AS k FROM p)
 SELECT arm, n_pos, n_neg, round(p, 9) AS p, round(least(1.0, max((2 - k + 1) * p) OVER (ORDER BY k)), 9) AS p_holm FROM r""")
 def t12_holm_over_contrasts(spark, sf_dir):

@@ -28,6 +28,58 @@ def scan_tree(spark: SparkSession, folder: str, name: str = "result.json") -> Da
     return found.select(key.alias("key"), raw.alias("doc_raw"), F.col("_metadata.file_modification_time").alias("modified")).where(~F.col("key").rlike("^[_.]"))
 
 
+def list_tree(spark: SparkSession, folder: str, name: str = "result.json") -> DataFrame:
+    """key (the folder's name), path, modified and length of each document below folder: from the listing alone, no file is opened."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(folder)
+    own = F.url_decode(F.element_at(F.split("path", "/"), -2))
+    key = F.when(own.startswith("key="), F.url_decode(F.substring(own, F.lit(5), F.length(own)))).otherwise(own)
+    return found.select(key.alias("key"), "path", F.col("modificationTime").alias("modified"), "length").where(~F.col("key").rlike("^[_.]"))
+
+
+def read_listed(spark: SparkSession, listed: DataFrame) -> DataFrame:
+    """key, doc_raw, modified and path of listed files; only these are opened. Their paths pass the driver, which has listed them for Spark before."""
+    paths = [r["path"] for r in listed.select("path").collect()]
+    if not paths:
+        return spark.createDataFrame([], "key string, doc_raw string, modified timestamp, path string")
+    text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("doc_raw"), F.col("_metadata.file_modification_time").alias("modified"))
+    own = F.url_decode(F.element_at(F.split("path", "/"), -2))
+    ours = own.startswith("key=")
+    key = F.when(ours, F.url_decode(F.substring(own, F.lit(5), F.length(own)))).otherwise(own)
+    return text.select(key.alias("key"), F.when(ours, F.regexp_replace("doc_raw", "\n\\z", "")).otherwise(F.col("doc_raw")).alias("doc_raw"), "modified", "path")
+
+
+def refreshed(spark: SparkSession, folder: str, known: DataFrame, name: str = "result.json", key: str = "key", modified: str = "modified") -> DataFrame:
+    """Documents below folder that `known` (key, modified) lacks or has an older version of: listed, held against it, and only then read."""
+    return read_listed(spark, fresh(list_tree(spark, folder, name), known.select(F.col(key).alias("key"), F.col(modified).alias("modified"))))
+
+
+def reports(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """place (the folder below root), name, doc_raw and modified of each file at any depth whose name fits the pattern, in the order of their paths."""
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
+    path = F.url_decode(F.col("_metadata.file_path"))
+    below = F.regexp_extract(path, "^.*?" + re.escape(root.rstrip("/").split("/")[-1]) + "/(.*)$", 1)
+    name = F.element_at(F.split(below, "/"), -1)
+    return found.select(F.rtrim(F.substring(below, F.lit(1), F.length(below) - F.length(name)), F.lit("/")).alias("place"), name.alias("name"), F.col("value").alias("doc_raw"), F.col("_metadata.file_modification_time").alias("modified")).orderBy("place", "name")
+
+
+def resolved(docs: DataFrame, field: str = "experiment_hash", key: str = "key", key_from: str = "document") -> DataFrame:
+    """docs with their key resolved: the text that the parsed document has in `field`, else the folder's name; with key_from="folder" always the latter.
+
+    A field that is empty or holds no text counts as none. Of documents that resolve to one key the last modified stays, of equals the one
+    whose folder has that name, then the least folder; folder has the name it was found under.
+    """
+    if key_from not in ("document", "folder"):
+        raise ValueError("key_from is document or folder")
+    held = F.variant_get("doc", f"$.{field}", "variant")
+    own = F.when(_kind(held) == "STRING", F.nullif(F.try_variant_get("doc", f"$.{field}", "string"), F.lit(""))) if key_from == "document" else F.lit(None).cast("string")
+    named = docs.withColumnRenamed(key, "folder").withColumn(key, F.coalesce(own, "folder"))
+    first = F.struct(F.col("modified"), F.col("folder") == F.col(key))
+    best = named.groupBy(key).agg(F.max(first).alias("_best"))
+    newest = named.join(best, key).where(first == F.col("_best"))
+    least = newest.groupBy(key).agg(F.min("folder").alias("_least"))
+    return newest.join(least, key).where(F.col("folder").eqNullSafe(F.col("_least"))).drop("_best", "_least")
+
+
 def parsed(docs: DataFrame, raw: str = "doc_raw") -> tuple[DataFrame, DataFrame]:
     """docs with doc (variant), and the corrupt ones. Bare non-finite numbers become null before parsing; strings stay as they are."""
     # a string is matched whole and put back, so that only what stands outside of strings is replaced
