@@ -7,7 +7,8 @@ window's whole prefix. Places of documents whose shingle is a prefix are joined
 
 Windows of the same words are one, whose items are looked up after the match. Null and empty texts have no words;
 items without words have no windows; an item of fewer than `window` words is one window; items that repeat an
-item_id count once; rows of documents that repeat each give a row.
+item_id count once, those without an item_id as one, which n_items counts and items_sha256 does not name; rows of documents
+that repeat each give a row; whole texts are compared, however long; other columns are not read.
 """
 
 from __future__ import annotations
@@ -77,8 +78,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
         base.join(per, "_rid").select("_rid", F.filter("_c", fits).alias("_m")).where(F.size("_m") > 0).select("_rid", cover.cast("long").alias("n_hit"), F.array_distinct(F.transform("_m", lambda c: c["g"])).alias("_g"))
     )
     items = (
-        found.select("_rid", F.explode("_g").alias("g")).join(of_items.select("g", "item_id"), "g").groupBy("_rid").agg(F.collect_set("item_id").alias("_i"))
-        .select("_rid", F.size("_i").cast("long").alias("n_items"), F.concat_ws(",", F.array_sort(F.transform("_i", lambda x: x.cast("string")))).alias("_said"))
+        found.select("_rid", F.explode("_g").alias("g")).join(of_items.select("g", "item_id"), "g").groupBy("_rid").agg(F.collect_set(F.struct(F.col("item_id").cast("string").alias("i"))).alias("_i"))
+        .select("_rid", F.size("_i").cast("long").alias("n_items"), F.concat_ws(",", F.array_sort(F.array_compact(F.transform("_i", lambda x: x["i"])))).alias("_said"))
     )
     out = base.select("_rid", "doc_id", "n_words").join(found.select("_rid", "n_hit").join(items, "_rid"), "_rid", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))

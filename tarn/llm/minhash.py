@@ -1,8 +1,11 @@
 """Near-duplicate classes by Order MinHash.
 
 Texts of the same words are one class from the start. For the others, each of BANDS hash functions samples the
-PICK smallest occurrence-labelled five-word shingles of a text and keeps their text order; texts that agree in a
-band's sample are candidates. A pair is linked if a banded alignment of its words finds an edit similarity
+smallest occurrence-labelled shingles of a text, of five words or of three, and keeps their text order; texts that
+agree in a band's sample are candidates. One changed word spoils every shingle that holds it: at 20 scattered changes
+in 100 words a third of the five-word shingles stay and half of those of three, so the latter carry pairs close to
+the threshold (of pairs at an edit similarity of 0.80 to 0.82 about 0.96 agree in a band, from 0.84 on 0.98 and more;
+with 16 bands of five words alone it was 0.50), the former those that share a long passage. A pair is linked if a banded alignment of its words finds an edit similarity
 (1 - edits / words of the longer text) of at least `least`. Classes are the connected components of the links.
 Before the alignment a MinHash signature of occurrence-labelled words, which any linked pair shares to two thirds
 at 0.8, rules out pairs that no alignment can link.
@@ -10,9 +13,9 @@ at 0.8, rules out pairs that no alignment can link.
 Candidates are found twice. First, each bucket is dealt into blocks of bounded size with a few common hubs, and
 of a block only a spanning forest of the likeliest pairs is verified: linear in the bucket, and enough for most.
 Then the buckets that still hold several classes are compared in full between the classes, members outside the
-largest class against all, in blocks too, and every likely pair not verified before is: no candidate is lost.
+largest class against all, in blocks too, and every likely pair not verified before is: all pairs that a band brings together are looked at.
 
-Texts of fewer than five words are one shingle; texts without words (null too) are copies of each other; null
+Texts of fewer words than a shingle are one; long texts are marked and aligned in linear memory; other columns are not read; texts without words (null too) are copies of each other; null
 doc_ids never name a class unless all its rows have none (then class_id is null); an empty table gives no rows.
 """
 
@@ -29,7 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import byte_words, written
 
-SHINGLE, BANDS, PICK, SIGNATURE = 5, 16, 2, 128
+#: Words of a shingle, shingles of a sample, and bands of each family.
+FAMILIES = ((5, 2, 8), (3, 2, 20))
+BANDS, SIGNATURE = sum(f[2] for f in FAMILIES), 128
 #: Signature places that must agree for a pair to be aligned, of the first EARLY and of all. An edit similarity of 0.8
 #: leaves at least 0.8 n of n words in common, out of at most 1.2 n: of 10,000 pairs at the threshold, about 1 has fewer.
 EARLY, AGREE_EARLY, AGREE = 32, 10, 64
@@ -37,8 +42,8 @@ EARLY, AGREE_EARLY, AGREE = 32, 10, 64
 SURE = 104
 #: Counters of a text's word counts: the least that its number of words fits into, or the last.
 COUNTERS = (128, 512, 2048)
-#: Members of a block of a bucket, and hubs that all of its blocks see.
-BLOCK, HUBS = 256, 24
+#: Members of a block of a bucket, hubs that all of its blocks see, and pairs of one text that a task gets together.
+BLOCK, HUBS, PAIRS = 256, 24, 256
 _LAST = np.uint64((1 << 64) - 1)
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -72,9 +77,9 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
 
-def shingles(h: np.ndarray) -> np.ndarray:
-    """Hashes of the shingles of hashed words in text order."""
-    k = min(SHINGLE, len(h))
+def shingles(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the shingles of `size` hashed words in text order."""
+    k = min(size, len(h))
     n = len(h) - k + 1 if k else 0
     out = np.full(n, k, np.uint64)
     with np.errstate(over="ignore"):
@@ -95,21 +100,23 @@ def labelled(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(words: np.ndarray, sh: np.ndarray) -> tuple[list[int], bytes]:
+def sketch(words: np.ndarray) -> tuple[list[int], bytes]:
     """Band keys of the shingles and the signature of the words."""
-    keys, least, marked = [], [], labelled(sh)
-    pick = min(PICK, len(sh))
+    keys, least = [], []
     # in 32 bits, which processors multiply several at a time
     short = (labelled(words) >> np.uint64(32)).astype(np.uint32)
     with np.errstate(over="ignore"):
-        for b in range(BANDS):
-            x = (marked ^ _SEEDS[b]) * _ODD[b]
-            at = []
-            for _ in range(pick):
-                at.append(int(x.argmin()))
-                x[at[-1]] = _LAST
-            at.sort()
-            keys.append(xxhash.xxh64_intdigest(marked[at].tobytes(), seed=b) - (1 << 63))
+        for size, most, bands in FAMILIES:
+            marked = labelled(shingles(words, size))
+            pick = min(most, len(marked))
+            for b in range(len(keys), len(keys) + bands):
+                x = (marked ^ _SEEDS[b]) * _ODD[b]
+                at = []
+                for _ in range(pick):
+                    at.append(int(x.argmin()))
+                    x[at[-1]] = _LAST
+                at.sort()
+                keys.append(xxhash.xxh64_intdigest(marked[at].tobytes(), seed=b) - (1 << 63))
         # a few hash functions at once, so that a block of values stays in the cache
         step = max(1, 16_384 // len(short))
         for j in range(BANDS, BANDS + SIGNATURE, step):
@@ -149,7 +156,7 @@ def _marks(texts: pd.Series) -> pd.DataFrame:
         words = byte_words(t)
         key = hashlib.blake2b(b"\0".join(words), digest_size=16).digest()
         hashed = word_hashes(words)
-        out.append((key, len(words), *(sketch(hashed, shingles(hashed)) if words else ([], b"")), tally(hashed)))
+        out.append((key, len(words), *(sketch(hashed) if words else ([], b"")), tally(hashed)))
     return pd.DataFrame(out, columns=["key", "n", "bands", "sig", "tally"])
 
 
@@ -365,7 +372,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     # counts are written, so that Spark can split a hot bucket in the join
     counts = written(bands.groupBy("band").count().where("count > 1"))
     # signatures join those rows alone that share a bucket
-    members = written(bands.join(counts, "band").join(reps.select("key", "n", "sig", "bands"), "key"))
+    members = written(bands.join(counts, "band").join(reps.select("key", "n", "sig"), "key"))
 
     blocks = F.greatest(F.lit(1), F.ceil(F.col("count") / BLOCK)).cast("int")
     # the hubs of a bucket are its smallest keys, about: keys are hashes
@@ -382,7 +389,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     known = written(known)
     sizes = known.groupBy("band", "cls").agg(F.count("*").alias("_c")).groupBy("band").agg(F.max(F.struct("_c", "cls")).alias("_main"), F.count("*").alias("_classes"), F.sum("_c").alias("_all"))
     split = written(known.join(written(sizes.where("_classes > 1")), "band"))
-    split = written(split.join(reps.select("key", "tally"), "key"))
+    split = written(split.join(reps.select("key", "tally", "bands"), "key"))
     odd = F.col("cls") != F.col("_main.cls")
     odds = F.greatest(F.lit(1), F.ceil((F.col("_all") - F.col("_main._c")) / BLOCK)).cast("int")
     own = F.pmod(F.xxhash64(F.lit(5), "key"), odds).cast("int")
@@ -408,15 +415,18 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """a, b, similarity of the pairs of keys that are near duplicates; only their texts are moved.
 
-    The text of b comes first: a is a hub with many pairs, whose text is joined last and never moved with them.
+    The text of b comes first: a can be a hub with many pairs. These are dealt to blocks of about PAIRS, each of which gets a's text once.
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = reps.join(written(ends), "key", "left_semi").select("key", F.col("exact_id").alias("_id"), F.col("th").alias("_th"))
     th = F.md5(F.coalesce(F.col("text"), F.lit("")))
     texts = docs.select("doc_id", "text", th.alias("th")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
     texts = written(texts.groupBy("key").agg(F.first("text").alias("text")))
-    a, b = texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInPandas(_verify(least), "a binary, b binary, similarity double")
+    blocks = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("_of")))
+    dealt = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64(F.lit(7), "b"), F.col("_of")).cast("int").alias("_block"))
+    b = texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
+    a = texts.select(F.col("key").alias("a"), F.col("text").alias("ta")).join(blocks, "a").select("a", "ta", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)).alias("_block"))
+    return dealt.join(b, "b").join(a, ["a", "_block"]).select("a", "b", "ta", "tb").mapInPandas(_verify(least), "a binary, b binary, similarity double")
 
 
 def one_of_each(docs: DataFrame, least: float = 0.8) -> DataFrame:

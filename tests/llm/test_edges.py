@@ -91,3 +91,14 @@ def test_pipeline_on_edge_rows(spark, tmp_path, rows):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     # all are too short or repeat themselves
     assert out == []
+
+
+def test_items_without_an_id_count_as_one(spark):
+    import hashlib
+
+    docs = spark.createDataFrame([(1, "x alpha beta gamma"), (2, "gamma delta"), (3, "one")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "alpha beta"), (None, "gamma delta"), ("i", "beta gamma"), ("j", None)], "item_id string, text string")
+    got = {r.doc_id: r for r in decontam.contamination(docs, items).collect()}
+    assert {d: (r.n_hit, r.n_items, r.contaminated, r.items_sha256) for d, r in got.items()} == {
+        1: (3, 2, True, hashlib.sha256(b"i").hexdigest()), 2: (2, 1, True, hashlib.sha256(b"").hexdigest()), 3: (0, 0, False, hashlib.sha256(b"").hexdigest()),
+    }

@@ -166,6 +166,40 @@ def test_near_duplicates_find_nine_links_in_ten(spark):
     assert len(links) > 50 and sum(cls[a] == cls[b] for a, b in links) >= 0.9 * len(links)
 
 
+def test_scattered_edits_near_the_threshold_are_candidates():
+    """Share of linked pairs that agree in a band, in steps of 0.02 from 0.80."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}".encode() for i in range(3000)]
+    hits = collections.defaultdict(list)
+    for n in (60, 200, 600):
+        for _ in range(300):
+            a = [words[i] for i in np.minimum(rng.zipf(1.6, n), 3000) - 1]
+            b = list(a)
+            for i in rng.choice(n, int(n * rng.uniform(0.06, 0.2)), replace=False):
+                b[i] = b"x%d" % rng.integers(1 << 30)
+            s = minhash.edit_similarity(a, b, 0.8)
+            if s:
+                x, y = (minhash.sketch(minhash.word_hashes(w)) for w in (a, b))
+                agree = np.frombuffer(x[1], np.uint8) == np.frombuffer(y[1], np.uint8)
+                hits[int((s - 0.8) / 0.02 + 1e-9)].append(not set(x[0]).isdisjoint(y[0]) and agree[: minhash.EARLY].sum() >= minhash.AGREE_EARLY and agree.sum() >= minhash.AGREE)
+    assert all(len(v) > 30 and np.mean(v) >= 0.9 for k, v in hits.items() if k < 6), {k: np.mean(v) for k, v in hits.items()}
+
+
+def test_scattered_edits_end_in_one_class(spark):
+    rng = np.random.default_rng(5)
+    rows, links = [], []
+    for k in range(150):
+        a = [f"w{i}" for i in rng.integers(0, 4000, 200)]
+        b = list(a)
+        for i in rng.choice(200, int(rng.integers(25, 41)), replace=False):
+            b[i] = f"e{rng.integers(1 << 30)}"
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        links.append(edit_similar(a, b))
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(links) > 100 and all(got[2 * k] == 2 * k for k in range(150))
+    assert np.mean([got[2 * k + 1] == 2 * k for k in range(150) if links[k]]) >= 0.9
+
+
 def test_large_bucket_keeps_links(spark):
     rng = np.random.default_rng(2)
     base = [f"w{i}" for i in range(120)]
