@@ -99,8 +99,12 @@ def _is_object(v: Column) -> Column:
     return F.coalesce(_kind(v).startswith("OBJECT"), F.lit(False))
 
 
-def _is_number(v: Column) -> Column:
-    return F.coalesce(_kind(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
+def _object_kind(kind: Column | str) -> Column:
+    return F.coalesce((F.col(kind) if isinstance(kind, str) else kind).startswith("OBJECT"), F.lit(False))
+
+
+def _number_kind(kind: Column | str) -> Column:
+    return F.coalesce((F.col(kind) if isinstance(kind, str) else kind).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
 
 
 def _fields(v: Column) -> Column:
@@ -108,32 +112,32 @@ def _fields(v: Column) -> Column:
     return F.when(_is_object(v), F.variant_get(v, "$", "map<string,variant>"))
 
 
-def levels(docs: DataFrame, doc: Column) -> int:
-    """How deep the objects nest, from the merged schema of all documents: one row reaches the driver."""
-    schema = docs.agg(F.schema_of_variant_agg(doc)).first()[0] or ""
-    depth = most = 0
-    for c in re.sub(r"`(?:[^`]|``)*`", "", schema):
-        depth += (c == "<") - (c == ">")
-        most = max(most, depth)
-    return most
+def _opened(v: Column) -> Column:
+    """An object's fields as rows of _k, _v and _t, the kind of the value, which is so found once for each."""
+    entries = F.map_entries(F.variant_get(v, "$", "map<string,variant>"))
+    return F.inline(F.transform(entries, lambda e: F.struct(e["key"].alias("_k"), e["value"].alias("_v"), F.schema_of_variant(e["value"]).alias("_t"))))
 
 
 def metric_rows(docs: DataFrame, key: str, path: str = "$.metrics") -> DataFrame:
     """(key, region, metric, value) of the numbers under path.
 
     An object without objects in it is a region, named by its dotted path; a number beside objects has region '' and its
-    dotted path as metric. Booleans are no numbers, block_level is left out; objects nest to any depth.
+    dotted path as metric. Booleans are no numbers, block_level is left out; objects nest to any depth. The objects of each depth are
+    written once: documents are parsed, and each object opened, one time.
     """
     root = docs.select(F.col(key).alias("_key"), F.variant_get("doc", path, "variant").alias("_v"))
-    level, out = root.select("_key", F.lit("").alias("_at"), "_v"), None
-    for _ in range(max(1, levels(root, F.col("_v")))):
-        fields = level.select("_key", "_at", F.explode(_fields(F.col("_v"))).alias("_k", "_v")).where("_k <> 'block_level'").withColumn("_at", F.concat("_at", "_k"))
-        inner = fields.withColumn("_m", _fields(F.col("_v"))).withColumn("_deep", F.exists(F.map_values("_m"), _is_object))
-        alone = inner.where(_is_number(F.col("_v"))).select("_key", F.lit("").alias("region"), F.col("_at").alias("metric"), F.col("_v").cast("double").alias("value"))
-        regions = inner.where(~F.col("_deep")).select("_key", F.col("_at").alias("region"), F.explode("_m").alias("metric", "_x")).where(_is_number(F.col("_x"))).select("_key", "region", "metric", F.col("_x").cast("double").alias("value"))
-        rows = alone.unionByName(regions)
+    level, out = written(root.select("_key", F.lit("").alias("_at"), "_v").where(_is_object(F.col("_v")))), None
+    while out is None or level.limit(1).count():
+        fields = level.select("_key", "_at", _opened(F.col("_v"))).where("_k <> 'block_level'").withColumn("_at", F.concat("_at", "_k"))
+        # a field gives its rows in one pass: a number one, an object without objects one for each number in it
+        inside = F.transform(F.map_entries(F.variant_get("_v", "$", "map<string,variant>")), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v"), F.schema_of_variant(e["value"]).alias("t")))
+        inner = fields.select("_key", "_at", "_v", F.explode(F.array(F.struct("_t", F.when(_object_kind("_t"), inside).alias("m")))).alias("_f")).select("_key", "_at", "_v", "_f._t", "_f.m")
+        deep = F.coalesce(F.exists("m", lambda x: _object_kind(x["t"])), F.lit(False))
+        row = lambda region, metric, v: F.struct(region.alias("region"), metric.alias("metric"), v.cast("double").alias("value"))
+        here = F.when(_number_kind("_t"), F.array(row(F.lit(""), F.col("_at"), F.col("_v")))).when(F.col("m").isNotNull() & ~deep, F.transform(F.filter("m", lambda x: _number_kind(x["t"])), lambda x: row(F.col("_at"), x["k"], x["v"])))
+        rows = inner.select("_key", F.inline(here))
         out = rows if out is None else out.unionByName(rows)
-        level = inner.where("_deep").select("_key", F.concat("_at", F.lit(".")).alias("_at"), "_v")
+        level = written(inner.where(deep).select("_key", F.concat("_at", F.lit(".")).alias("_at"), "_v"))
     return out.withColumnRenamed("_key", key)
 
 
@@ -157,21 +161,21 @@ def flat_rows(docs: DataFrame, key: str, whole: tuple[str, ...] = ("metrics_bloc
     """(key, path, value, kind): every value of a document under its names joined by _; a list gives its length under _n
     and its text under _json, an object named in whole its text under _json."""
     root = docs.select(F.col(key).alias("_key"), F.col("doc").alias("_v"))
-    level, out = root.select("_key", F.lit("").alias("_at"), "_v"), None
-    for _ in range(max(1, levels(root, F.col("_v")))):
-        fields = level.select("_key", "_at", F.explode(_fields(F.col("_v"))).alias("_k", "_v")).withColumn("_at", F.concat_ws("_", F.nullif("_at", F.lit("")), "_k"))
-        kept, kind = F.col("_at").isin(*whole), _kind(F.col("_v"))
+    level, out = written(root.select("_key", F.lit("").alias("_at"), "_v").where(_is_object(F.col("_v")))), None
+    while out is None or level.limit(1).count():
+        fields = level.select("_key", "_at", _opened(F.col("_v"))).withColumn("_at", F.concat_ws("_", F.nullif("_at", F.lit("")), "_k"))
+        kept, kind = F.col("_at").isin(*whole), F.col("_t")
         is_list = F.coalesce(kind.startswith("ARRAY"), F.lit(False))
         size = F.size(F.try_variant_get("_v", "$", "array<variant>")).cast("string")
         row = lambda path, value, k: F.struct(path.alias("path"), value.alias("value"), k.alias("kind"))
         made = (
             F.when(kept, F.array(row(F.concat("_at", F.lit("_json")), F.to_json("_v"), F.lit("STRING"))))
             .when(is_list, F.array(row(F.concat("_at", F.lit("_n")), size, F.lit("BIGINT")), row(F.concat("_at", F.lit("_json")), F.to_json("_v"), F.lit("STRING"))))
-            .when(~_is_object(F.col("_v")), F.array(row(F.col("_at"), F.try_variant_get("_v", "$", "string"), F.regexp_replace(kind, r"\(.*|VOID", ""))))
+            .when(~_object_kind("_t"), F.array(row(F.col("_at"), F.try_variant_get("_v", "$", "string"), F.regexp_replace(kind, r"\(.*|VOID", ""))))
         )
         rows = fields.select("_key", F.explode(made).alias("_r")).select("_key", "_r.*")
         out = rows if out is None else out.unionByName(rows)
-        level = fields.where(_is_object(F.col("_v")) & ~kept).select("_key", "_at", "_v")
+        level = written(fields.where(_object_kind("_t") & ~kept).select("_key", "_at", "_v"))
     return out.withColumn("kind", F.nullif("kind", F.lit(""))).withColumnRenamed("_key", key)
 
 
