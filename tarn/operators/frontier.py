@@ -46,6 +46,33 @@ def decided(df: DataFrame, cell: list[str], arm: str, score: str, threshold: flo
     return both.select(*cell, "n_arms", "n_eligible", "verdict", winner.alias("winner"), F.col("_top.arm").alias("leader"), second["arm"].alias("runner_up"), "margin", tied.alias("tied"))
 
 
+def operating_map(df: DataFrame, cell: list[str], arm: str, eligible: Column, objectives: dict[str, tuple[str, float]], least: int = 2) -> DataFrame:
+    """decided() under each objective, named in `objective`: objectives give the score (lower is better) and the threshold of a separable lead."""
+    out = None
+    for name, (score, threshold) in objectives.items():
+        one = decided(df, cell, arm, score, threshold, eligible, least).withColumn("objective", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def map_summary(decisions: DataFrame) -> DataFrame:
+    """(objective, cells, contested, separable, ties, single, none, winners, separable_pct): a cell of two eligible arms or more is contested; separable_pct is of these, null without one."""
+    v = F.col("verdict")
+    by = decisions.groupBy("objective").agg(
+        F.count("*").alias("cells"), F.count_if(F.col("n_eligible") > 1).alias("contested"), F.count_if(v == "separable").alias("separable"), F.count_if(v == "tie_within_threshold").alias("ties"),
+        F.count_if(v == "single_eligible_arm").alias("single"), F.count_if(v == "no_eligible_arm").alias("none"), F.count_distinct(F.when(v == "separable", F.col("winner"))).alias("winners"),
+    )
+    return by.withColumn("separable_pct", F.try_divide(100.0 * F.col("separable"), F.col("contested")))
+
+
+def side_by_side(decisions: DataFrame, cell: list[str], a: str, b: str) -> DataFrame:
+    """Each cell's leaders under two objectives, and agreement: same, different, or undecided where one objective names no winner."""
+    one = lambda n, s: decisions.where(F.col("objective") == n).select(*cell, F.col("leader").alias(f"leader_{s}"), F.col("winner").alias(f"winner_{s}"))
+    both = ranks.same(one(a, "a"), one(b, "b"), cell)
+    known = F.col("winner_a").isNotNull() & F.col("winner_b").isNotNull()
+    return both.withColumn("agreement", F.when(~known, "undecided").when(F.col("winner_a") == F.col("winner_b"), "same").otherwise("different"))
+
+
 def ladders(df: DataFrame, cell: list[str], config: str, x: str, y: str, unit: float, order: list[str], least: int = 3) -> DataFrame:
     """Rows that know y with the residual of their cell's rate-damage line, in units: positive is less damage than its bits foretell.
 

@@ -215,6 +215,39 @@ def content_attributes(df: DataFrame, clip: list[str], texture: str, motion: str
     )
 
 
+def clip_attributes(blocks: DataFrame, log: DataFrame, runs: DataFrame, clip: str, texture: str, motion: str, flag: str, residual: str, frames: str) -> DataFrame:
+    """The seven content attributes of each clip that any source knows; what a source lacks is null.
+
+    A1_motion: mean motion of all blocks; A2_hole_instability and A5_bg_motion: of foreground and of background blocks; A3_bg_texture: mean texture of background blocks;
+    A4_residual_info: mean of the frame log; A6_duration: most frames of its runs; A7_fg_fraction: share of foreground among the blocks whose flag is known.
+    """
+    fg = F.col(flag) == 1
+    a = blocks.groupBy(clip).agg(
+        F.avg(motion).alias("A1_motion"), F.avg(F.when(fg, F.col(motion))).alias("A2_hole_instability"), F.avg(F.when(~fg, F.col(texture))).alias("A3_bg_texture"),
+        F.avg(F.when(~fg, F.col(motion))).alias("A5_bg_motion"), F.avg(fg.cast("double")).alias("A7_fg_fraction"),
+    )
+    b = log.groupBy(clip).agg(F.avg(residual).alias("A4_residual_info"))
+    c = runs.where(F.col(frames) > 0).groupBy(clip).agg(F.max(frames).cast("double").alias("A6_duration"))
+    return a.join(b, clip, "full").join(c, clip, "full").where(F.col(clip).isNotNull()).select(clip, "A1_motion", "A2_hole_instability", "A3_bg_texture", "A4_residual_info", "A5_bg_motion", "A6_duration", "A7_fg_fraction")
+
+
+def region_errors(df: DataFrame, clip: list[str], frame: str, error: str, flag: str, peak: float = 255.0) -> DataFrame:
+    """(clip, region, frames, mse_mean, mse_sd, psnr_mean, psnr_sd): each frame's error and its dB in foreground, background and overall, then mean and population
+    deviation over the frames that have the region. An error of 0 counts as 1e-12."""
+    fg = F.col(flag) == 1
+    each = F.inline(F.array(*[F.struct(F.lit(n).alias("region"), c.alias("_e")) for n, c in (("fg", F.when(fg, F.col(error))), ("bg", F.when(~fg, F.col(error))), ("overall", F.col(error)))]))
+    one = df.select(*clip, frame, each).where("_e IS NOT NULL").groupBy(*clip, "region", frame).agg(F.avg("_e").alias("_m")).withColumn("_p", 10 * F.log10(peak * peak / F.greatest(F.col("_m"), F.lit(1e-12))))
+    return one.groupBy(*clip, "region").agg(F.count("*").alias("frames"), *[f(c).alias(f"{n}_{w}") for n, c in (("mse", "_m"), ("psnr", "_p")) for w, f in (("mean", F.avg), ("sd", F.stddev_pop))])
+
+
+def composite(generated: DataFrame, transmitted: DataFrame, mask: DataFrame, place: list[str], value: str, flag: str) -> DataFrame:
+    """Transmitted values with the generated ones in their place where the mask is set and there is one; a place without a mask row is not masked."""
+    g = generated.select(*place, F.col(value).alias("_g"))
+    m = mask.select(*place, (F.col(flag) > 0).alias("_m"))
+    both = transmitted.join(m, place, "left").join(g, place, "left")
+    return both.withColumn(value, F.when(F.coalesce("_m", F.lit(False)) & F.col("_g").isNotNull(), F.col("_g")).otherwise(F.col(value))).drop("_g", "_m")
+
+
 def on_places(scores: DataFrame, values: DataFrame, place: list[str]) -> DataFrame:
     """Both sides of the places that both have: values outside of the score's grid are dropped."""
     return scores.join(values, place)

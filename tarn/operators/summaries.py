@@ -191,3 +191,11 @@ def single_key_sweeps(df: DataFrame, config: str, group: list[str] | None = None
 def fixed_bins(df: DataFrame, group: list[str], value: Column, width: float) -> DataFrame:
     """Counts by bins of one width from zero on, both ways; null values are in none."""
     return df.select(*group, F.floor(value / width).alias("bin")).where("bin IS NOT NULL").groupBy(*group, "bin").agg(F.count("*").alias("n"))
+
+
+def normalised(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """df with unit (min-max, 0 to 1) and z of value in its group; both are 0 where it does not vary, and null for a null value. Two passes, no window: a row for each group is joined back."""
+    s = df.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    both, v = ranks.same(df, s, group), F.col(value)
+    part = lambda top, bottom: F.when(v.isNotNull(), F.coalesce(F.try_divide(top, F.nullif(bottom, F.lit(0.0))), F.lit(0.0)))
+    return both.withColumn("unit", part(v - F.col("_lo"), F.col("_hi") - F.col("_lo"))).withColumn("z", F.when(F.col("_hi") == F.col("_lo"), v * 0.0).otherwise(part(v - F.col("_m"), F.col("_s")))).drop("_lo", "_hi", "_m", "_s")

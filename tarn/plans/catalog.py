@@ -354,4 +354,4 @@ def p20_z_score(spark, sf_dir):
     return m.join(F.broadcast(s)).select("n_nationkey", "n_name", F.round("m", 6).alias("mean"), F.round((F.col("m") - F.col("_a")) / F.nullif(F.col("_s"), F.lit(0.0)), 6).alias("z"))  # s is one row
 
 
-from tarn.plans import decisions, documents, fields, files, measures, reports, stencils, studies, verdicts  # noqa: E402, F401 - they register their queries here
+from tarn.plans import decisions, documents, fields, files, measures, products, reports, stencils, studies, verdicts  # noqa: E402, F401 - they register their queries here
