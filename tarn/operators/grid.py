@@ -248,6 +248,11 @@ def composite(generated: DataFrame, transmitted: DataFrame, mask: DataFrame, pla
     return both.withColumn(value, F.when(F.coalesce("_m", F.lit(False)) & F.col("_g").isNotNull(), F.col("_g")).otherwise(F.col(value))).drop("_g", "_m")
 
 
+def whole_blocks(df: DataFrame, size: int, height: int, width: int) -> DataFrame:
+    """Places (by, bx) of a grid of height x width that lie in whole blocks of size x size; what is left over at the edges is cropped."""
+    return df.where((F.col("by") < height // size * size) & (F.col("bx") < width // size * size))
+
+
 def on_places(scores: DataFrame, values: DataFrame, place: list[str]) -> DataFrame:
     """Both sides of the places that both have: values outside of the score's grid are dropped."""
     return scores.join(values, place)

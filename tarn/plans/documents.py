@@ -93,9 +93,9 @@ def s21_replayable(spark, sf_dir):
     return store.replayable(r, store.artifact_rows(_docs(spark, sf_dir), "event_id"), "event_id", ["event_type", "user_id"], ["block_ssim", "output_video"])
 
 
-@query("SELECT o_orderpriority, o_orderstatus, min(o_orderkey) AS o_orderkey, arg_min(o_totalprice, o_orderkey) AS o_totalprice FROM orders WHERE o_totalprice > 100000 GROUP BY 1, 2")
+@query("SELECT o_orderpriority, o_orderstatus, min(o_orderkey) AS o_orderkey, arg_min(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1, 2")
 def s22_first_runs(spark, sf_dir):
-    o = load(spark, sf_dir, "orders").where("o_totalprice > 100000").select("o_orderpriority", "o_orderstatus", "o_orderkey", "o_totalprice")
+    o = load(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus", "o_orderkey", "o_totalprice")
     return store.first_of(o, ["o_orderpriority", "o_orderstatus"], ["o_orderkey"])
 
 

@@ -103,7 +103,7 @@ def a31_a34_block_error(spark, sf_dir):
     """Error and clipped share of whole blocks of 4 x 4; what is left over at the edge is cropped."""
     from tarn.functions.scalar import psnr
 
-    b = blocks(spark, sf_dir).where("`by` < 12 AND bx < 8").withColumn("e", F.col("w") * F.col("w"))
+    b = grid.whole_blocks(blocks(spark, sf_dir), 4, 12, 10).withColumn("e", F.col("w") * F.col("w"))
     by = b.groupBy(F.floor(F.col("by") / 4).cast("int").alias("sy"), F.floor(F.col("bx") / 4).cast("int").alias("sx"), "frame")
     clipped = F.avg(((F.col("w") <= 0.02) | (F.col("w") >= 0.08)).cast("double"))
     return by.agg(F.round(F.avg("e"), 9).alias("mse"), F.round(psnr(F.avg("e")), 5).alias("psnr"), F.round(clipped, 6).alias("clipped"))
