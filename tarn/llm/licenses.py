@@ -1,9 +1,11 @@
 """License scans by ordered signature rules.
 
 Several hundred regexes, a family of forms for each license; each runs only where the pieces that all its matches
-contain stand in the text. Detections are resolved in rule order: a detection that lies inside one of higher priority is suppressed.
+contain stand in the text: grants in prose, with names or short tags; keys of package data, quoted, assigned, in XML or in a table, with every operand
+of an expression; addresses; names with versions; sentences of the licenses' own texts. Detections are resolved in rule order: a detection that lies inside one of higher priority is suppressed.
 The four base phrases are counted by word position. Null and empty texts have no words, no labels and score 0;
-rows that repeat each give a row.
+rows that repeat each give a row; an empty table gives none; whole texts are scanned, however long; other columns are not read; of two detections of one
+span that of the family named first stays.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ _BASE_LABELS = list(BASE.values())
 
 #: label, names (regexes), tag of the package-data form, addresses
 FAMILIES = [
-    ("agpl", [r"gnu\s+affero\s+general\s+public\s+licen[cs]e", r"affero\s+gpl", r"agpl"], r"agpl-[13]\.0(?:-only|-or-later|\+)?", [r"gnu\.org/licenses/agpl"]),
-    ("lgpl", [r"gnu\s+(?:lesser|library)\s+general\s+public\s+licen[cs]e", r"lesser\s+gpl", r"lgpl"], r"lgpl-(?:2\.0|2\.1|3\.0)(?:-only|-or-later|\+)?", [r"gnu\.org/licenses/(?:old-licenses/)?lgpl"]),
+    ("agpl", [r"gnu\s+affero\s+general\s+public\s+licen[cs]e", r"affero\s+gpl", r"agpl(?:[\s-]?v?[13](?:\.0)?\+?)?"], r"agpl-[13]\.0(?:-only|-or-later|\+)?", [r"gnu\.org/licenses/agpl"]),
+    ("lgpl", [r"gnu\s+(?:lesser|library)\s+general\s+public\s+licen[cs]e", r"lesser\s+gpl", r"lgpl(?:[\s-]?v?[23](?:\.[01])?\+?)?"], r"lgpl-(?:2\.0|2\.1|3\.0)(?:-only|-or-later|\+)?", [r"gnu\.org/licenses/(?:old-licenses/)?lgpl"]),
     ("gfdl", [r"gnu\s+free\s+documentation\s+licen[cs]e", r"gfdl"], r"gfdl-1\.[123](?:-only|-or-later)?", [r"gnu\.org/licenses/fdl"]),
-    ("gpl", [r"gnu\s+general\s+public\s+licen[cs]e", r"gnu\s+gpl", r"gpl"], r"gpl-[123]\.0(?:-only|-or-later|\+)?", [r"gnu\.org/licenses/(?:old-licenses/)?gpl"]),
+    ("gpl", [r"gnu\s+general\s+public\s+licen[cs]e", r"gnu\s+gpl", r"gpl(?:[\s-]?v?[123](?:\.0)?\+?)?"], r"gpl-[123]\.0(?:-only|-or-later|\+)?", [r"gnu\.org/licenses/(?:old-licenses/)?gpl"]),
     ("apache-1.1", [r"apache\s+software\s+licen[cs]e,?\s+v(?:ersion)?\s*1\.[01]"], r"apache-1\.[01]", [r"apache\.org/licenses/license-1\.1"]),
     ("apache-2.0", [r"apache\s+licen[cs]e,?\s+v(?:ersion)?\.?\s*2(?:\.0)?", r"apache\s+2\.0"], r"apache-2\.0", [r"apache\.org/licenses/license-2\.0"]),
     ("apache", [r"apache\s+(?:software\s+)?licen[cs]e", r"asl\s+2"], r"apache", [r"apache\.org/licenses"]),
@@ -82,6 +84,8 @@ FAMILIES = [
 ]
 _LEAD = r"(?:licen[cs]ed|released|distributed|available|published|provided)\s+(?:\w+\s+){0,3}under\s+(?:the\s+)?(?:terms\s+(?:and\s+conditions\s+)?of\s+)?(?:the\s+)?"
 _VERSION = r",?\s+v(?:ersion)?\.?\s*\d+(?:\.\d+)*(?:\s*,?\s*or\s+(?:\(at\s+your\s+option\)\s+)?(?:any\s+)?later(?:\s+version)?)?"
+#: The key of package data in its notations: bare, quoted, an assignment, a table with a text.
+_KEY = r"(?:spdx-license-identifier|licen[cs]e)[\"']?\s*[:=]\s*(?:\{\s*[\"']?(?:text|type|name)[\"']?\s*[:=]\s*)?"
 #: Confidence that a detection of each form is a grant.
 FORMS = {"grant": 0.95, "tag": 0.98, "address": 0.9, "version": 0.85, "name": 0.6}
 #: Sentences of the licenses' own texts, most of which do not name them: label and words. Three dots stand for up to six words.
@@ -164,7 +168,8 @@ def _rules() -> list[tuple[tuple[int, int], str, float, list[tuple[str, ...]], r
     out = []
     for place, (label, names, tag, addresses) in enumerate(FAMILIES):
         forms = [("grant", _LEAD + n + rf"(?:\s+licen[cs]e)?(?:{_VERSION})?") for n in names] + [("grant", sentence(words)) for of, words in TEXTS if of == label]
-        forms += [("tag", rf"(?:spdx-license-identifier|license)\s*[:=]\s*[\"']?{tag}\b")]
+        forms += [("tag", rf"{_KEY}[\"'(]*{tag}\b"), ("tag", rf"<licen[cs]e(?:\s[^<>]{{0,80}})?>\s*(?:<name>\s*)?{tag}\b"), ("tag", rf"{_KEY}[\"'(]*[^\n\"'<>]{{1,160}}[\s)](?:and|or)\s+\(*({tag})(?![\w.-])")]
+        forms += [("grant", rf"{_LEAD}{tag}(?![\w-]|\.\w)"), ("grant", rf"\b{tag}[\s-]+licen[cs]ed\b")]
         forms += [("address", rf"https?://(?:www\.)?{a}[^\s\"')]*") for a in addresses]
         forms += [("version", rf"\b{n}{_VERSION}") for n in names] + [("name", rf"\b{n}\b") for n in names]
         out += [((place, i), label, FORMS[f], needed(parser.parse(r)), re.compile(r, re.I | re.A)) for i, (f, r) in enumerate(forms)]
@@ -186,7 +191,8 @@ def candidates(low: str) -> list[tuple]:
 
 def detections(text: str, low: str) -> list[tuple[int, int, str, float]]:
     """Spans (start, end, label, confidence) that stay after suppression by containment."""
-    found = [(p, m.start(), m.end(), label, conf) for p, label, conf, _, rx in candidates(low) for m in rx.finditer(text)]
+    # a rule with a group finds what the group holds: an operand, not the expression before it
+    found = [(p, *m.span(rx.groups), label, conf) for p, label, conf, _, rx in candidates(low) for m in rx.finditer(text)]
     kept: list[tuple[int, int, str, float]] = []
     # the spans kept that no other one contains: starts and ends both rise
     starts: list[int] = []
