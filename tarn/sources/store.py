@@ -287,6 +287,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder with all in it, wherever Spark's file system is; one that is not there is no error."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def export_tree(docs: DataFrame, folder: str, key: str = "key", raw: str = "doc_raw") -> None:
     """Writes each document's text and a line feed into a folder of its key."""
     docs.select(F.col(key).alias("key"), F.col(raw).alias("value")).write.partitionBy("key").text(folder)
