@@ -4,8 +4,8 @@ Texts of the same words are one class from the start. For the others, each of BA
 smallest occurrence-labelled shingles of a text, of five words or of three, and keeps their text order; texts that
 agree in a band's sample are candidates. One changed word spoils every shingle that holds it: at 20 scattered changes
 in 100 words a third of the five-word shingles stay and half of those of three, so the latter carry pairs close to
-the threshold (of pairs at an edit similarity of 0.80 to 0.82 about 0.96 agree in a band, from 0.84 on 0.98 and more;
-with 16 bands of five words alone it was 0.50), the former those that share a long passage. A pair is linked if a banded alignment of its words finds an edit similarity
+the threshold (of pairs at an edit similarity of 0.80 to 0.82 about 0.95 agree in a band, from 0.82 on 0.97 and more;
+with 16 bands of five words alone it was 0.51), the former those that share a long passage. A pair is linked if a banded alignment of its words finds an edit similarity
 (1 - edits / words of the longer text) of at least `least`. Classes are the connected components of the links.
 Before the alignment a MinHash signature of occurrence-labelled words, which any linked pair shares to two thirds
 at 0.8, rules out pairs that no alignment can link.
