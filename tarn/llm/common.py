@@ -9,7 +9,7 @@ from array import array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.sources.store import shared_folder, written  # noqa: F401 - the operators take them from here
+from tarn.sources.store import delete_folder, shared_folder, written  # noqa: F401 - the operators take them from here
 
 #: Contract word classes. Words of rule W are runs of digits, ASCII letters and non-ASCII characters.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -22,6 +22,14 @@ PY_WORD = re.compile(WORD)
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more: whatever was made from them is written itself."""
+    for t in tables:
+        files = t.inputFiles()
+        if files:
+            delete_folder(t.sparkSession, files[0].rsplit("/", 1)[0])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_words, written
+from .common import byte_words, forget, written
 
 #: Words of a shingle, shingles of a sample, and bands of each family.
 FAMILIES = ((5, 2, 8), (3, 2, 20))
@@ -64,7 +64,7 @@ class _Hashes(dict):
     """Hash of each word, emptied when it holds many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -382,14 +382,17 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     first = written(
         dealt.repartition("band", "block").sortWithinPartitions("band", "block").mapInPandas(_forest(least), "a binary, b binary").distinct()
     )
-    links = written(verified(docs, reps, first, least))
+    links = verified(docs, reps, first, least)
     classes = components(links)
 
     known = members.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("cls", F.coalesce("cls", "key"))
     known = written(known)
+    forget(members)
     sizes = known.groupBy("band", "cls").agg(F.count("*").alias("_c")).groupBy("band").agg(F.max(F.struct("_c", "cls")).alias("_main"), F.count("*").alias("_classes"), F.sum("_c").alias("_all"))
-    split = written(known.join(written(sizes.where("_classes > 1")), "band"))
-    split = written(split.join(reps.select("key", "tally", "bands"), "key"))
+    parted = written(known.join(written(sizes.where("_classes > 1")), "band"))
+    forget(known)
+    split = written(parted.join(reps.select("key", "tally", "bands"), "key"))
+    forget(parted)
     odd = F.col("cls") != F.col("_main.cls")
     odds = F.greatest(F.lit(1), F.ceil((F.col("_all") - F.col("_main._c")) / BLOCK)).cast("int")
     own = F.pmod(F.xxhash64(F.lit(5), "key"), odds).cast("int")
@@ -401,8 +404,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
         .mapInPandas(_between(least), "a binary, b binary").distinct()
     )
     second = written(more.join(first, ["a", "b"], "left_anti"))
+    forget(split, first)
     if second.limit(1).count():
-        extra = written(verified(docs, reps, second, least))
+        extra = verified(docs, reps, second, least)
         if extra.limit(1).count():
             classes = components(links.unionByName(extra))
     named = reps.select("key", "exact_id").join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("cls", F.coalesce("cls", "key"))
@@ -426,7 +430,9 @@ def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, least: float) -
     dealt = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64(F.lit(7), "b"), F.col("_of")).cast("int").alias("_block"))
     b = texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
     a = texts.select(F.col("key").alias("a"), F.col("text").alias("ta")).join(blocks, "a").select("a", "ta", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)).alias("_block"))
-    return dealt.join(b, "b").join(a, ["a", "_block"]).select("a", "b", "ta", "tb").mapInPandas(_verify(least), "a binary, b binary, similarity double")
+    found = written(dealt.join(b, "b").join(a, ["a", "_block"]).select("a", "b", "ta", "tb").mapInPandas(_verify(least), "a binary, b binary, similarity double"))
+    forget(texts)
+    return found
 
 
 def one_of_each(docs: DataFrame, least: float = 0.8) -> DataFrame:
