@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 from array import array
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,18 @@ PY_WORD = re.compile(WORD)
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Within it, Python workers get at most so many rows at once; for steps that are run inside, not for plans that leave it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more: whatever was made from them is written itself."""
     for t in tables:

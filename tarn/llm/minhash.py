@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_words, forget, written
+from .common import batches_of, byte_words, forget, written
 
 #: Words of a shingle, shingles of a sample, and bands of each family.
 FAMILIES = ((5, 2, 8), (3, 2, 20))
@@ -44,6 +44,8 @@ SURE = 104
 COUNTERS = (128, 512, 2048)
 #: Members of a block of a bucket, hubs that all of its blocks see, and pairs of one text that a task gets together.
 BLOCK, HUBS, PAIRS = 256, 24, 256
+#: Rows that a Python worker gets at once: a row can hold a text, or 4 kB of counts.
+ROWS = 1500
 _LAST = np.uint64((1 << 64) - 1)
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -363,6 +365,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, key (of the words), cls (of the class), exact_id and class_id: the smallest doc_id of equal words and of the class."""
+    with batches_of(docs.sparkSession, ROWS):
+        return _classes(docs, least)
+
+
+def _classes(docs: DataFrame, least: float) -> DataFrame:
     marked = written(docs.select("doc_id", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("th"), F.pandas_udf(_marks, "key binary, n int, bands array<long>, sig binary, tally binary")("text").alias("_m")).select("doc_id", "th", "_m.*"))
     reps = written(
         marked.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "th")).alias("_r"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("tally").alias("tally"))
