@@ -114,3 +114,21 @@ def test_coinciding_rows_form_fewer_clusters(spark):
     got = clusters.covered(df, "k", ["x", "y"], 4).collect()
     assert [(r.members, r.radius, r.worst, r.formed, r.asked) for r in got] == [(5, 0.0, 0.0, 2, 4)] * 2
     assert clusters.covered(df.where("k < 0"), "k", ["x", "y"], 4).collect() == []
+
+
+def rounds_of(monkeypatch):
+    taken, numbered = [], clusters.ranks.numbered
+    monkeypatch.setattr(clusters.ranks, "numbered", lambda *a: (taken.append(1), numbered(*a))[1])
+    monkeypatch.setattr(clusters, "FIRST", 64)
+    monkeypatch.setattr(clusters, "MOST", 64)
+    return taken
+
+
+def test_medoids_of_many_dimensions_see_few_candidates(spark, monkeypatch):
+    taken = rounds_of(monkeypatch)
+    x = np.random.default_rng(5).normal(size=(900, 64))
+    x[7] *= 0.6
+    df = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(x)], "g string, k int, v array<double>")
+    got = vectors.medoids(df.repartition(4), "g", "k", "v").first()
+    key, radius = brute_medoid(list(range(900)), x)
+    assert (got.medoid, got.n) == (key, 900) and got.radius == pytest.approx(radius) and len(taken) <= 2
