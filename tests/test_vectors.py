@@ -132,3 +132,11 @@ def test_medoids_of_many_dimensions_see_few_candidates(spark, monkeypatch):
     got = vectors.medoids(df.repartition(4), "g", "k", "v").first()
     key, radius = brute_medoid(list(range(900)), x)
     assert (got.medoid, got.n) == (key, 900) and got.radius == pytest.approx(radius) and len(taken) <= 2
+
+def test_clusters_of_copies_see_few_candidates(spark, monkeypatch):
+    taken = rounds_of(monkeypatch)
+    x = np.random.default_rng(6).normal(size=(60, 2)).round(3)
+    rows = [(i + 1000 * c, float(a), float(b)) for c in range(20) for i, (a, b) in enumerate(x)]
+    got = clusters.covered(spark.createDataFrame(rows, "k int, x double, y double"), "k", ["x", "y"], 1).collect()
+    key, radius = brute_medoid(list(range(60)), (x - x.mean(0)) / x.std(0))
+    assert [(r.probe, r.members) for r in got] == [(key, 1200)] and got[0].radius == pytest.approx(radius) and len(taken) == 1
