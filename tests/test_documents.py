@@ -100,3 +100,21 @@ def test_noise_ladder_rises(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 5)))], "id long, v array<double>")
     got = sorted(map(tuple, vectors.noise_ladder(df, "id", "v", [0.01, 0.05, 0.2]).collect()))
     assert [x[0] for x in got] == [0.01, 0.05, 0.2] and all(x[2] for x in got)
+
+
+def test_documents_are_parsed_once_and_opened_to_any_depth(spark):
+    deep = '{"metrics": {"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h": 7}}}}}}}, "n": [NaN,-Infinity,"NaN, \\" NaN",1], "private": "", "bad": NaN, "x": 1}, "output_video": "o"}'
+    good, bad = store.parsed(spark.createDataFrame([("k", deep), ("open", '{"a": "NaN, NaN')], "key string, doc_raw string"))
+    assert [r.key for r in bad.collect()] == ["open"] and good.first().key == "k"
+    assert good.select(F.to_json(F.variant_get("doc", "$.metrics.n", "variant"))).first()[0] == '[null,null,"NaN, \\" NaN",1]'
+    assert sorted(map(tuple, store.metric_rows(good, "key").collect())) == [("k", "", "x", 1.0), ("k", "a.b.c.d.e.f.g", "h", 7.0)]
+    assert {r.path: r.value for r in store.flat_rows(good, "key").collect()}["metrics_a_b_c_d_e_f_g_h"] == "7"
+    plan = store.artifact_rows(good, "key")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parsejson") + plan.count("parse_json") == 1
+
+
+def test_specs_filter_reads_a_built_document_once(spark):
+    df = store.once(spark.createDataFrame([(1, "click"), (2, "view")], "k int, kind string"), "doc", F.parse_json(F.to_json(F.struct("kind"))))
+    kept, _ = store.specs(df, {"kind": "click"})
+    plan = kept._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert [r.k for r in kept.collect()] == [1] and plan.count("parsejson") + plan.count("parse_json") == 1
