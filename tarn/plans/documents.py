@@ -245,6 +245,6 @@ def u2_s9_fresh(spark, sf_dir):
 
 @query("SELECT event_id, user_id FROM events WHERE event_type = 'click' AND event_id % 3 <> 0")
 def p6_s19_specs(spark, sf_dir):
-    d = _docs(spark, sf_dir).withColumn("doc", F.parse_json(F.to_json(F.struct(F.try_variant_get("doc", "$.tags[0]", "string").alias("kind"), F.try_variant_get("doc", "$.user", "long").alias("user"), F.when(F.col("event_id") % 3 == 0, F.lit("old")).alias("retired")))))
+    d = store.once(_docs(spark, sf_dir), "doc", F.parse_json(F.to_json(F.struct(F.try_variant_get("doc", "$.tags[0]", "string").alias("kind"), F.try_variant_get("doc", "$.user", "long").alias("user"), F.when(F.col("event_id") % 3 == 0, F.lit("old")).alias("retired")))))
     kept, _ = store.specs(d, {"kind": "click"})
     return kept.select("event_id", F.try_variant_get("doc", "$.user", "long").alias("user_id"))
