@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,11 +151,12 @@ def sensitivity(df: DataFrame, cell: list[str], arm: str, score: str, thresholds
 
 
 def threshold_classes(df: DataFrame, cell: list[str], arm: str, score: str, thresholds: list[float]) -> DataFrame:
-    """class of each cell over thresholds: robust where its winner is named at every one of them, tight_only where it is named at the least
+    """class and held, the number of thresholds at which the winner is named, of each cell over thresholds: robust where its winner is named at every one of them, tight_only where it is named at the least
     and not at the largest, never where at none. A winner is named at a threshold that its lead reaches. The order of the scores does not depend on the threshold, so no
     cell names one winner at one threshold and another at the next.
     """
     held = lambda t: F.coalesce(F.col("margin") >= t - 1e-9, F.lit(False))
     t = sorted(thresholds)
     name = F.when(held(t[-1]), "robust").when(held(t[0]), "tight_only").otherwise("never")
-    return decide(df, cell, arm, score, 0.0).where("margin IS NOT NULL").select(*cell, "winner", name.alias("class"))
+    count = reduce(Column.__add__, [held(x).cast("long") for x in t])
+    return decide(df, cell, arm, score, 0.0).where("margin IS NOT NULL").select(*cell, "winner", name.alias("class"), count.alias("held"))

@@ -66,6 +66,12 @@ def test_threshold_classes(spark):
     assert classes([0.003]) == {"r": "robust", "t": "robust", "n": "never"}
 
 
+def test_threshold_classes_count_every_threshold(spark):
+    df = spark.createDataFrame([(c, a, s) for c, lead in (("r", 0.006), ("t", 0.004), ("u", 0.002), ("n", 0.0005)) for a, s in (("a", 0.0), ("b", lead))], "cell string, arm string, s double")
+    got = {r.cell: (r["class"], r.held) for r in frontier.threshold_classes(df, ["cell"], "arm", "s", [0.005, 0.001, 0.003]).collect()}
+    assert got == {"r": ("robust", 3), "t": ("tight_only", 2), "u": ("tight_only", 1), "n": ("never", 0)}
+
+
 def test_a_bitstream_votes_once(spark):
     bits = [(1.0, 5.0), (2.0, 4.2), (3.0, 2.9), (4.0, 2.1)]
     rows = [("c", f"s{i}", f"f{k}", x, y) for i, (x, y) in enumerate(bits) for k in range(30 if i == 3 else 1)] + [("up", f"s{i}", "f", float(i), float(i)) for i in range(4)] + [("two", "s0", "f", 1.0, 2.0), ("two", "s1", "f", 2.0, 1.0), ("c", "s9", "f", 9.0, None)]
