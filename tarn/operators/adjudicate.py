@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.operators import ranks, stats
+from tarn.sources.store import written
 
 
 def student_p(t: float, df: float) -> float:
@@ -88,11 +89,13 @@ def adjudicate(
     p_holm under alpha) or whose rank correlation with the number of cells is not under share times that with the outcome; an unknown one is not.
     attributes has a row for each unit; provenance is a condition on it. A unit without an attribute is left out of that attribute's tests alone.
     """
-    rates = outcome_rates(cells, unit, verdict, targets)
-    known = attributes.where(F.col(unit).isNotNull()).select(unit, provenance.cast("double").alias("_origin"), F.inline(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("double").alias("x")) for a in names])))
+    # a row for each unit and target, and for each unit: written, since many tests below start from them
+    rates = written(outcome_rates(cells, unit, verdict, targets))
+    attributes = written(attributes.where(F.col(unit).isNotNull()).select(unit, provenance.cast("double").alias("_origin"), *names))
+    known = attributes.select(unit, "_origin", F.inline(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("double").alias("x")) for a in names])))
     both = rates.join(known.where("x IS NOT NULL"), unit)
     subsets = F.array_compact(F.array(F.lit("all"), F.when(F.col("cells") >= min_cells, F.lit("thick")), F.when(~F.col(unit).isin(drop), F.lit("dropped")) if drop else F.lit("dropped")))
-    long = both.select("target", "attribute", unit, "x", F.col("rate").alias("y"), "cells", "_origin", F.explode(subsets).alias("subset"))
+    long = written(both.select("target", "attribute", unit, "x", F.col("rate").alias("y"), "cells", "_origin", F.explode(subsets).alias("subset")))
     group = ["target", "subset", "attribute"]
     counts = long.groupBy(*group).agg(F.count("*").alias("n"))
     tested = ranks.same(long, counts.where("n >= 3").drop("n"), group)
@@ -109,7 +112,7 @@ def adjudicate(
     all_ = long.where("subset = 'all'")
     coverage = stats.spearman(all_, ["target", "attribute"], "x", "cells", 2).select("target", "attribute", F.col("rho").alias("coverage_rho"))
     origin = stats.spearman(all_, ["target", "attribute"], "x", "_origin", 3).select("target", "attribute", F.col("rho").alias("provenance_rho"))
-    units = rates.join(attributes.where(F.col(unit).isNotNull()).select(unit, provenance.cast("double").alias("_origin")), unit)
+    units = rates.join(attributes.select(unit, "_origin"), unit)
     outcome = stats.spearman(units, ["target"], "rate", "cells", 2).select("target", F.col("rho").alias("outcome_coverage_rho"))
     by_origin = stats.permutation(units, ["target"], unit, "_origin", "rate", permutations, seed).select("target", F.col("rho").alias("outcome_provenance_rho"), F.when(F.col("rho").isNotNull(), F.col("p")).alias("outcome_provenance_p"))
     thick = scan.where("subset = 'thick'").select("target", "attribute", F.col("n").alias("thick_n"), F.col("rho").alias("thick_rho"), F.col("p_holm").alias("thick_p_holm"))

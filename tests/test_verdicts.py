@@ -155,3 +155,18 @@ def test_block_damage_pools_before_db(spark):
         assert r.damage == pytest.approx(10 * np.log10(a / b)) and r.strength_share == pytest.approx(pooled(level[r.frame] > 0, r.sy, r.sx))
     table = spark.createDataFrame([("x", 0.9, 1.0), ("x", 0.9, 3.0), ("x", 0.0, 0.5), ("y", 0.2, 9.0)], "g string, strength_share double, damage double")
     assert [tuple(r) for r in audits.damage_summary(table, "g").collect()] == [("x", 2, 2.0, 0.5, pytest.approx(1.6))]
+
+
+def test_adjudication_reads_its_cells_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    cells = [(f"u{u}", "won" if k < u else "lost") for u in range(8) for k in range(8)]
+    df = spark.createDataFrame(cells, "unit string, verdict string").mapInPandas(counted, "unit string, verdict string")
+    at = spark.createDataFrame([(f"u{u}", float(u)) for u in range(8)], "unit string, x double")
+    scan, final = adjudicate.adjudicate(df, "unit", "verdict", {"wins": (["won"], ["won", "lost"])}, at, ["x"], F.col("unit") == "u1", [], permutations=20)
+    assert [r.rho for r in scan.where("subset = 'all'").collect()] == [pytest.approx(1.0)] and final.count() == 1 and read.value == len(cells)
