@@ -140,3 +140,17 @@ def test_clusters_of_copies_see_few_candidates(spark, monkeypatch):
     got = clusters.covered(spark.createDataFrame(rows, "k int, x double, y double"), "k", ["x", "y"], 1).collect()
     key, radius = brute_medoid(list(range(60)), (x - x.mean(0)) / x.std(0))
     assert [(r.probe, r.members) for r in got] == [(key, 1200)] and got[0].radius == pytest.approx(radius) and len(taken) == 1
+
+
+def test_clusters_read_their_table_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    df = spark.range(200).select(F.col("id").alias("k"), counted(F.col("id").cast("double")).alias("x")).withColumn("y", F.col("k") % 7)
+    assert [r.members for r in clusters.covered(df, "k", ["x", "y"], 2).collect()]
+    # one pass, in which the filter and the column ask for it; three before
+    assert seen.value <= 400
