@@ -44,6 +44,8 @@ SURE = 104
 COUNTERS = (128, 512, 2048)
 #: Members of a block of a bucket, hubs that all of its blocks see, and pairs of one text that a task gets together.
 BLOCK, HUBS, PAIRS = 256, 24, 256
+#: Words that are sketched together, about, and cells of a block of hash functions by words.
+TOGETHER, CELLS = 16_384, 16_384
 _LAST = np.uint64((1 << 64) - 1)
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -88,11 +90,15 @@ def shingles(h: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def labelled(h: np.ndarray) -> np.ndarray:
-    """Hashes of the values with their occurrence: the first, the second ... of each."""
+def labelled(h: np.ndarray, text: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the values with their occurrence: the first, the second ... of each, in each text where several lie one after another."""
     order = np.argsort(h, kind="stable")
     s = h[order]
-    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    new = s[1:] != s[:-1]
+    if text is not None:
+        t = text[order]
+        new |= t[1:] != t[:-1]
+    first = np.flatnonzero(np.r_[True, new])
     nth = np.arange(len(s)) - np.repeat(first, np.diff(np.r_[first, len(s)]))
     out = np.empty_like(h)
     with np.errstate(over="ignore"):
@@ -100,29 +106,68 @@ def labelled(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(words: np.ndarray) -> tuple[list[int], bytes]:
-    """Band keys of the shingles and the signature of the words."""
-    keys, least = [], []
-    # in 32 bits, which processors multiply several at a time
-    short = (labelled(words) >> np.uint64(32)).astype(np.uint32)
+def _band_keys(marked: np.ndarray, most: int, low: int, end: int) -> list[int]:
+    """Keys of bands low to end from a text's marked shingles."""
+    keys, pick, step = [], min(most, len(marked)), max(1, CELLS // len(marked))
+    with np.errstate(over="ignore"):
+        for k in range(low, end, step):
+            seeds = slice(k, min(k + step, end))
+            x = marked[None, :] ^ _SEEDS[seeds, None]
+            x *= _ODD[seeds, None]
+            at, row = np.empty((len(x), pick), np.int64), np.arange(len(x))
+            for p in range(pick):
+                at[:, p] = x.argmin(axis=1)
+                x[row, at[:, p]] = _LAST
+            at.sort(axis=1)
+            keys += [xxhash.xxh64_intdigest(m.tobytes(), seed=k + i) - (1 << 63) for i, m in enumerate(marked[at])]
+    return keys
+
+
+def _least(short: np.ndarray) -> np.ndarray:
+    """The least of each hash function over a text's marked words, in 32 bits, which processors multiply several at a time."""
+    least = []
+    # a few hash functions at once, so that a block of values stays in the cache
+    step = max(1, CELLS // len(short))
     with np.errstate(over="ignore"):
-        for size, most, bands in FAMILIES:
-            marked = labelled(shingles(words, size))
-            pick = min(most, len(marked))
-            for b in range(len(keys), len(keys) + bands):
-                x = (marked ^ _SEEDS[b]) * _ODD[b]
-                at = []
-                for _ in range(pick):
-                    at.append(int(x.argmin()))
-                    x[at[-1]] = _LAST
-                at.sort()
-                keys.append(xxhash.xxh64_intdigest(marked[at].tobytes(), seed=b) - (1 << 63))
-        # a few hash functions at once, so that a block of values stays in the cache
-        step = max(1, 16_384 // len(short))
         for j in range(BANDS, BANDS + SIGNATURE, step):
-            end = min(j + step, BANDS + SIGNATURE)
-            least.append(((short[None, :] ^ _SEEDS32[j:end, None]) * _ODD32[j:end, None]).min(axis=1))
-    return keys, (mix(np.concatenate(least).astype(np.uint64)) & np.uint64(255)).astype(np.uint8).tobytes()
+            seeds = slice(j, min(j + step, BANDS + SIGNATURE))
+            x = short[None, :] ^ _SEEDS32[seeds, None]
+            x *= _ODD32[seeds, None]
+            least.append(x.min(axis=1))
+    return np.concatenate(least)
+
+
+def sketches(texts: list[np.ndarray]) -> list[tuple[list[int], bytes]]:
+    """Band keys of the shingles and the signature of the words of each text, none of them empty.
+
+    Shingles and occurrences are found for all texts at once, laid one after another: for short ones a call costs more than its work.
+    """
+    size = np.array([len(t) for t in texts])
+    ends = np.cumsum(size)
+    words, text = np.concatenate(texts), np.repeat(np.arange(len(texts)), size)
+    keys = [[] for _ in texts]
+    for width, most, bands in FAMILIES:
+        found = [None] * len(texts)
+        # a shingle belongs to the text in which it ends; texts of fewer words than a shingle are one
+        whole = size >= width
+        if whole.any():
+            at = np.flatnonzero(text[: len(words) - width + 1] == text[width - 1 :])
+            marked = labelled(shingles(words, width)[at], text[at])
+            parts = np.split(marked, np.cumsum(size[whole] - width + 1)[:-1])
+            for i, part in zip(np.flatnonzero(whole).tolist(), parts):
+                found[i] = part
+        for i in np.flatnonzero(~whole).tolist():
+            found[i] = labelled(shingles(texts[i], width))
+        for mine, part in zip(keys, found):
+            mine += _band_keys(part, most, len(mine), len(mine) + bands)
+    short = np.split((labelled(words, text) >> np.uint64(32)).astype(np.uint32), ends[:-1])
+    least = mix(np.stack([_least(t) for t in short]).astype(np.uint64)) & np.uint64(255)
+    return list(zip(keys, map(bytes, least.astype(np.uint8))))
+
+
+def sketch(words: np.ndarray) -> tuple[list[int], bytes]:
+    """sketches() of one text."""
+    return sketches([words])[0]
 
 
 def tally(words: np.ndarray) -> bytes:
@@ -151,12 +196,25 @@ def shared_words(tallies: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarr
 
 
 def _marks(texts: pd.Series) -> pd.DataFrame:
-    out = []
+    out, waiting, n_words = [], [], 0
+
+    def flush():
+        for (i, _), found in zip(waiting, sketches([h for _, h in waiting]) if waiting else []):
+            out[i] = (*out[i][:2], *found, out[i][2])
+
     for t in texts:
         words = byte_words(t)
-        key = hashlib.blake2b(b"\0".join(words), digest_size=16).digest()
         hashed = word_hashes(words)
-        out.append((key, len(words), *(sketch(hashed) if words else ([], b"")), tally(hashed)))
+        out.append((hashlib.blake2b(b"\0".join(words), digest_size=16).digest(), len(words), tally(hashed)))
+        if words:
+            waiting.append((len(out) - 1, hashed))
+            n_words += len(words)
+        else:
+            out[-1] = (*out[-1][:2], [], b"", out[-1][2])
+        if n_words >= TOGETHER:
+            flush()
+            waiting, n_words = [], 0
+    flush()
     return pd.DataFrame(out, columns=["key", "n", "bands", "sig", "tally"])
 
 
