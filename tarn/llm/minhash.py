@@ -30,7 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_words, written
+from tarn.sources.store import delete_folder
+
+from .common import byte_words, shared_folder, written
 
 #: Words of a shingle, shingles of a sample, and bands of each family.
 FAMILIES = ((5, 2, 8), (3, 2, 20))
@@ -421,22 +423,28 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, key (of the words), cls (of the class), exact_id and class_id: the smallest doc_id of equal words and of the class."""
-    marked = written(docs.select("doc_id", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("th"), F.pandas_udf(_marks, "key binary, n int, bands array<long>, sig binary, tally binary")("text").alias("_m")).select("doc_id", "th", "_m.*"))
+    spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
+    marked = docs.select("doc_id", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("th"), F.pandas_udf(_marks, "key binary, n int, bands array<long>, sig binary, tally binary")("text").alias("_m")).select("doc_id", "th", "_m.*")
+    marked.write.parquet(folder)
+    marked = spark.read.schema(marked.schema).parquet(folder)
     reps = written(
         marked.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "th")).alias("_r"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("tally").alias("tally"))
         .select("key", F.col("_r.doc_id").alias("exact_id"), "_r.th", "n", "bands", "sig", "tally")
     )
+    # of all rows, only the keys are needed on; their sketches are those of reps
+    ids = written(marked.select("doc_id", "key"))
+    delete_folder(spark, folder)
     bands = reps.where("n > 0").select("key", F.explode("bands").alias("band"))
     # counts are written, so that Spark can split a hot bucket in the join
     counts = written(bands.groupBy("band").count().where("count > 1"))
-    # signatures join those rows alone that share a bucket
-    members = written(bands.join(counts, "band").join(reps.select("key", "n", "sig"), "key"))
+    # rows that share a bucket; signatures, which are long and do not compress, join them on the way to their block and are never written
+    members = written(bands.join(counts, "band"))
 
     blocks = F.greatest(F.lit(1), F.ceil(F.col("count") / BLOCK)).cast("int")
     # the hubs of a bucket are its smallest keys, about: keys are hashes
     hub = (blocks > 1) & (F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("double") * F.col("count") < float(HUBS << 32))
     block = F.pmod(F.xxhash64(F.lit(3), "key"), blocks).cast("int")
-    dealt = members.select("band", "key", "n", "sig", F.explode(F.when(hub, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(block))).alias("block"))
+    dealt = members.join(reps.select("key", "n", "sig"), "key").select("band", "key", "n", "sig", F.explode(F.when(hub, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(block))).alias("block"))
     first = written(
         dealt.repartition("band", "block").sortWithinPartitions("band", "block").mapInPandas(_forest(least), "a binary, b binary").distinct()
     )
@@ -446,16 +454,17 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     known = members.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("cls", F.coalesce("cls", "key"))
     known = written(known)
     sizes = known.groupBy("band", "cls").agg(F.count("*").alias("_c")).groupBy("band").agg(F.max(F.struct("_c", "cls")).alias("_main"), F.count("*").alias("_classes"), F.sum("_c").alias("_all"))
-    split = written(known.join(written(sizes.where("_classes > 1")), "band"))
-    split = written(split.join(reps.select("key", "tally", "bands"), "key"))
+    split = known.join(written(sizes.where("_classes > 1")), "band").join(reps.select("key", "n", "sig", "tally", "bands"), "key")
     odd = F.col("cls") != F.col("_main.cls")
     odds = F.greatest(F.lit(1), F.ceil((F.col("_all") - F.col("_main._c")) / BLOCK)).cast("int")
     own = F.pmod(F.xxhash64(F.lit(5), "key"), odds).cast("int")
-    rows = ["band", "key", "n", "sig", "tally", "bands", "cls"]
-    every = split.select(*rows, F.lit(0).alias("role"), block.alias("block"), F.explode(F.sequence(F.lit(0), odds - 1)).alias("odd"))
-    stray = split.where(odd).select(*rows, F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), own.alias("odd"))
+    # each member in its block beside each heap of stragglers, and each straggler in its heap beside each block
+    place = lambda role, block, odd: F.struct(F.lit(role).alias("role"), block.alias("block"), odd.alias("odd"))
+    every = F.transform(F.sequence(F.lit(0), odds - 1), lambda o: place(0, block, o))
+    stray = F.when(odd, F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: place(1, b, own))).otherwise(F.slice(every, 1, 0))
+    placed = split.select("band", "key", "n", "sig", "tally", "bands", "cls", F.inline(F.concat(every, stray)))
     more = (
-        every.unionByName(stray).repartition("band", "block", "odd").sortWithinPartitions("band", "block", "odd")
+        placed.repartition("band", "block", "odd").sortWithinPartitions("band", "block", "odd")
         .mapInPandas(_between(least), "a binary, b binary").distinct()
     )
     second = written(more.join(first, ["a", "b"], "left_anti"))
@@ -467,7 +476,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     named = written(named)
     least_id = written(named.groupBy("cls").agg(F.min("exact_id").alias("class_id")))
     names = written(named.join(least_id, "cls").select("key", "cls", "exact_id", "class_id"))
-    return marked.select("doc_id", "key").join(names, "key").select("doc_id", "key", "cls", "exact_id", "class_id")
+    return ids.join(names, "key").select("doc_id", "key", "cls", "exact_id", "class_id")
 
 
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, least: float) -> DataFrame:

@@ -1,7 +1,10 @@
-"""Sketches of many texts against those of each by the definition."""
+"""Sketches of many texts against those of each by the definition; what the operator leaves on disk."""
+
+import glob
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import xxhash
 
 from tarn.llm import minhash as m
@@ -29,3 +32,16 @@ def test_sketches_of_many_texts_are_those_of_each():
     assert got == [m.sketch(h) for h in hashed]
     marks = m._marks(pd.Series([None, *texts, ""]))
     assert list(zip(marks["bands"], marks["sig"])) == [([], b""), *got, ([], b"")]
+
+
+def test_sketches_are_written_once(spark):
+    rng = np.random.default_rng(5)
+    base = [" ".join(f"w{i}" for i in rng.integers(0, 5000, 120)) for _ in range(20)]
+    rows = [(10 * i + c, t.rsplit(" ", c)[0]) for i, t in enumerate(base) for c in range(4)]
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(glob.glob(f"{folder}/tarn-*"))
+    found = m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in found) == sorted((d, d // 10 * 10) for d, _ in rows)
+    # the sketches of all rows are gone, those of the representatives are in one table and beside no bucket
+    held = [f for f in set(glob.glob(f"{folder}/tarn-*")) - before if any("sig" in pq.read_schema(p).names for p in glob.glob(f"{f}/*.parquet"))]
+    assert len(held) == 1
