@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions.scalar import sign_test_floor, sign_test_p
 from tarn.operators import ranks
+from tarn.sources.store import written
 
 
 def correlation(x: str, y: str) -> Column:
@@ -110,7 +111,8 @@ def permutation(df: DataFrame, group: list[str], key: str, x: str, y: str, permu
     """Two-tailed permutation p of Spearman's rho, (hits + 1) / (permutations + 1)."""
     known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, key, F.col(x).alias("_vx"), F.col(y).alias("_vy"))
     both = ranks.ranked(ranks.ranked(known, group, "_vx", "_x"), group, "_vy", "_y")
-    both = ranks.numbered(both, group, [key], "_i").select(*group, "_i", "_x", "_y")
+    # written, since three branches start from it: each would join ranks and numbers anew, by broadcasts through the driver
+    both = written(ranks.numbered(both, group, [key], "_i").select(*group, "_i", "_x", "_y"))
     seen = both.groupBy(*group).agg(correlation("_x", "_y").alias("rho"))
     reps = both.select(*group, F.col("_i").alias("_from"), "_x", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("_rep"))
     order = [draw(seed, *[F.col(g) for g in group], F.col("_rep"), F.col("_from")), F.col("_from")]

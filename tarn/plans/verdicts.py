@@ -127,7 +127,8 @@ sc AS (SELECT pp.*, ph, CASE WHEN pp.n < 6 THEN 'descriptive' WHEN coalesce(abs(
 
 def _adjudicated(spark, sf_dir):
     o, c, n = load(spark, sf_dir, "orders"), load(spark, sf_dir, "customer"), load(spark, sf_dir, "nation")
-    e = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    # customers grow with the input: merged, since a broadcast of all would pass through the driver
+    e = o.join(c.hint("merge"), o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     status = F.col("o_orderstatus")
     cells = e.select(F.col("n_name").alias("unit"), F.when(status == "F", "won").when(status == "O", "lost").otherwise("open").alias("verdict"))
     likely = F.when((F.col("o_orderkey") % 4 < 3) & status.isin("F", "O"), (status == "F").cast("double"))

@@ -170,3 +170,18 @@ def test_adjudication_reads_its_cells_once(spark):
     at = spark.createDataFrame([(f"u{u}", float(u)) for u in range(8)], "unit string, x double")
     scan, final = adjudicate.adjudicate(df, "unit", "verdict", {"wins": (["won"], ["won", "lost"])}, at, ["x"], F.col("unit") == "u1", [], permutations=20)
     assert [r.rho for r in scan.where("subset = 'all'").collect()] == [pytest.approx(1.0)] and final.count() == 1 and read.value == len(cells)
+
+
+def test_scan_sends_no_table_that_grows_to_the_driver(spark):
+    """Customers grow with the input: their join with orders is a merge in every plan that t26_scan and t26_adjudicated start from."""
+    from tarn.plans import verdicts
+
+    seen, plain = [], verdicts.adjudicate.adjudicate
+    try:
+        verdicts.adjudicate.adjudicate = lambda cells, unit, verdict, targets, at, *a, **k: seen.extend([cells, at]) or (cells, at)
+        verdicts._adjudicated(spark, "/root/testdata/sf0.001")
+    finally:
+        verdicts.adjudicate.adjudicate = plain
+    for df in seen:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [o_custkey" in plan and plan.count("BroadcastHashJoin") == 1
