@@ -66,7 +66,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     hits = written(base.select("_rid", F.explode(tokens).alias("_t")).select("_rid", "_t.*").join(small(wanted), "tok", "left_semi"))
     chosen = written(prefixes(wins, hits.groupBy("tok").count()))
     cands = hits.join(small(chosen), "tok").select("_rid", (F.col("pos") - F.col("at")).alias("start"), "size", "g").where("start >= 0")
-    per = cands.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("start", "size", "g"))).alias("_c"))
+    per = written(cands.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("start", "size", "g"))).alias("_c")))
+    # the words of rows without a candidate stay where they are
+    likely = base.join(small(per.select("_rid")), "_rid", "left_semi")
 
     fits = lambda c: (c["start"] + c["size"] <= F.col("n_words")) & (F.array_join(F.slice("_w", c["start"] + 1, c["size"]), " ") == c["g"])
     # words of a span that no earlier span covers
@@ -75,7 +77,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
         lambda s, c: F.struct(F.greatest(s["end"], c["start"] + c["size"]).alias("end"), (s["hit"] + F.greatest(F.lit(0), c["start"] + c["size"] - F.greatest(c["start"], s["end"]))).alias("hit")),
     )["hit"]
     found = written(
-        base.join(per, "_rid").select("_rid", F.filter("_c", fits).alias("_m")).where(F.size("_m") > 0).select("_rid", cover.cast("long").alias("n_hit"), F.array_distinct(F.transform("_m", lambda c: c["g"])).alias("_g"))
+        likely.join(per, "_rid").select("_rid", F.filter("_c", fits).alias("_m")).where(F.size("_m") > 0).select("_rid", cover.cast("long").alias("n_hit"), F.array_distinct(F.transform("_m", lambda c: c["g"])).alias("_g"))
     )
     items = (
         found.select("_rid", F.explode("_g").alias("g")).join(of_items.select("g", "item_id"), "g").groupBy("_rid").agg(F.collect_set(F.struct(F.col("item_id").cast("string").alias("i"))).alias("_i"))

@@ -23,9 +23,11 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +50,8 @@ COUNTERS = (128, 512, 2048)
 BLOCK, HUBS, PAIRS = 256, 24, 256
 #: Words that are sketched together, about, and cells of a block of hash functions by words.
 TOGETHER, CELLS = 16_384, 16_384
+#: Texts whose sketches a worker holds at once.
+HELD = 1000
 _LAST = np.uint64((1 << 64) - 1)
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -220,6 +224,15 @@ def _marks(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["key", "n", "bands", "sig", "tally"])
 
 
+def _marked(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """_marks() of a few texts at a time. The worker lives on and serves later stages, so that what it remembers goes with the task."""
+    for texts in batches:
+        for k in range(0, len(texts), HELD):
+            yield _marks(texts.iloc[k : k + HELD])
+    _WORDS.clear()
+    pa.default_memory_pool().release_unused()
+
+
 class Aligner:
     """Banded alignments of one text with others: a column of the band is two bit vectors, moved down a row with each word."""
 
@@ -424,7 +437,7 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, key (of the words), cls (of the class), exact_id and class_id: the smallest doc_id of equal words and of the class."""
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
-    marked = docs.select("doc_id", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("th"), F.pandas_udf(_marks, "key binary, n int, bands array<long>, sig binary, tally binary")("text").alias("_m")).select("doc_id", "th", "_m.*")
+    marked = docs.select("doc_id", F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("th"), F.pandas_udf(_marked, "key binary, n int, bands array<long>, sig binary, tally binary")("text").alias("_m")).select("doc_id", "th", "_m.*")
     marked.write.parquet(folder)
     marked = spark.read.schema(marked.schema).parquet(folder)
     reps = written(

@@ -45,3 +45,12 @@ def test_sketches_are_written_once(spark):
     # the sketches of all rows are gone, those of the representatives are in one table and beside no bucket
     held = [f for f in set(glob.glob(f"{folder}/tarn-*")) - before if any("sig" in pq.read_schema(p).names for p in glob.glob(f"{f}/*.parquet"))]
     assert len(held) == 1
+
+
+def test_workers_keep_no_words_after_a_task():
+    """A worker serves later stages too: texts are sketched a few at a time, and the remembered words go with the task."""
+    texts = [f"w{i} w{i % 7} w{i % 11} x y z" for i in range(2 * m.HELD + 5)] + [None]
+    got = list(m._marked(iter([pd.Series(texts[:3]), pd.Series(texts[3:])])))
+    assert max(map(len, got)) <= m.HELD and not m._WORDS
+    want = m._marks(pd.Series(texts))
+    assert pd.concat(got, ignore_index=True).equals(want)
