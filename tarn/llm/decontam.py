@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 from .common import word_array, written
 
 SHINGLE = 3
-#: Rows up to which the benchmark's shingles, or its windows, are broadcast (under 200 MB); more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows, and bytes of their strings, up to which the benchmark's shingles, its windows and the numbers of likely rows are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32_000_000
 
 
 def small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df with the hint how to join it. Left to itself Spark goes by the size of the written files, where repeated strings take a small part of what they take in the driver."""
+    strings = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"), F.lit(0).cast("long"))
+    n, size = df.select(F.count(F.lit(1)), F.coalesce(F.sum(strings), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df.hint("merge")
 
 
 def shingles(w: Column, k: int) -> Column:
@@ -76,14 +79,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
         "_m", F.struct(F.lit(0).alias("end"), F.lit(0).alias("hit")),
         lambda s, c: F.struct(F.greatest(s["end"], c["start"] + c["size"]).alias("end"), (s["hit"] + F.greatest(F.lit(0), c["start"] + c["size"] - F.greatest(c["start"], s["end"]))).alias("hit")),
     )["hit"]
+    # the candidates grow with docs and never go through the driver
     found = written(
-        likely.join(per, "_rid").select("_rid", F.filter("_c", fits).alias("_m")).where(F.size("_m") > 0).select("_rid", cover.cast("long").alias("n_hit"), F.array_distinct(F.transform("_m", lambda c: c["g"])).alias("_g"))
+        likely.join(per.hint("merge"), "_rid").select("_rid", F.filter("_c", fits).alias("_m")).where(F.size("_m") > 0).select("_rid", cover.cast("long").alias("n_hit"), F.array_distinct(F.transform("_m", lambda c: c["g"])).alias("_g"))
     )
     items = (
-        found.select("_rid", F.explode("_g").alias("g")).join(of_items.select("g", "item_id"), "g").groupBy("_rid").agg(F.collect_set(F.struct(F.col("item_id").cast("string").alias("i"))).alias("_i"))
-        .select("_rid", F.size("_i").cast("long").alias("n_items"), F.concat_ws(",", F.array_sort(F.array_compact(F.transform("_i", lambda x: x["i"])))).alias("_said"))
+        found.select("_rid", "n_hit", F.explode("_g").alias("g")).join(small(of_items.select("g", "item_id")), "g").groupBy("_rid", "n_hit").agg(F.collect_set(F.struct(F.col("item_id").cast("string").alias("i"))).alias("_i"))
+        .select("_rid", "n_hit", F.size("_i").cast("long").alias("n_items"), F.concat_ws(",", F.array_sort(F.array_compact(F.transform("_i", lambda x: x["i"])))).alias("_said"))
     )
-    out = base.select("_rid", "doc_id", "n_words").join(found.select("_rid", "n_hit").join(items, "_rid"), "_rid", "left")
+    out = base.select("_rid", "doc_id", "n_words").join(items, "_rid", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.sha2(F.coalesce("_said", F.lit("")).cast("binary"), 256).alias("items_sha256"),
